@@ -24,7 +24,7 @@ from . import common
 # The classes of code points that the pattern tells apart.
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 #: Distinct pre-tokens whose ids a worker remembers, and as many used before (a cache: results don't depend on it).
-REMEMBER = 200_000
+REMEMBER = 50_000
 
 
 def byte_chars() -> list[str]:

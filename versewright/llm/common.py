@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that numpy works on at once.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: Bytes and rows of an Arrow batch sent to Python at most (one row may be longer).
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 4096
 
@@ -72,6 +72,7 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, what)
     df.write.option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -113,6 +114,11 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lens), lens) + np.arange(total)
 
 
+def small(df: DataFrame, rows: int = 300_000) -> DataFrame:
+    """A narrow materialised table, marked for broadcasting if it has at most so many rows; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def content_key(id_col: str, text_col: str) -> list:
     """Two 64-bit columns that name a row by its id and text: stable over recomputation, unlike running numbers."""
     c = [F.col(id_col).cast("string"), F.col(text_col)]
