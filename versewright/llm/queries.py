@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, token_counts
+from . import bpe, jaccard, packing, quality, token_counts
 
 RANKS, VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -36,5 +36,45 @@ def op10_packed_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.matrices(table(spark, sf_dir, "documents"), VOCABULARY, 2048)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_best_fit_packing, op4_token_counts, op10_packed_output)}
-ORACLE_SQL: dict[str, str] = {}
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *quality.COUNTS, "base_failed", (~F.col("base_failed") & F.col("kept")).alias("kept"))
+
+
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), n=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
+
+
+WORD = r"[^\x20\x09-\x0D]+"
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '{WORD}') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS ls FROM d),
+g AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 7), ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g) WHERE k > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, range(0, 8) AS s(k) GROUP BY doc_id),
+f AS (SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(ls) AS n_lines FROM w LEFT JOIN c ON c.doc_id = w.doc_id),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT 100 * n_symbols > 50 * n_words AND NOT 2 * word_chars < 3 * n_words AND NOT (n_dup_lines > 2 AND 100 * n_dup_lines > 50 * n_lines) AS kept FROM b"""
+
+
+def jaccard_sql(n: int, num: int, den: int, tail: str) -> str:
+    """Components of the documents by whole inverted lists; ``tail`` selects from s (sizes) and comp (doc_id, component_id)."""
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + {n - 1}), ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {n - 1}, least(len(ws), 1)) + 1)) AS i FROM w)),
+s AS (SELECT w.doc_id, count(g.g) AS n_shingles FROM w LEFT JOIN g ON g.doc_id = w.doc_id GROUP BY w.doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE {den} * k >= {num} * (x.n_shingles + y.n_shingles - k)),
+e2 AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, e2.b FROM reach JOIN e2 ON e2.a = reach.other),
+comp AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+{tail}"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_best_fit_packing, op4_token_counts, op5_quality_rules, op9_ngram_jaccard, op10_packed_output)}
+ORACLE_SQL: dict[str, str] = {
+    "op5_quality_rules": OP5_SQL,
+    "op9_ngram_jaccard": jaccard_sql(4, 85, 100, "SELECT doc_id, n_shingles, component_id FROM s JOIN comp USING (doc_id)"),
+}
