@@ -11,6 +11,7 @@ later stages read come from the same run.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -71,8 +72,9 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write df as Parquet in the shared folder and return it reread."""
     spark = df.sparkSession
     path = new_path(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
     spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,13 +6,16 @@ under any common order of the n-grams both must hold a common one among their fi
 i and j leaves room for min(n-i, m-j) common ones. The order used is by rising frequency, so that very common n-grams
 fall outside almost every document's first ones, and a document with too many n-grams of its own is done at once.
 
-1. Documents with equal sets become one class. A row per class and n-gram among its first ones shows which classes share
-   any; here only those n-grams count as frequent that a sample of documents shows to be (the order decides the cost,
-   not the result).
-2. For the classes left, their whole sets are counted exactly and ordered by the counts, and blocks are formed by n-gram.
-3. Within a block all are compared with one pivot, the member with the fewest n-grams of its own. Whoever links to it is
-   connected with the others who do, so only pairs that are not yet connected are formed and compared after that.
-   Overlaps are counted over whole sets.
+1. Documents with equal sets become one class, and each class lists its first n-grams. Here only those n-grams count as
+   frequent that a sample of documents shows to be; they come last (the order decides the cost, not the result).
+2. Pairs of classes in the small blocks of an n-gram are tried on the lists first: up to where both lists reach, what two
+   sets share is known, and what remains bounds the rest. Passages in common don't pass this, near copies do.
+3. Classes in crowded blocks, or with so many frequent n-grams that one is among their first, get their whole sets counted
+   exactly and ordered by the counts. In each new block all are compared with one pivot, the member with the fewest
+   n-grams of its own. Whoever links to it is connected with the others who do, so after that only pairs that are not yet
+   connected are formed and compared.
+
+Overlaps that decide are counted over whole sets.
 """
 
 from __future__ import annotations
@@ -30,7 +33,9 @@ from .words import Words, lower
 
 #: Documents in the sample that shows which n-grams are frequent, how often they occur there at least, and how many are
 #: remembered (8 bytes each).
-SAMPLE, OFTEN, FREQUENT = 20_000, 6, 1 << 17
+SAMPLE, OFTEN, FREQUENT = 8000, 4, 1 << 17
+#: Classes in a block of which all pairs are tried at once; larger blocks go by pivots.
+CROWD = 16
 
 
 def shingle_sets(batch_text: pa.Array, n: int):
@@ -61,13 +66,16 @@ def frequent(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def classes(df: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The documents (id, _k1, _k2, text), and the table (id, _k1, _k2, n_shingles, c, first): sizes, class keys, first n-grams."""
+    """The documents (id, text, _k1, _k2), and the table (id, _k1, _k2, n_shingles, c, hot, first).
+
+    c: the class key; first: those of its first n-grams that aren't frequent, in order; hot: some of its first are frequent.
+    """
     docs = df.select(df[id_col].alias("id"), df[text_col].alias("text")).select("id", "text", *common.content_key("id", "text"))
     often = df.sparkSession.sparkContext.broadcast(frequent(docs, n))
     kind = df.schema[id_col].dataType
 
     def sets(batches):
-        hot = often.value
+        frequent_ones = often.value
         for batch in batches:
             for i, j, value, at in shingle_sets(batch.column(1), n):
                 size = np.diff(at)
@@ -75,32 +83,58 @@ def classes(df: DataFrame, n: int, num: int, den: int, id_col: str, text_col: st
                 ends = (8 * at).tolist()
                 key = [hashlib.blake2b(raw[a:b], digest_size=16).digest() if b > a else None for a, b in zip(ends, ends[1:], strict=False)]
                 row = np.repeat(np.arange(j - i), size)
-                late = hot[np.minimum(np.searchsorted(hot, value), len(hot) - 1)] == value if len(hot) else np.zeros(len(value), bool)
-                order = np.lexsort((value, late, row))
+                late = frequent_ones[np.minimum(np.searchsorted(frequent_ones, value), len(frequent_ones) - 1)] == value if len(frequent_ones) else np.zeros(len(value), bool)
+                order = np.lexsort((value.view(np.int64), late, row))
                 place = np.arange(len(value)) - at[row]
-                take = order[place < prefix_length(size, num, den)[row]]
+                among = place < prefix_length(size, num, den)[row]
+                hot = np.bincount(row[among], late[order][among], j - i) > 0
+                take = order[among & ~late[order]]
                 first = common.lists(value[take].view(np.int64), np.append(0, np.cumsum(np.bincount(row[take], minlength=j - i))))
                 keys = [batch.column(k).slice(i, j - i) for k in (0, 2, 3)]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(size), pa.array(key, pa.binary()), first], names=["id", "_k1", "_k2", "n_shingles", "c", "first"])
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(size), pa.array(key, pa.binary()), pa.array(hot), first], names=["id", "_k1", "_k2", "n_shingles", "c", "hot", "first"])
 
-    schema = T.StructType([T.StructField("id", kind), *(T.StructField(k, T.LongType()) for k in ("_k1", "_k2", "n_shingles")), T.StructField("c", T.BinaryType()), T.StructField("first", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", kind), *(T.StructField(k, T.LongType()) for k in ("_k1", "_k2", "n_shingles")), T.StructField("c", T.BinaryType()), T.StructField("hot", T.BooleanType()), T.StructField("first", T.ArrayType(T.LongType()))])
     return docs, common.materialize(docs.mapInArrow(sets, schema), "shingles")
 
 
-def whole_sets(docs: DataFrame, known: DataFrame, n: int) -> DataFrame:
-    """(node, set) of the classes whose sets may touch another's; one document stands for each."""
-    first = known.where("c is not null").select(F.explode("first").alias("s"), F.xxhash64("c").alias("h"))
-    shared = first.groupBy("s").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y").select("s")
-    touched = first.join(shared, "s", "left_semi").select("h").distinct()
-    one = known.where("c is not null").select("c", "_k1", "_k2", F.xxhash64("c").alias("h")).join(touched, "h", "left_semi")
-    nodes = common.materialize(one.groupBy("c").agg(F.min(F.struct("_k1", "_k2")).alias("k")).select("c", "k._k1", "k._k2", F.monotonically_increasing_id().alias("node")), "nodes")
+def number(known: DataFrame) -> DataFrame:
+    """A row for each class, with a node number: (c, _k1, _k2, node, n, hot, first); _k1 and _k2 are one document's."""
+    one = known.where("c is not null").groupBy("c").agg(F.min(F.struct("_k1", "_k2")).alias("k"), F.first("n_shingles").alias("n"), F.first("hot").alias("hot"), F.first("first").alias("first"))
+    return common.materialize(one.select("c", "k._k1", "k._k2", F.monotonically_increasing_id().alias("node"), "n", "hot", "first"), "nodes")
+
+
+def shared_rows(nodes: DataFrame) -> DataFrame:
+    """(s, node, n, i, k): the n-grams among the first ones of k > 1 classes, and their places."""
+    rows = nodes.select("node", "n", F.posexplode("first").alias("i", "s"))
+    shared = rows.groupBy("s").agg(F.count("*").alias("k")).where("k > 1")
+    return common.materialize(rows.join(shared, "s"), "shared")
+
+
+def tried(nodes: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of uncrowded blocks whose lists of first n-grams leave room for enough overlap."""
+    few = rows.where(f"k <= {CROWD}")
+    other = few.select("s", F.col("node").alias("pnode"), F.col("n").alias("pn"), F.col("i").alias("pi"))
+    pairs = few.join(other, "s").where((F.col("node") < F.col("pnode")) & possible(num, den)).select(F.col("node").alias("a"), F.col("pnode").alias("b")).distinct()
+    # a list with frequent n-grams after it holds all the others there are
+    reach = F.when(F.col("hot"), F.lit((1 << 63) - 1)).otherwise(F.element_at("first", -1))
+    x = nodes.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("first").alias("x"), reach.alias("xw"))
+    y = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("first").alias("y"), reach.alias("yw"))
+    both = pairs.join(x, "a").join(y, "b").withColumn("w", F.least("xw", "yw"))
+    both = both.select("a", "b", "n", "m", F.filter("x", lambda v: v <= F.col("w")).alias("x"), F.filter("y", lambda v: v <= F.col("w")).alias("y"))
+    most = F.size(F.array_intersect("x", "y")) + F.least(F.col("n") - F.size("x"), F.col("m") - F.size("y"))
+    return common.materialize(both.where((num + den) * most >= num * (F.col("n") + F.col("m"))).select("a", "b"), "pairs")
+
+
+def whole_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(node, set) of the wanted nodes; one document's text stands for each."""
 
     def sets(batches):
         for batch in batches:
             for i, j, value, at in shingle_sets(batch.column(1), n):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), common.lists(value.view(np.int64), at)], names=["node", "set"])
 
-    return nodes, common.materialize(docs.join(common.small(nodes.drop("c")), ["_k1", "_k2"]).select("node", "text").mapInArrow(sets, "node long, set array<long>"), "sets")
+    places = common.materialize(nodes.select("_k1", "_k2", "node").join(wanted, "node", "left_semi"), "wanted")
+    return common.materialize(docs.join(common.small(places), ["_k1", "_k2"]).select("node", "text").mapInArrow(sets, "node long, set array<long>"), "sets")
 
 
 def blocks(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -129,22 +163,31 @@ def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(x, "a").join(y, "b").where(den * both >= num * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def links(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, component) of the classes with links. No pair that could link stays uncompared unless it is connected already."""
+def crowded_links(sets: DataFrame, sure: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between the sets: no pair that could link stays uncompared unless links found or sure connect it already."""
     rows = common.materialize(blocks(sets, num, den), "blocks")
     pivot = rows.groupBy("s").agg(F.min(F.struct("own", "node", "n", "i")).alias("p")).select("s", F.col("p.node").alias("pnode"), F.col("p.own").alias("pown"), F.col("p.n").alias("pn"), F.col("p.i").alias("pi"))
     stars = rows.join(pivot, "s").where((F.col("node") != F.col("pnode")) & possible(num, den))
-    nearest = stars.groupBy("node").agg(F.min(F.struct("pown", "pnode")).alias("p")).select(F.col("node").alias("a"), F.col("p.pnode").alias("b"))
+    nearest = common.materialize(stars.groupBy("node").agg(F.min(F.struct("pown", "pnode")).alias("p")).select(F.col("node").alias("a"), F.col("p.pnode").alias("b")), "stars")
     found = common.materialize(compared(nearest, sets, num, den), "links")
-    connected = graph.components(found)
-    named = rows.join(connected, "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component")
-    named = common.materialize(named, "named")
+    connected = graph.components(found.unionByName(sure))
+    named = common.materialize(rows.join(connected, "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component"), "named")
     major = named.groupBy("s", "g").agg(F.count("*").alias("k")).groupBy("s").agg(F.max(F.struct("k", "g")).alias("m"), F.count("*").alias("groups")).where("groups > 1").select("s", F.col("m.g").alias("major"))
     open_rows = named.join(major, "s")
     minor = open_rows.where("g <> major").select("s", *(F.col(c).alias(f"p{c}") for c in ("node", "n", "i", "g")))
     pairs = open_rows.join(minor, "s").where((F.col("g") != F.col("pg")) & possible(num, den)).select(F.least("node", "pnode").alias("a"), F.greatest("node", "pnode").alias("b")).distinct()
     more = compared(pairs.join(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), sets, num, den)
-    return graph.components(found.unionByName(more))
+    return found.unionByName(common.materialize(more, "links"))
+
+
+def connect(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(node, component) of the classes with links."""
+    rows = shared_rows(nodes)
+    pairs = tried(nodes, rows, num, den)
+    crowded = common.materialize(rows.where(f"k > {CROWD}").select("node").unionByName(nodes.where("hot").select("node")).distinct(), "crowded")
+    sets = whole_sets(docs, nodes, crowded.unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), n)
+    sure = common.materialize(compared(pairs, sets, num, den), "links")
+    return graph.components(sure.unionByName(crowded_links(sets.join(crowded, "node", "left_semi"), sure, num, den)))
 
 
 def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,10 +200,10 @@ def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
     """
     common.bounded_batches(df.sparkSession)
     docs, known = classes(df, n, num, den, id_col, text_col)
-    nodes, sets = whole_sets(docs, known, n)
+    nodes = number(known)
     least = known.where("c is not null").groupBy("c").agg(F.min("id").alias("least"))
-    joined = nodes.select("c", "node").join(links(sets, num, den), "node").join(least, "c")
+    joined = nodes.select("c", "node").join(connect(docs, nodes, n, num, den), "node").join(least, "c")
     label = joined.groupBy("component").agg(F.min("least").alias("label"))
     named = least.join(joined.select("c", "component").join(label, "component").select("c", "label"), "c", "left").select("c", F.coalesce("label", "least").alias("label"))
-    out = known.drop("first").join(named, "c", "left")
+    out = known.join(named, "c", "left")
     return out.select(F.col("id").alias(id_col), "_k1", "_k2", "n_shingles", F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("label")).alias("component_id"))
