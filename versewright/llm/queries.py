@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, packing, quality, suffixes, token_counts
+from . import bpe, common, jaccard, packing, quality, suffixes, token_counts, warc
 
 RANKS, VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -41,6 +41,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.COUNTS, "base_failed", (~F.col("base_failed") & F.col("kept")).alias("kept"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(table(spark, sf_dir, "pages"), common.new_path(spark, "warc"))
+    found = warc.records(warc.read(spark, archives))
+    return found.select(F.col("record_key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = suffixes.remove(table(spark, sf_dir, "documents"), 400)
     return left.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -78,7 +84,7 @@ comp AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 {tail}"""
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_best_fit_packing, op4_token_counts, op5_quality_rules, op7_suffix_dedup, op9_ngram_jaccard, op10_packed_output)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_best_fit_packing, op4_token_counts, op5_quality_rules, op6_warc, op7_suffix_dedup, op9_ngram_jaccard, op10_packed_output)}
 ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": OP5_SQL,
     "op9_ngram_jaccard": jaccard_sql(4, 85, 100, "SELECT doc_id, n_shingles, component_id FROM s JOIN comp USING (doc_id)"),
