@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, jaccard, packing, quality, suffixes, token_counts, warc
+from . import bpe, common, html_text, jaccard, packing, quality, suffixes, token_counts, warc
 
 RANKS, VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -28,6 +28,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY, 2048).select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), VOCABULARY).withColumn("over_limit", F.col("n_tokens") > 512)
 
@@ -84,7 +88,7 @@ comp AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 {tail}"""
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_best_fit_packing, op4_token_counts, op5_quality_rules, op6_warc, op7_suffix_dedup, op9_ngram_jaccard, op10_packed_output)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_best_fit_packing, op3_html_text, op4_token_counts, op5_quality_rules, op6_warc, op7_suffix_dedup, op9_ngram_jaccard, op10_packed_output)}
 ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": OP5_SQL,
     "op9_ngram_jaccard": jaccard_sql(4, 85, 100, "SELECT doc_id, n_shingles, component_id FROM s JOIN comp USING (doc_id)"),
