@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, html_text, jaccard, packing, quality, suffixes, token_counts, warc
+from . import bpe, common, embeddings, html_text, jaccard, packing, quality, suffixes, token_counts, warc
 
 RANKS, VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -56,6 +56,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), n=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
@@ -88,7 +92,7 @@ comp AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 {tail}"""
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_best_fit_packing, op3_html_text, op4_token_counts, op5_quality_rules, op6_warc, op7_suffix_dedup, op9_ngram_jaccard, op10_packed_output)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_best_fit_packing, op3_html_text, op4_token_counts, op5_quality_rules, op6_warc, op7_suffix_dedup, op8_embedding_dedup, op9_ngram_jaccard, op10_packed_output)}
 ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": OP5_SQL,
     "op9_ngram_jaccard": jaccard_sql(4, 85, 100, "SELECT doc_id, n_shingles, component_id FROM s JOIN comp USING (doc_id)"),
