@@ -10,8 +10,9 @@ fall outside almost every document's first ones, and a document with too many n-
    frequent that a sample of documents shows to be; they come last (the order decides the cost, not the result).
 2. Pairs of classes in the small blocks of an n-gram are tried on the lists first: up to where both lists reach, what two
    sets share is known, and what remains bounds the rest. Passages in common don't pass this, near copies do.
-3. Classes in crowded blocks, or with so many frequent n-grams that one is among their first, get their whole sets counted
-   exactly and ordered by the counts. In each new block all are compared with one pivot, the member with the fewest
+3. Classes in crowded blocks, or with so many frequent n-grams that one is among their first, go through step 2 again
+   among themselves, where a sample shows what is frequent with them, as long as that thins them out.
+4. Those that stay together get their whole sets counted exactly and ordered by the counts. In each new block all are compared with one pivot, the member with the fewest
    n-grams of its own. Whoever links to it is connected with the others who do, so after that only pairs that are not yet
    connected are formed and compared.
 
@@ -20,6 +21,7 @@ Overlaps that decide are counted over whole sets.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -36,6 +38,8 @@ from .words import Words, lower
 SAMPLE, OFTEN, FREQUENT = 8000, 4, 1 << 17
 #: Classes in a block of which all pairs are tried at once; larger blocks go by pivots.
 CROWD = 16
+#: Rounds of thinning out crowded classes at most; what is left then is counted exactly, however much it is.
+LEVELS = 4
 
 
 def shingle_sets(batch_text: pa.Array, n: int):
@@ -65,36 +69,55 @@ def frequent(docs: DataFrame, n: int) -> np.ndarray:
     return np.sort(top.select("s").toArrow()["s"].to_numpy().view(np.uint64))
 
 
-def classes(df: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The documents (id, text, _k1, _k2), and the table (id, _k1, _k2, n_shingles, c, hot, first).
+def firsts(value: np.ndarray, at: np.ndarray, often: np.ndarray, num: int, den: int) -> tuple[pa.Array, pa.Array]:
+    """(hot, first) of rows of hashes: those of a row's first n-grams that aren't in ``often``, in order; hot: some are."""
+    size = np.diff(at)
+    rows = len(size)
+    row = np.repeat(np.arange(rows), size)
+    late = often[np.minimum(np.searchsorted(often, value), len(often) - 1)] == value if len(often) else np.zeros(len(value), bool)
+    order = np.lexsort((value.view(np.int64), late, row))
+    among = np.arange(len(value)) - at[row] < prefix_length(size, num, den)[row]
+    hot = np.bincount(row[among], late[order][among], rows) > 0
+    take = order[among & ~late[order]]
+    return pa.array(hot), common.lists(value[take].view(np.int64), np.append(0, np.cumsum(np.bincount(row[take], minlength=rows))))
 
-    c: the class key; first: those of its first n-grams that aren't frequent, in order; hot: some of its first are frequent.
-    """
+
+LIST = [T.StructField("hot", T.BooleanType()), T.StructField("first", T.ArrayType(T.LongType()))]
+
+
+def classes(df: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """The documents (id, text, _k1, _k2), the table (id, _k1, _k2, n_shingles, c, hot, first), and the frequent n-grams. c: the class key."""
     docs = df.select(df[id_col].alias("id"), df[text_col].alias("text")).select("id", "text", *common.content_key("id", "text"))
-    often = df.sparkSession.sparkContext.broadcast(frequent(docs, n))
+    found = frequent(docs, n)
+    often = df.sparkSession.sparkContext.broadcast(found)
     kind = df.schema[id_col].dataType
 
     def sets(batches):
-        frequent_ones = often.value
         for batch in batches:
             for i, j, value, at in shingle_sets(batch.column(1), n):
-                size = np.diff(at)
                 raw = value.tobytes()
                 ends = (8 * at).tolist()
                 key = [hashlib.blake2b(raw[a:b], digest_size=16).digest() if b > a else None for a, b in zip(ends, ends[1:], strict=False)]
-                row = np.repeat(np.arange(j - i), size)
-                late = frequent_ones[np.minimum(np.searchsorted(frequent_ones, value), len(frequent_ones) - 1)] == value if len(frequent_ones) else np.zeros(len(value), bool)
-                order = np.lexsort((value.view(np.int64), late, row))
-                place = np.arange(len(value)) - at[row]
-                among = place < prefix_length(size, num, den)[row]
-                hot = np.bincount(row[among], late[order][among], j - i) > 0
-                take = order[among & ~late[order]]
-                first = common.lists(value[take].view(np.int64), np.append(0, np.cumsum(np.bincount(row[take], minlength=j - i))))
                 keys = [batch.column(k).slice(i, j - i) for k in (0, 2, 3)]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(size), pa.array(key, pa.binary()), pa.array(hot), first], names=["id", "_k1", "_k2", "n_shingles", "c", "hot", "first"])
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(np.diff(at)), pa.array(key, pa.binary()), *firsts(value, at, often.value, num, den)], names=["id", "_k1", "_k2", "n_shingles", "c", "hot", "first"])
+
+    schema = T.StructType([T.StructField("id", kind), *(T.StructField(k, T.LongType()) for k in ("_k1", "_k2", "n_shingles")), T.StructField("c", T.BinaryType()), *LIST])
+    return docs, common.materialize(docs.mapInArrow(sets, schema), "shingles"), found
+
+
+def again(docs: DataFrame, nodes: DataFrame, crowded: DataFrame, found: np.ndarray, n: int, num: int, den: int) -> tuple[DataFrame, np.ndarray]:
+    """(node, n, hot, first) of the crowded nodes, with what is frequent among them last, and all that is frequent."""
+    places = common.small(common.materialize(nodes.select("_k1", "_k2", "node").join(crowded, "node", "left_semi"), "wanted"))
+    texts = docs.join(places, ["_k1", "_k2"]).select("node", "text")
+    found = np.union1d(found, frequent(texts, n))
+    often = docs.sparkSession.sparkContext.broadcast(found)
+
+    def sets(batches):
+        for batch in batches:
+            for i, j, value, at in shingle_sets(batch.column(1), n):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), *firsts(value, at, often.value, num, den)], names=["node", "n", "hot", "first"])
 
-    schema = T.StructType([T.StructField("id", kind), *(T.StructField(k, T.LongType()) for k in ("_k1", "_k2", "n_shingles")), T.StructField("c", T.BinaryType()), T.StructField("hot", T.BooleanType()), T.StructField("first", T.ArrayType(T.LongType()))])
-    return docs, common.materialize(docs.mapInArrow(sets, schema), "shingles")
+    return common.materialize(texts.mapInArrow(sets, T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), *LIST])), "lists"), found
 
 
 def number(known: DataFrame) -> DataFrame:
@@ -180,11 +203,18 @@ def crowded_links(sets: DataFrame, sure: DataFrame, num: int, den: int) -> DataF
     return found.unionByName(common.materialize(more, "links"))
 
 
-def connect(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def connect(docs: DataFrame, nodes: DataFrame, found: np.ndarray, n: int, num: int, den: int) -> DataFrame:
     """(node, component) of the classes with links."""
-    rows = shared_rows(nodes)
-    pairs = tried(nodes, rows, num, den)
-    crowded = common.materialize(rows.where(f"k > {CROWD}").select("node").unionByName(nodes.where("hot").select("node")).distinct(), "crowded")
+    lists, pairs, left = nodes, [], None
+    for _ in range(LEVELS):
+        rows = shared_rows(lists)
+        pairs.append(tried(lists, rows, num, den))
+        crowded = common.materialize(rows.where(f"k > {CROWD}").select("node").unionByName(lists.where("hot").select("node")).distinct(), "crowded")
+        before, left = left, crowded.count()
+        if left <= SAMPLE or (before is not None and 2 * left > before):
+            break
+        lists, found = again(docs, nodes, crowded, found, n, num, den)
+    pairs = functools.reduce(DataFrame.unionByName, pairs).distinct()
     sets = whole_sets(docs, nodes, crowded.unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), n)
     sure = common.materialize(compared(pairs, sets, num, den), "links")
     return graph.components(sure.unionByName(crowded_links(sets.join(crowded, "node", "left_semi"), sure, num, den)))
@@ -199,10 +229,10 @@ def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
     number is the smallest id that isn't null (null if none is). _k1 and _k2 name the row's content.
     """
     common.bounded_batches(df.sparkSession)
-    docs, known = classes(df, n, num, den, id_col, text_col)
+    docs, known, found = classes(df, n, num, den, id_col, text_col)
     nodes = number(known)
     least = known.where("c is not null").groupBy("c").agg(F.min("id").alias("least"))
-    joined = nodes.select("c", "node").join(connect(docs, nodes, n, num, den), "node").join(least, "c")
+    joined = nodes.select("c", "node").join(connect(docs, nodes, found, n, num, den), "node").join(least, "c")
     label = joined.groupBy("component").agg(F.min("least").alias("label"))
     named = least.join(joined.select("c", "component").join(label, "component").select("c", "label"), "c", "left").select("c", F.coalesce("label", "least").alias("label"))
     out = known.join(named, "c", "left")
