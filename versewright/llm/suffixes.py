@@ -270,12 +270,14 @@ def remove(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: s
     common.bounded_batches(df.sparkSession)
     docs = df.select(df[id_col].alias("id"), F.coalesce(df[text_col], F.lit("")).alias("text")).select("id", "text", *common.content_key("id", "text"))
     found = repeated(docs.select("_k1", "_k2", "text").where(F.octet_length("text") >= length), length)
-    return apply(docs, found, length, id_col)
+    return cut_out(docs.join(found, ["_k1", "_k2"], "left"), length).withColumnRenamed("id", id_col)
 
 
-def apply(docs: DataFrame, found: DataFrame, length: int, id_col: str) -> DataFrame:
-    fields = [T.StructField(id_col, docs.schema["id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType())]
+def cut_out(joined: DataFrame, length: int) -> DataFrame:
+    """(id, n_bytes, n_removed, removed, kept) for rows of (id, text, spans), spans as repeated() gives them or null."""
+    fields = [T.StructField("id", joined.schema["id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType())]
     fields += [T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())]
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         for batch in batches:
@@ -293,10 +295,9 @@ def apply(docs: DataFrame, found: DataFrame, length: int, id_col: str) -> DataFr
                 gone.append(int((turns[:, 1] - turns[:, 0]).sum()))
                 removed.append([{"start": int(a), "end": int(b)} for a, b in turns])
                 kept.append(own[~out[1:-1]].tobytes())
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary())], names=[f.name for f in fields])
 
-    return docs.join(found, ["_k1", "_k2"], "left").select("id", "text", "spans").mapInArrow(run, T.StructType(fields))
+    return joined.select("id", "text", "spans").mapInArrow(run, T.StructType(fields))
 
 
 def as_text(kept: DataFrame, column: str = "kept") -> DataFrame:
