@@ -6,8 +6,8 @@ under any common order of the n-grams both must hold a common one among their fi
 i and j leaves room for min(n-i, m-j) common ones. The order used is by rising frequency, so that very common n-grams
 fall outside almost every document's first ones, and a document with too many n-grams of its own is done at once.
 
-1. Documents with equal sets become one class, and each class lists its first n-grams. Here only those n-grams count as
-   frequent that a sample of documents shows to be; they come last (the order decides the cost, not the result).
+1. Documents with equal sets become one class, and each class lists its first n-grams. N-grams of
+   frequent words come late, those last that a sample of documents has often (the order decides the cost, not the result).
 2. Pairs of classes in the small blocks of an n-gram are tried on the lists first: up to where both lists reach, what two
    sets share is known, and what remains bounds the rest. Passages in common don't pass this, near copies do.
 3. Classes in crowded blocks, or with so many frequent n-grams that one is among their first, go through step 2 again
@@ -42,11 +42,40 @@ CROWD = 16
 LEVELS = 4
 
 
-def shingle_sets(batch_text: pa.Array, n: int):
-    """For blocks of rows: (first row, last row + 1, hashes row by row in ascending order, offsets)."""
+def shingle_sets(batch_text: pa.Array, n: int, common_words: tuple[np.ndarray, np.ndarray]):
+    """For blocks of rows: (first row, last row + 1, n-grams row by row in ascending order, offsets)."""
     data, at = common.buffers(batch_text)
+    known, level = common_words
+
+    def levels(hashes: np.ndarray) -> np.ndarray:
+        if not len(known):
+            return np.zeros(len(hashes), np.int64)
+        place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        return np.where(known[place] == hashes, level[place], 0)
+
     for i, j in common.row_groups(at):
-        yield i, j, *Words(lower(data[at[i] : at[j]]), at[i : j + 1] - at[i]).shingles(n)
+        yield i, j, *Words(lower(data[at[i] : at[j]]), at[i : j + 1] - at[i]).shingles(n, levels)
+
+
+def sample_of(docs: DataFrame) -> DataFrame:
+    total = docs.count()
+    return docs.select("text") if total <= SAMPLE else docs.select("text").sample(SAMPLE / total, seed=11)
+
+
+def frequent_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words that a sample of documents has most, ascending, and the bits of their counts."""
+
+    def count(batches):
+        for batch in batches:
+            data, at = common.buffers(batch.column(0))
+            for i, j in common.row_groups(at):
+                found, n = np.unique(Words(lower(data[at[i] : at[j]]), at[i : j + 1] - at[i]).hashes, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["s", "n"])
+
+    top = sample_of(docs).mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "s").limit(FREQUENT).toArrow()
+    word, n = top["s"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(word)
+    return word[order], np.log2(n[order]).astype(np.int64)
 
 
 def prefix_length(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -54,18 +83,16 @@ def prefix_length(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.where(n > 0, n - -(-num * n // den) + 1, 0)
 
 
-def frequent(docs: DataFrame, n: int) -> np.ndarray:
-    """Hashes of n-grams that a sample of documents has often, ascending; at most FREQUENT."""
-    total = docs.count()
-    some = docs.select("text") if total <= SAMPLE else docs.select("text").sample(SAMPLE / total, seed=11)
+def frequent(docs: DataFrame, n: int, words) -> np.ndarray:
+    """The n-grams that a sample of documents has often, ascending; at most FREQUENT."""
 
     def grams(batches):
         for batch in batches:
-            for _, _, value, _ in shingle_sets(batch.column(0), n):
+            for _, _, value, _ in shingle_sets(batch.column(0), n, words.value):
                 found, count = np.unique(value, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(count)], names=["s", "n"])
 
-    top = some.mapInArrow(grams, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "s").limit(FREQUENT)
+    top = sample_of(docs).mapInArrow(grams, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "s").limit(FREQUENT)
     return np.sort(top.select("s").toArrow()["s"].to_numpy().view(np.uint64))
 
 
@@ -75,7 +102,7 @@ def firsts(value: np.ndarray, at: np.ndarray, often: np.ndarray, num: int, den:
     rows = len(size)
     row = np.repeat(np.arange(rows), size)
     late = often[np.minimum(np.searchsorted(often, value), len(often) - 1)] == value if len(often) else np.zeros(len(value), bool)
-    order = np.lexsort((value.view(np.int64), late, row))
+    order = np.lexsort((value, late, row))
     among = np.arange(len(value)) - at[row] < prefix_length(size, num, den)[row]
     hot = np.bincount(row[among], late[order][among], rows) > 0
     take = order[among & ~late[order]]
@@ -85,16 +112,17 @@ def firsts(value: np.ndarray, at: np.ndarray, often: np.ndarray, num: int, den:
 LIST = [T.StructField("hot", T.BooleanType()), T.StructField("first", T.ArrayType(T.LongType()))]
 
 
-def classes(df: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, np.ndarray]:
-    """The documents (id, text, _k1, _k2), the table (id, _k1, _k2, n_shingles, c, hot, first), and the frequent n-grams. c: the class key."""
+def classes(df: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, np.ndarray, object]:
+    """The documents (id, text, _k1, _k2), the table (id, _k1, _k2, n_shingles, c, hot, first), frequent n-grams and words. c: the class key."""
     docs = df.select(df[id_col].alias("id"), df[text_col].alias("text")).select("id", "text", *common.content_key("id", "text"))
-    found = frequent(docs, n)
+    words = df.sparkSession.sparkContext.broadcast(frequent_words(docs))
+    found = frequent(docs, n, words)
     often = df.sparkSession.sparkContext.broadcast(found)
     kind = df.schema[id_col].dataType
 
     def sets(batches):
         for batch in batches:
-            for i, j, value, at in shingle_sets(batch.column(1), n):
+            for i, j, value, at in shingle_sets(batch.column(1), n, words.value):
                 raw = value.tobytes()
                 ends = (8 * at).tolist()
                 key = [hashlib.blake2b(raw[a:b], digest_size=16).digest() if b > a else None for a, b in zip(ends, ends[1:], strict=False)]
@@ -102,19 +130,19 @@ def classes(df: DataFrame, n: int, num: int, den: int, id_col: str, text_col: st
                 yield pa.RecordBatch.from_arrays([*keys, pa.array(np.diff(at)), pa.array(key, pa.binary()), *firsts(value, at, often.value, num, den)], names=["id", "_k1", "_k2", "n_shingles", "c", "hot", "first"])
 
     schema = T.StructType([T.StructField("id", kind), *(T.StructField(k, T.LongType()) for k in ("_k1", "_k2", "n_shingles")), T.StructField("c", T.BinaryType()), *LIST])
-    return docs, common.materialize(docs.mapInArrow(sets, schema), "shingles"), found
+    return docs, common.materialize(docs.mapInArrow(sets, schema), "shingles"), found, words
 
 
-def again(docs: DataFrame, nodes: DataFrame, crowded: DataFrame, found: np.ndarray, n: int, num: int, den: int) -> tuple[DataFrame, np.ndarray]:
+def again(docs: DataFrame, nodes: DataFrame, crowded: DataFrame, found: np.ndarray, words, n: int, num: int, den: int) -> tuple[DataFrame, np.ndarray]:
     """(node, n, hot, first) of the crowded nodes, with what is frequent among them last, and all that is frequent."""
     places = common.small(common.materialize(nodes.select("_k1", "_k2", "node").join(crowded, "node", "left_semi"), "wanted"))
     texts = docs.join(places, ["_k1", "_k2"]).select("node", "text")
-    found = np.union1d(found, frequent(texts, n))
+    found = np.union1d(found, frequent(texts, n, words))
     often = docs.sparkSession.sparkContext.broadcast(found)
 
     def sets(batches):
         for batch in batches:
-            for i, j, value, at in shingle_sets(batch.column(1), n):
+            for i, j, value, at in shingle_sets(batch.column(1), n, words.value):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), *firsts(value, at, often.value, num, den)], names=["node", "n", "hot", "first"])
 
     return common.materialize(texts.mapInArrow(sets, T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), *LIST])), "lists"), found
@@ -148,12 +176,12 @@ def tried(nodes: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
     return common.materialize(both.where((num + den) * most >= num * (F.col("n") + F.col("m"))).select("a", "b"), "pairs")
 
 
-def whole_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+def whole_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words, n: int) -> DataFrame:
     """(node, set) of the wanted nodes; one document's text stands for each."""
 
     def sets(batches):
         for batch in batches:
-            for i, j, value, at in shingle_sets(batch.column(1), n):
+            for i, j, value, at in shingle_sets(batch.column(1), n, words.value):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), common.lists(value.view(np.int64), at)], names=["node", "set"])
 
     places = common.materialize(nodes.select("_k1", "_k2", "node").join(wanted, "node", "left_semi"), "wanted")
@@ -203,7 +231,7 @@ def crowded_links(sets: DataFrame, sure: DataFrame, num: int, den: int) -> DataF
     return found.unionByName(common.materialize(more, "links"))
 
 
-def connect(docs: DataFrame, nodes: DataFrame, found: np.ndarray, n: int, num: int, den: int) -> DataFrame:
+def connect(docs: DataFrame, nodes: DataFrame, found: np.ndarray, words, n: int, num: int, den: int) -> DataFrame:
     """(node, component) of the classes with links."""
     lists, pairs, left = nodes, [], None
     for _ in range(LEVELS):
@@ -213,9 +241,9 @@ def connect(docs: DataFrame, nodes: DataFrame, found: np.ndarray, n: int, num: i
         before, left = left, crowded.count()
         if left <= SAMPLE or (before is not None and 2 * left > before):
             break
-        lists, found = again(docs, nodes, crowded, found, n, num, den)
+        lists, found = again(docs, nodes, crowded, found, words, n, num, den)
     pairs = functools.reduce(DataFrame.unionByName, pairs).distinct()
-    sets = whole_sets(docs, nodes, crowded.unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), n)
+    sets = whole_sets(docs, nodes, crowded.unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), words, n)
     sure = common.materialize(compared(pairs, sets, num, den), "links")
     return graph.components(sure.unionByName(crowded_links(sets.join(crowded, "node", "left_semi"), sure, num, den)))
 
@@ -229,10 +257,10 @@ def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
     number is the smallest id that isn't null (null if none is). _k1 and _k2 name the row's content.
     """
     common.bounded_batches(df.sparkSession)
-    docs, known, found = classes(df, n, num, den, id_col, text_col)
+    docs, known, found, words = classes(df, n, num, den, id_col, text_col)
     nodes = number(known)
     least = known.where("c is not null").groupBy("c").agg(F.min("id").alias("least"))
-    joined = nodes.select("c", "node").join(connect(docs, nodes, found, n, num, den), "node").join(least, "c")
+    joined = nodes.select("c", "node").join(connect(docs, nodes, found, words, n, num, den), "node").join(least, "c")
     label = joined.groupBy("component").agg(F.min("least").alias("label"))
     named = least.join(joined.select("c", "component").join(label, "component").select("c", "label"), "c", "left").select("c", F.coalesce("label", "least").alias("label"))
     out = known.join(named, "c", "left")

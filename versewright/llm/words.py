@@ -102,24 +102,32 @@ class Words:
         at = self.runs(n)
         return at, code[at]
 
-    def shingles(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct 64-bit hashes of runs of n words, row by row in ascending order, and the offsets of the rows.
+    @functools.cached_property
+    def hashes(self) -> np.ndarray:
+        return RollingHash(self.data).of(self.starts, self.ends)
+
+    def shingles(self, n: int, levels=None) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct numbers below 2**63 for runs of n words, row by row in ascending order, and the offsets of the rows.
 
-        A row with fewer words has one, of all its words; one without words has none.
+        A row with fewer words has one, of all its words; one without words has none. levels: small numbers for word
+        hashes; runs of words with higher ones get higher numbers (32 steps). The rest of a number is a hash.
         """
-        hashes = RollingHash(self.data).of(self.starts, self.ends)
-        at, row = self.runs(n), None
+        level = levels(self.hashes) if levels else np.zeros(len(self.starts), np.int64)
+        at = self.runs(n)
         with np.errstate(over="ignore"):
-            value = np.zeros(len(at), np.uint64)
+            value, step = np.zeros(len(at), np.uint64), np.zeros(len(at), np.int64)
             for k in range(n):
-                value = mix(value * _ODD + hashes[at + k])
+                value = mix(value * _ODD + self.hashes[at + k])
+                step += level[at + k]
             short = np.flatnonzero((self.n > 0) & (self.n < n))
-            rest = np.zeros(len(short), np.uint64)
+            rest, rest_step = np.zeros(len(short), np.uint64), np.zeros(len(short), np.int64)
             for k in range(n - 1):
                 on = self.n[short] > k
-                rest[on] = mix(rest[on] * _ODD + hashes[self.first[:-1][short[on]] + k])
+                rest[on] = mix(rest[on] * _ODD + self.hashes[self.first[:-1][short[on]] + k])
+                rest_step[on] += level[self.first[:-1][short[on]] + k]
         row = np.concatenate([self.row[at], short])
-        value = np.concatenate([value, rest])
+        value = np.concatenate([value, rest]) >> np.uint64(6)
+        value |= np.minimum(np.concatenate([step, rest_step]) * 2 // n, 31).astype(np.uint64) << np.uint64(58)
         order = np.lexsort((value, row))
         row, value = row[order], value[order]
         new = np.ones(len(row), bool)
