@@ -1,4 +1,8 @@
-"""Registry of the queries over the driver's tables and their DuckDB SQL."""
+"""Registry of the queries over the driver's tables and their DuckDB SQL.
+
+The tables hold plain prose, so queries that need markup make it in both engines: each document is a book whose lines are
+verses, twenty to a chapter.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .functions import cleanup as cl
+from .functions import dims, rules
+from .functions import text as tx
+from .operators import checks, transforms
+from .operators import tokens as tk
+from .sinks import reports
+from .sources import files as fl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -27,9 +40,363 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query(
-    "SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x0B]+')) AS w FROM documents) WHERE w <> '' GROUP BY w"
-)
-def word_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"[ \t\n\r\f\x0B]+")).alias("word"))
+# documents as lines and as marked books, in both engines
+
+W, NW = tx.WORD, tx.NOT_WORD
+SQL_SPLIT = r"list_filter(regexp_split_to_array({0}, '[ \t\n\r\f\x0B]+'), lambda w: w <> '')"
+SQL_LINES = "(SELECT doc_id, i - 1 AS idx, string_split(coalesce(text, ''), chr(10))[i] AS line FROM documents, range(1, len(string_split(coalesce(text, ''), chr(10))) + 1) AS r(i))"
+
+
+def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("idx", "line"))
+
+
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): documents as books; line k is verse k % 20 + 1 of chapter k / 20 + 1."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    verse = lambda x, i: F.concat(F.when(i % 20 == 0, F.concat(F.lit("\\c "), (i / 20 + 1).cast("int").cast("string"), F.lit("\n\\p\n"))).otherwise(""), F.lit("\\v "), (i % 20 + 1).cast("string"), F.lit(" "), x, F.lit("\n"))
+    body = F.array_join(F.transform(lines, verse), "")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("\\id GEN\n\\h "), "source", F.lit("\n"), body).alias("content"))
+
+
+SPACES = r"[ \t\n\r\f\x0B]+"
+
+
+@query(f"SELECT w AS word, count(*) AS n FROM (SELECT unnest({SQL_SPLIT.format('text')}) AS w FROM documents) GROUP BY w")
+def word_list(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", SPACES)).alias("word"))
     return words.where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+
+
+STRIP_SQL = "'.,:;!?+-[]{}()<>\"“‘’”*/'"
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, trim(unnest({SQL_SPLIT.format('text')}), {STRIP_SQL}) AS word FROM documents)
+SELECT word, count(*) AS n, CASE WHEN count(*) = 1 THEN min(doc_id) END AS only_doc FROM w WHERE word <> '' AND NOT regexp_matches(word, '\\p{{N}}') GROUP BY word""")
+def stripped_word_list(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", SPACES)).alias("w")).select("doc_id", F.btrim("w", F.lit(checks.STRIP)).alias("word"))
+    words = words.where((F.col("word") != "") & ~F.col("word").rlike(r"\p{N}"))
+    return words.groupBy("word").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).select("word", "n", F.when(F.col("n") == 1, F.col("first")).alias("only_doc"))
+
+
+@query()
+def mixed_case_words(spark, sf_dir):
+    words = stripped_word_list(spark, sf_dir).where(F.col("word") != F.lower("word"))
+    return words.where(rules.column(rules.is_mixed_case, "boolean")("word"))
+
+
+ENDS_SQL = r"regexp_matches({0}, '[.?!।፡።][^\p{{L}}\p{{N}}_]*$')"
+
+
+@query(f"SELECT doc_id, coalesce({ENDS_SQL.format('text')}, false) AS ends FROM documents UNION ALL SELECT conv_id * 1000 + turn + 10000000, coalesce({ENDS_SQL.format('text')}, false) FROM conversations")
+def sentence_ends(spark, sf_dir):
+    ends = F.coalesce(tx.ends_sentence("text"), F.lit(False)).alias("ends")
+    return table(spark, sf_dir, "documents").select("doc_id", ends).unionByName(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn") + 10000000).alias("doc_id"), ends))
+
+
+@query(rf"SELECT doc_id, regexp_extract(text, '([\p{{L}}\p{{N}}_]+-[\p{{L}}\p{{N}}_]+|[\p{{L}}\p{{N}}_]+)', 1) AS word FROM documents")
+def first_words(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.first_word("text").alias("word"))
+
+
+@query()
+def sentence_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", rules.column(rules.sentence_count, "int")("text").alias("n"), F.size(rules.column(rules.sentence_starts, "array<int>")("text")).alias("starts"))
+
+
+@query(f"""
+SELECT doc_id, idx, round(len(list_filter(ws, lambda w: regexp_matches(w, '^[^a-z]*[A-Z][^A-Z]*$'))) / len(ws)::DOUBLE, 6) AS share FROM (SELECT doc_id, idx, {SQL_SPLIT.format('line')} AS ws FROM {SQL_LINES}) WHERE len(ws) > 0""")
+def titlecase_fraction(spark, sf_dir):
+    words = F.filter(F.split("line", SPACES), lambda w: w != "")
+    lines = doc_lines(spark, sf_dir).select("doc_id", "idx", words.alias("ws")).where(F.size("ws") > 0)
+    return lines.select("doc_id", "idx", F.round(F.size(F.filter("ws", lambda w: w.rlike("^[^a-z]*[A-Z][^A-Z]*$"))) / F.size("ws"), 6).alias("share"))
+
+
+@query("""
+SELECT doc_id AS id, length(text) - length(replace(text, '"', '')) AS doubles, length(text) - length(replace(text, '''', '')) - len(regexp_extract_all(regexp_replace(text, '([\\p{L}\\p{N}_])''([\\p{L}\\p{N}_])', '\\1<''>\\2', 'g'), '<''>')) AS singles FROM documents
+UNION ALL SELECT page_id + 1000000000, length(html) - length(replace(html, '"', '')), NULL FROM pages""")
+def straight_quote_counts(spark, sf_dir):
+    doubles, singles = tx.straight_quotes("text")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), doubles.cast("long").alias("doubles"), singles.cast("long").alias("singles"))
+    pages = table(spark, sf_dir, "pages").select((F.col("page_id") + 1000000000).alias("id"), tx.straight_quotes("html")[0].cast("long").alias("doubles"), F.lit(None).cast("long").alias("singles"))
+    return docs.unionByName(pages)
+
+
+QUOTE_SQL = r"""
+SELECT conv_id, turn, ((regexp_matches(t, '^[^\p{L}\p{N}_]*["''“‘‹«]+[^\n]*[\p{L}\p{N}_]')::INT + regexp_matches(t, '[\p{L}\p{N}_][^\n]*["''’”›»]+[^\p{L}\p{N}_]*$')::INT + regexp_matches(t, '[\p{L}\p{N}_][^\n]*["“‘‹«”›»]+[^\n]*[\p{L}\p{N}_]')::INT) % 2) = 1 AS partial
+FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '"' || text WHEN 1 THEN text || '”' WHEN 2 THEN '“' || text || '”' ELSE text END AS t FROM conversations)"""
+
+
+@query(QUOTE_SQL)
+def quote_state(spark, sf_dir):
+    t = F.when(F.col("turn") % 4 == 0, F.concat(F.lit('"'), "text")).when(F.col("turn") % 4 == 1, F.concat("text", F.lit("”"))).when(F.col("turn") % 4 == 2, F.concat(F.lit("“"), "text", F.lit("”"))).otherwise(F.col("text"))
+    return table(spark, sf_dir, "conversations").withColumn("t", t).select("conv_id", "turn", tx.partial_quote("t").alias("partial"))
+
+
+def _nested_replace(start: str) -> str:
+    out = start
+    for a, b in cl.SUBSTITUTIONS:
+        q = lambda s: "'" + s.replace("'", "''") + "'"
+        out = f"replace({out}, {q(a)}, {q(b)})"
+    return out
+
+
+@query("SELECT doc_id, md5(" + _nested_replace("replace(replace(text, ', ', ' ,, '), '. ', ' .? ( ')") + ") AS digest FROM documents")
+def substitution_chain(spark, sf_dir):
+    noisy = F.replace(F.replace(F.col("text"), F.lit(", "), F.lit(" ,, ")), F.lit(". "), F.lit(" .? ( "))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(cl.substitute(noisy)).alias("digest"))
+
+
+@query(f"""
+WITH l AS {SQL_LINES}, t AS (
+SELECT doc_id, 'v' AS type, count(*) AS n FROM l GROUP BY 1 UNION ALL SELECT doc_id, 'c', count(*) FROM l WHERE idx % 20 = 0 GROUP BY 1 UNION ALL SELECT doc_id, 'p', count(*) FROM l WHERE idx % 20 = 0 GROUP BY 1
+UNION ALL SELECT doc_id, 'text', count(*) FROM l WHERE trim(line, ' \t') <> '' GROUP BY 1 UNION ALL SELECT doc_id, unnest(['id', 'h']), 1 FROM documents)
+SELECT doc_id::VARCHAR AS path, type, n FROM t""".replace("\\t", "' || chr(9) || '"))
+def verse_tokens(spark, sf_dir):
+    return tk.tokens(marked(spark, sf_dir)).groupBy("path", "type").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id::VARCHAR AS path, idx // 20 + 1 AS chapter, idx % 20 + 1 AS verse, 'GEN ' || (idx // 20 + 1) || ':' || (idx % 20 + 1) AS ref, length(line) AS length FROM (SELECT doc_id, idx, regexp_replace(line, '^[ ]+', '') AS line FROM {SQL_LINES})")
+def verse_text(spark, sf_dir):
+    verses = tk.verses(tk.with_context(tk.tokens(marked(spark, sf_dir))))
+    return verses.select("path", F.col("chapter").cast("long").alias("chapter"), F.col("verse").cast("long").alias("verse"), "ref", F.col("length").cast("long").alias("length"))
+
+
+@query("""
+WITH s AS (SELECT l_orderkey, l_linenumber AS verse, coalesce(lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber), 0) AS last FROM lineitem)
+SELECT l_orderkey, verse, last, CASE WHEN verse = last THEN 40.0 WHEN verse = last + 2 THEN 41.0 WHEN verse > last + 2 THEN 41.1 END AS error_id FROM s WHERE verse = last OR verse >= last + 2""")
+def verse_sequence_issues(spark, sf_dir):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    s = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("verse"), F.coalesce(F.lag("l_linenumber").over(w), F.lit(0)).alias("last"))
+    kind = F.when(F.expr("verse = last"), 40.0).when(F.expr("verse = last + 2"), 41.0).when(F.expr("verse > last + 2"), 41.1)
+    return s.select("l_orderkey", "verse", "last", kind.alias("error_id")).where("error_id is not null")
+
+
+@query("SELECT o_orderkey, count(l_orderkey) AS lines, coalesce(max(l_linenumber), 0) AS top, count(l_orderkey) <> coalesce(max(l_linenumber), 0) AS differs FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def chapter_counts(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.max("l_linenumber").alias("top"))
+    joined = table(spark, sf_dir, "orders").select("o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    n, top = F.coalesce("lines", F.lit(0)), F.coalesce("top", F.lit(0))
+    return joined.select("o_orderkey", n.alias("lines"), top.alias("top"), (n != top).alias("differs"))
+
+
+@query(f"""
+WITH b AS (SELECT item_id, list_distinct({SQL_SPLIT.format('text')}) AS ws FROM benchmark), d AS (SELECT doc_id, list_distinct({SQL_SPLIT.format('text')}) AS ws FROM documents),
+c AS (SELECT doc_id, item_id, d.ws AS x, b.ws AS y FROM d JOIN b ON item_id = doc_id % 40)
+SELECT doc_id, item_id, round(len(list_filter(list_intersect(x, y), lambda w: length(w) > 2 AND lower(w) = w AND upper(w) <> w)) / len(list_distinct(list_concat(x, y)))::DOUBLE, 6) AS similarity FROM c""")
+def untranslated_similarity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
+    source = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("source"))
+    return docs.join(source, "item_id").select("doc_id", "item_id", F.round(tx.shared_words("text", "source"), 6).alias("similarity"))
+
+
+@query("""
+WITH c AS (SELECT p_partkey, s_suppkey, list_distinct(string_split(upper(p_name), '')) AS x, list_distinct(string_split(upper(s_name), '')) AS y FROM part JOIN supplier ON s_suppkey = p_partkey % 10 + 1)
+SELECT p_partkey, s_suppkey, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::DOUBLE, 6) AS similarity FROM c""")
+def char_jaccard(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", (F.col("p_partkey") % 10 + 1).alias("s_suppkey"))
+    joined = part.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey")
+    return joined.select("p_partkey", "s_suppkey", F.round(tx.character_similarity("p_name", "s_name"), 6).alias("similarity"))
+
+
+@query("""
+WITH h AS (SELECT c_custkey, n_name FROM customer JOIN nation ON contains(lower(c_mktsegment || ' ' || n_name), lower(n_name)) AND n_nationkey <= c_nationkey),
+g AS (SELECT c_custkey, n_name, row_number() OVER (PARTITION BY c_custkey ORDER BY length(n_name) DESC, n_name DESC) AS k FROM h) SELECT c_custkey, n_name FROM g WHERE k = 1""")
+def longest_name_match(spark, sf_dir):
+    nations = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))  # 25 rows
+    hits = table(spark, sf_dir, "customer").join(nations, F.lower(F.concat_ws(" ", "c_mktsegment", "n_name")).contains(F.lower("n_name")) & (F.col("n_nationkey") <= F.col("c_nationkey")))
+    return hits.groupBy("c_custkey").agg(F.max_by("n_name", F.struct(F.length("n_name"), F.col("n_name"))).alias("n_name"))
+
+
+@query("""
+WITH s AS (SELECT o_custkey, o_orderkey AS lo, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS hi FROM orders), m AS (SELECT o_custkey, lo, hi FROM s WHERE hi - lo > 8)
+SELECT o_custkey, lo, hi, len(list_filter(range(1, 17), lambda k: k * 1000 > lo AND k * 1000 < hi)) AS inside FROM m""")
+def chunk_range_join(spark, sf_dir):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    gaps = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("lo"), F.lead("o_orderkey").over(w).alias("hi")).where("hi - lo > 8")
+    model = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda k: k * 1000)
+    return gaps.select("o_custkey", "lo", "hi", F.size(F.filter(model, lambda v: (v > F.col("lo")) & (v < F.col("hi")))).cast("long").alias("inside"))
+
+
+@query("SELECT doc_id, array_to_string(list_sort(list_filter(range(1, 11), lambda k: NOT list_contains(list_transform(regexp_extract_all(coalesce(text, ''), '[0-9]+'), lambda n: TRY_CAST(n AS INTEGER)), k))), ',') AS missing FROM documents")
+def missing_numbers(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.sequence(F.lit(1), F.lit(10)).alias("expected"))
+    return docs.select("doc_id", F.array_join(F.array_sort(transforms.missing_verses("text", "expected")), ",").alias("missing"))
+
+
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
+def semi_exempt(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders").where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
+def anti_exempt(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders").where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+
+
+@query("SELECT event_type AS label, count(*) AS n FROM events GROUP BY event_type")
+def label_inventory(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("label")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '<p')) AS paragraphs, len(regexp_extract_all(html, '<li')) AS items, round(len(regexp_extract_all(html, '<p')) / nullif(len(regexp_extract_all(html, '<h1')), 0)::DOUBLE, 6) AS ratio FROM pages")
+def marker_counts(spark, sf_dir):
+    n = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
+    return table(spark, sf_dir, "pages").select("page_id", n("<p").alias("paragraphs"), n("<li").alias("items"), F.round(F.try_divide(n("<p"), n("<h1")), 6).alias("ratio"))
+
+
+@query("SELECT DISTINCT source, lang FROM documents")
+def distinct_contributors(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("source", "lang").distinct()
+
+
+@query("""
+WITH f AS (SELECT CASE WHEN text = '' THEN 1.0 WHEN length(text) < 11 THEN 2.0 END AS e FROM documents UNION ALL SELECT CASE WHEN NOT regexp_matches(text, '[^\\x00-\\x7F]') THEN 3.0 END FROM documents UNION ALL SELECT CASE WHEN contains(text, '/') THEN 52.1 END FROM documents UNION ALL SELECT CASE WHEN contains(text, '=') THEN 52.3 END FROM documents UNION ALL SELECT CASE WHEN length(text) < 100 THEN 80.0 END FROM documents)
+SELECT e AS error_id, count(*) AS n FROM f WHERE e IS NOT NULL GROUP BY ROLLUP (e)""")
+def issue_summary(spark, sf_dir):
+    t, n = F.col("text"), F.length("text")
+    found = F.array(F.when(t == "", 1.0).when(n < 11, 2.0), F.when(tx.is_ascii("text"), 3.0), F.when(t.contains("/"), 52.1), F.when(t.contains("="), 52.3), F.when(n < 100, 80.0))
+    rows = table(spark, sf_dir, "documents").select(F.explode(found).alias("error_id")).where("error_id is not null")
+    return rows.rollup("error_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT md5(text) AS id, count(*) AS n, list_sort(list(doc_id)) AS docs FROM documents GROUP BY text HAVING count(*) > 1")
+def dup_ids(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("text").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("doc_id")).alias("docs")).where("n > 1").select(F.md5("text").alias("id"), "n", "docs")
+
+
+@query("SELECT doc_id, NOT regexp_matches(text, '[^\\x00-\\x7F]') AS is_ascii FROM documents")
+def ascii_rows(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.is_ascii("text").alias("is_ascii"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value, len(json_keys(props)) AS n FROM events")
+def json_fields(spark, sf_dir):
+    keys = F.json_object_keys("props")
+    return table(spark, sf_dir, "events").select("event_id", F.try_element_at(F.map_values(F.from_json("props", "map<string,string>")), F.lit(1)).alias("first_value"), F.size(keys).cast("long").alias("n"))
+
+
+@query("SELECT doc_id, md5(translate(text, '0123456789', '۰۱۲۳۴۵۶۷۸۹')) AS digest FROM documents")
+def digit_translate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.translate("text", "0123456789", cl.URDU_DIGITS)).alias("digest"))
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, idx, '\\v ' || (idx % 3 + 1) || CASE WHEN idx % 4 = 0 THEN '' ELSE ' ' || line END AS line FROM {SQL_LINES}),
+s AS (SELECT doc_id, idx, line, CAST(regexp_extract(line, '^\\\\v ([0-9]+)', 1) AS INT) AS v, lead(line) OVER (PARTITION BY doc_id ORDER BY idx) AS nxt, lag(CAST(regexp_extract(line, '^\\\\v ([0-9]+)', 1) AS INT)) OVER (PARTITION BY doc_id ORDER BY idx) AS last FROM l)
+SELECT doc_id, count(*) AS kept, sum(idx) AS places FROM s WHERE NOT (regexp_matches(line, '^\\\\v [0-9]+ *$') AND (coalesce(starts_with(nxt, rtrim(line)), false) OR coalesce(v = last, false))) GROUP BY doc_id""")
+def line_filter_widow(spark, sf_dir):
+    lines = doc_lines(spark, sf_dir).select(F.col("doc_id").alias("path"), "idx", F.concat(F.lit("\\v "), (F.col("idx") % 3 + 1).cast("string"), F.when(F.col("idx") % 4 == 0, "").otherwise(F.concat(F.lit(" "), "line"))).alias("line"))
+    return transforms.remove_duplicate_verses(lines).groupBy(F.col("path").alias("doc_id")).agg(F.count("*").alias("kept"), F.sum("idx").alias("places"))
+
+
+@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b, a.n_name AS name_a, b.n_name AS name_b, length(a.n_name) <> length(b.n_name) AS differs FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+def title_pair_check(spark, sf_dir):
+    a = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("a"), F.col("n_name").alias("name_a"), "n_regionkey")
+    b = F.broadcast(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("b"), F.col("n_name").alias("name_b"), "n_regionkey"))  # 25 rows
+    return a.join(b, "n_regionkey").where("a < b").select("a", "b", "name_a", "name_b", (F.length("name_a") != F.length("name_b")).alias("differs"))
+
+
+@query("SELECT doc_id, CASE WHEN regexp_matches(t, '^[0-9]+$') THEN TRY_CAST(t AS BIGINT) ELSE 0 END AS value FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN translate(doc_id::VARCHAR, '0123456789', '०१२३४५६७८९') ELSE 'x' || doc_id END AS s, CASE WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR ELSE 'x' || doc_id END AS t FROM documents)")
+def decimal_values(spark, sf_dir):
+    s = F.when(F.col("doc_id") % 2 == 0, F.translate(F.col("doc_id").cast("string"), "0123456789", "०१२३४५६७८९")).otherwise(F.concat(F.lit("x"), F.col("doc_id").cast("string")))
+    return table(spark, sf_dir, "documents").withColumn("s", s).select("doc_id", tx.decimal_value("s").alias("value"))
+
+
+@query(f"SELECT doc_id, idx, length(regexp_extract(line, '^([^“‘‹«''\"’”›»]*)', 1)) AS at FROM {SQL_LINES} WHERE regexp_matches(line, '[“‘‹«''\"’”›»]') UNION ALL SELECT doc_id, idx, -1 FROM {SQL_LINES} WHERE NOT regexp_matches(line, '[“‘‹«''\"’”›»]')")
+def quote_positions(spark, sf_dir):
+    return doc_lines(spark, sf_dir).select("doc_id", F.col("idx").cast("long").alias("idx"), tx.quote_position("line").cast("long").alias("at"))
+
+
+@query("SELECT doc_id, instr(' ' || regexp_replace(text, '[^0-9]', ' ', 'g') || ' ', ' 2 ') - 1 AS at FROM documents")
+def number_places(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.has_number("text", F.lit(2)).cast("long").alias("at"))
+
+
+@query(f"SELECT doc_id, md5('\\c 1' || chr(10) || string_agg(CASE WHEN idx % 5 = 0 THEN '\\s ' || idx || chr(10) || '\\p' || chr(10) ELSE '' END || '\\v ' || (idx + 1) || ' x', chr(10) ORDER BY idx)) AS digest FROM {SQL_LINES} GROUP BY doc_id")
+def paragraph_marks_added(spark, sf_dir):
+    line = F.concat(F.when(F.col("idx") % 5 == 0, F.concat(F.lit("\\s "), F.col("idx").cast("string"), F.lit("\n"))).otherwise(""), F.lit("\\v "), (F.col("idx") + 1).cast("string"), F.lit(" x"))
+    books = doc_lines(spark, sf_dir).select("doc_id", "idx", line.alias("l")).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "l"))), lambda x: x["l"]), "\n").alias("b"))
+    return books.select("doc_id", F.md5(cl.add_paragraph_marks(F.concat(F.lit("\\c 1\n"), "b"))).alias("digest"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\\.\\.', '.', 'g'), '([^ ])\\(', '\\1 (', 'g')) AS digest FROM documents WHERE NOT contains(text, '...')")
+def punctuation_spacing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where(~F.col("text").contains("..."))
+    return docs.select("doc_id", F.md5(F.regexp_replace(F.regexp_replace("text", r"\.\.", "."), r"([^ ])\(", "$1 (")).alias("digest"))
+
+
+@query(f"SELECT CAST(l.doc_id AS VARCHAR) AS path, l.paragraphs, l.poetry, l.chapters FROM (SELECT doc_id, (max(idx) // 20 + 1) + coalesce(sum(len(regexp_extract_all(line, '\\\\p'))), 0)::BIGINT AS paragraphs, coalesce(sum(len(regexp_extract_all(line, '\\\\q'))), 0)::BIGINT AS poetry, max(idx) // 20 + 1 AS chapters FROM {SQL_LINES} GROUP BY doc_id) l")
+def paragraph_counts(spark, sf_dir):
+    counts = reports.paragraph_counts(marked(spark, sf_dir))
+    return counts.select("path", *(F.col(c).cast("long").alias(c) for c in ("paragraphs", "poetry", "chapters")))
+
+
+@query("SELECT o_custkey, o_orderkey AS start, coalesce(lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1, 20000) AS \"end\" FROM orders")
+def verse_ranges(spark, sf_dir):
+    chunks = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("book"), F.lit(1).alias("chapter"), F.col("o_orderkey").alias("start"))
+    w = Window.partitionBy("book", "chapter").orderBy("start")
+    return chunks.select(F.col("book").alias("o_custkey"), "start", F.coalesce(F.lead("start").over(w) - 1, F.lit(20000)).alias("end"))
+
+
+# rows only: state machines, and functions that SQL lacks
+
+
+@query()
+def usfm_issues(spark, sf_dir):
+    return checks.verify(marked(spark, sf_dir), dims.books(spark))
+
+
+@query()
+def usfm_issue_counts(spark, sf_dir):
+    return checks.summary(checks.verify(marked(spark, sf_dir), dims.books(spark)))
+
+
+@query()
+def books_rewritten(spark, sf_dir):
+    return tk.written(tk.tokens(marked(spark, sf_dir))).select("path", F.md5("content").alias("digest"))
+
+
+@query()
+def books_cleaned(spark, sf_dir):
+    return transforms.clean_books(marked(spark, sf_dir)).select("path", F.md5("content").alias("digest"), "changed")
+
+
+@query()
+def quotes_promoted(spark, sf_dir):
+    quoted = F.concat(F.lit('"'), F.coalesce("text", F.lit("")), F.lit('"\n'))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(rules.column(rules.promote_quotes)(quoted)).alias("digest"))
+
+
+@query()
+def capitalized(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(rules.column(rules.capitalize)(F.lower("text"))).alias("digest"))
+
+
+@query()
+def headings(spark, sf_dir):
+    return doc_lines(spark, sf_dir).where(F.length("line") < 120).where(rules.column(rules.is_heading, "boolean")("line"))
+
+
+@query()
+def paragraphs_by_model(spark, sf_dir):
+    context = tk.with_context(tk.tokens(marked(spark, sf_dir)))
+    model = transforms.paragraph_model(context.where("path = '0'"))
+    return transforms.mark_paragraphs(context, model).select("path", F.md5("content").alias("digest"), "changed")
+
+
+@query()
+def chunk_containers(spark, sf_dir):
+    context = tk.with_context(tk.tokens(marked(spark, sf_dir)))
+    return transforms.resource_container(context, transforms.chunk_starts(context)).select("path", F.md5("content").alias("digest"))
+
+
+@query()
+def usx_chunk_files(spark, sf_dir):
+    return reports.usx_chunks(tk.with_context(tk.tokens(marked(spark, sf_dir)))).select("path", "file", F.md5("content").alias("digest"))
+
+
+@query()
+def chapter_audio(spark, sf_dir):
+    return fl.audio_urls(dims.books(spark), "https://example.org/%s/%02d.mp3")
