@@ -35,7 +35,7 @@ def folder(spark: SparkSession, path: str, suffix: str = "sfm", case_sensitive:
 
 def decoded(files: DataFrame) -> DataFrame:
     """files with content (UTF-8, no byte order mark, line feeds) and is_utf8; other bytes become replacement marks."""
-    return files.withColumn("is_utf8", F.is_valid_utf8("raw")).withColumn("content", tx.normalize_newlines(F.decode("raw", "UTF-8"))).drop("raw")
+    return files.withColumn("is_utf8", F.is_valid_utf8("raw")).withColumn("content", tx.normalize_newlines(F.make_valid_utf8(F.col("raw").cast("string")))).drop("raw")
 
 
 def usfm(spark: SparkSession, path: str, **options) -> DataFrame:
