@@ -12,6 +12,7 @@ import base64
 import functools
 import json
 import os
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from . import common
 # The classes of code points that the pattern tells apart.
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 #: Distinct pre-tokens whose ids a worker remembers, and as many used before (a cache: results don't depend on it).
-REMEMBER = 50_000
+REMEMBER = 100_000
 
 
 def byte_chars() -> list[str]:
@@ -82,8 +83,8 @@ class Codec:
             name = lambda b: "".join(chars[x] for x in b)
             vocab = {name(t): r for t, r in ranks.items()}
             tk = Tokenizer(models.BPE(vocab=vocab, merges=[(name(a), name(b)) for a, b in merges_of(ranks)], ignore_merges=True))
-        tk.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.tk = tk
+        self.chars = dict(enumerate(chars))
         self.split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
         byte_of = {c: b for b, c in enumerate(chars)}
         self.size = max([*vocab.values(), *self.specials.values()]) + 1
@@ -181,14 +182,10 @@ class Codec:
                     young[p] = np.array([self.specials[p]], np.uint32).tobytes()
                 else:
                     new.append(p)
-        for i in range(0, len(new), 1000):
-            part = new[i : i + 1000]
-            e = self.tk.encode([p.decode() for p in part], is_pretokenized=True, add_special_tokens=False)
-            ends = np.searchsorted(np.array(e.word_ids), np.arange(len(part)), "right").tolist()
-            raw, at = np.array(e.ids, np.uint32).tobytes(), 0
-            for p, end in zip(part, ends, strict=True):
-                young[p] = raw[4 * at : 4 * end]
-                at = end
+        merge, chars = self.tk.model.tokenize, self.chars
+        for p in new:
+            found = merge(p.decode("latin-1").translate(chars))
+            young[p] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
         return [young[p] for p in pieces]
 
     def blocks(self, data: np.ndarray, offsets: np.ndarray):

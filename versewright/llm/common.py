@@ -11,6 +11,8 @@ later stages read come from the same run.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -22,9 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that numpy works on at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Bytes and rows of an Arrow batch sent to Python at most (one row may be longer).
-BATCH_BYTES, BATCH_ROWS = 8 << 20, 4096
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -78,8 +80,23 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library
+        return None
+
+
+def give_back() -> None:
+    """Give memory that arrays of earlier batches held back to the system: workers live on, and share the machine."""
+    if libc := _libc():
+        libc.malloc_trim(0)
+
+
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column, and the offsets of its rows (one more than rows; the first may not be 0)."""
+    give_back()
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     kind = pa.binary() if pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type) else pa.string()

@@ -36,7 +36,7 @@ K = 64
 #: Contexts of one k-gram up to which a bucket compares them; beyond it their windows are dealt one by one.
 CROWD = 2000
 #: Bytes of a text whose windows are looked at together.
-STRETCH = 1 << 20
+STRETCH = 1 << 19
 _POSITION = (1 << 24) - 1
 
 

@@ -46,7 +46,7 @@ class RollingHash:
 
     def __init__(self, data: np.ndarray, seed: int = 1):
         self.base = int(mix(np.array([seed], np.uint64) * _ODD)[0]) | 5
-        n = 1 << max(16, len(data).bit_length())
+        n = max(1 << 19, -(-len(data) >> 19) << 19)
         self.down = _powers(invert(self.base), n)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_values(seed)[data] * _powers(self.base, n)[: len(data)], out=self.sums[1:])
