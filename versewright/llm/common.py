@@ -23,6 +23,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Arrow's own allocators keep what they once had; the system's gives it back when asked, see give_back.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Bytes of text that numpy works on at once.
 BLOCK = 1 << 19
 #: Bytes and rows of an Arrow batch sent to Python at most (one row may be longer).

@@ -240,8 +240,12 @@ def near_duplicates(df: DataFrame, cosine: float = 0.9, id_col: str = "vec_id",
     if not dims or vectors.isEmpty():
         own = rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
         return own.withColumn("kept", F.col(id_col).isNotNull())
-    tables, bits = layout(vectors.count(), cosine, recall)
-    compared = common.materialize(compare(vectors, common.materialize(candidates(vectors, dims, cosine, tables, bits), "groups"), dims, cosine), "compared")
+    n = vectors.count()
+    if n <= CELL:  # one cell's worth: all are candidates of each other, where codes would have too little to learn from
+        groups = vectors.select("node", F.lit(0).cast("long").alias("component"))
+    else:
+        groups = common.materialize(candidates(vectors, dims, cosine, *layout(n, cosine, recall)), "groups")
+    compared = common.materialize(compare(vectors, groups, dims, cosine), "compared")
     counts = compared.groupBy("node").agg(F.sum("n").alias("n"))
     named = vectors.select("node", "least").join(graph.components(compared.where("node <> root"), "node", "root"), "node")
     label = named.select("node", "component").join(named.groupBy("component").agg(F.min("least").alias("label")), "component").select("node", "label")

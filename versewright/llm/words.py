@@ -9,7 +9,7 @@ from __future__ import annotations
 import functools
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 
 from . import common
 
@@ -97,7 +97,7 @@ class Words:
         while size < n:
             if len(code) <= size:
                 return np.zeros(0, np.int64), np.zeros(0, np.int64)
-            code = pd.factorize(code[:-size] * (int(code.max()) + 1) + code[size:])[0].astype(np.int64)
+            code = pa.array(code[:-size] * (int(code.max()) + 1) + code[size:]).dictionary_encode().indices.to_numpy().astype(np.int64)
             size *= 2
         at = self.runs(n)
         return at, code[at]
