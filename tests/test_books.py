@@ -247,3 +247,9 @@ def test_static_tables(spark):
     assert b.count() == 70 and b.agg(F.sum("chapters")).first()[0] == 1189
     assert {r["id"]: r["usfm_number"] for r in b.where("id in ('GEN','MAL','MAT','REV')").collect()} == {"GEN": "01", "MAL": "39", "MAT": "41", "REV": "67"}
     assert dims.markers(spark).where("category = 'PP'").count() == 6
+
+
+def test_aligned_books():
+    out = transforms.aligned_book("\\id GEN x\n\\usfm 2\n\\toc3 genesis\n\\h Genesis\n\\sts 1\n\\c 1\n\\v 1 a\n\\p\n\\v 2 b")
+    assert out == "\\id GEN x\n\\usfm 3.0\n\\ide UTF-8\n\\h Genesis\n\\toc1 Genesis\n\\toc2 Genesis\n\\toc3 gen\n\\mt1 Genesis\n\\sts 1\n\\c 1\n\\p\n\\v 1 a\n\\p\n\\v 2 b\n"
+    assert transforms.aligned_book("\\id GEN") == "\\id GEN"

@@ -126,3 +126,21 @@ def test_longest_common_prefix(spark):
 def test_unalign():
     s = '\\c 1\n\\v 1 \\zaln-s |x="y"\\*\\w In|lemma="in"\\w*\\zaln-e\\*\n\\w truth|lemma="t"\\w* .'
     assert cl.unalign(s) == "\\c 1\n\\v 1 In truth."
+
+
+@pytest.mark.parametrize(
+    "s, out",
+    [
+        ("\\c 2 The Great Flood\n\\v 1 x", "\\c 2\\s The Great Flood\n\\v 1 x"),
+        ("\\v 1 It came. The Great Flood", "\\v 1 It came. \\s The Great Flood"),
+        ("\\v 1 x y.\nThe Great Flood\n\\v 2 and", "\\v 1 x y.\n\\s The Great Flood\n\\v 2 and"),
+        ("\\v 1 nothing here", "\\v 1 nothing here"),
+    ],
+)
+def test_mark_heading(s, out):
+    assert cl.mark_heading(s) == out
+
+
+def test_augment_chapter(spark):
+    [(a, b, c)] = native(spark, ["\\c 3 \\v 1 x"], cl.augment_chapter("t", F.lit("Chapter 3")), cl.augment_chapter("t", F.lit("3")), cl.augment_chapter(F.lit("\\v 1"), F.lit("x")))
+    assert (a, b, c) == ("\\c 3\n\\cl Chapter 3\n\\p\n\\v 1 x", "\\c 3\n\\p\n\\v 1 x", "\\v 1")
