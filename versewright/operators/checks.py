@@ -72,7 +72,7 @@ def text_issues(s: Column, ref: Column, o: Options) -> list[Column]:
     out = [
         i("55", s.contains("<") & ~s.contains(">") & s.contains("<< HEAD"), "Unresolved translation conflict near ", ref),
         i("56", s.contains("<") & ~s.contains(">") & ~s.contains("<< HEAD"), "Angle bracket not closed at ", ref),
-        i("57", s.contains("Conflict Parsing Error"), "BTT Writer artifact in ", ref),
+        i("57", s.contains("Conflict Parsing Error"), "Editor artifact in ", ref),
         i("58", s.rlike(r"(?s)^\s*[.,;:!?].?$"), "Orphaned punctuation at ", ref),
         i("58.1", s.rlike(r"(?s)^\s*[.,;:!?]") & ~s.rlike(r"(?s)^\s*[.,;:!?].?$"), "Text begins with phrase-ending punctuation in ", ref),
     ]

@@ -53,7 +53,7 @@ def kind_of(core: dict) -> str:
     return "tn-tsv" if kind == "tn" and core.get("format") == "text/tsv" else kind
 
 
-def core_issues(core: dict, folder: str, today: str, ascii_ok: bool, forced: bool) -> list[str]:
+def core_issues(core: dict, folder: str, today: str, ascii_ok: bool, forced: bool, source_publishers: tuple = ()) -> list[str]:
     kind, out = kind_of(core), keys("dublin_core", core, CORE)
     bible = is_bible(kind, forced)
     say = out.append
@@ -93,7 +93,7 @@ def core_issues(core: dict, folder: str, today: str, ascii_ok: bool, forced: boo
     if isinstance(language.get("title"), str) and language["title"].isascii() and not ascii_ok:
         say(f"Possible error: remember to localize language title: {language['title']}")
     publisher = str(core.get("publisher", ""))
-    if code != "en" and "unfolding" in publisher.lower():
+    if code != "en" and any(p.lower() in publisher.lower() for p in source_publishers):
         say(f"Invalid publisher: {publisher}")
     relations = core.get("relation") or []
     if len(set(map(str, relations))) < len(relations):
@@ -249,14 +249,14 @@ def pair_issues(projects: list[dict]) -> list[str]:
     return out
 
 
-def manifest_issues(text: str, folder: str, today: str, ascii_ok: bool = False, forced: bool = False) -> list[str]:
-    """All issues of one manifest, given as JSON."""
+def manifest_issues(text: str, folder: str, today: str, ascii_ok: bool = False, forced: bool = False, source_publishers: tuple = ()) -> list[str]:
+    """All issues of one manifest, given as JSON. source_publishers: those of the source texts, who don't publish translations."""
     m = json.loads(text)
     if not isinstance(m, dict) or "error" in m:
         return [m["error"] if isinstance(m, dict) else "Syntax error in manifest"]
     core, projects = m.get("dublin_core") or {}, m.get("projects") or []
     kind = kind_of(core)
-    out = keys("", m, TOP) + core_issues(core, folder, today, ascii_ok, forced) + checking_issues(m.get("checking") or {}, kind)
+    out = keys("", m, TOP) + core_issues(core, folder, today, ascii_ok, forced, source_publishers) + checking_issues(m.get("checking") or {}, kind)
     n = len(projects)
     if not n:
         out.append("Empty projects list")
@@ -273,12 +273,12 @@ def manifest_issues(text: str, folder: str, today: str, ascii_ok: bool = False,
     return out
 
 
-def verify(manifests: DataFrame, today: str, ascii_ok: bool = False, forced: bool = False) -> DataFrame:
+def verify(manifests: DataFrame, today: str, ascii_ok: bool = False, forced: bool = False, source_publishers: tuple = ()) -> DataFrame:
     """(path, msg): issues of manifests (path, json[, has_bom]); ``today`` is a date that the modified date should be."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(r.path, m) for r in b.itertuples() for m in manifest_issues(r.json, r.path.rsplit("/", 2)[-2] if "/" in r.path else "", today, ascii_ok, forced)]
+            rows = [(r.path, m) for r in b.itertuples() for m in manifest_issues(r.json, r.path.rsplit("/", 2)[-2] if "/" in r.path else "", today, ascii_ok, forced, source_publishers)]
             yield pd.DataFrame(rows, columns=["path", "msg"])
 
     out = manifests.select("path", "json").mapInPandas(run, "path string, msg string")
