@@ -25,6 +25,7 @@ from versewright.llm import embeddings, html_text, warc
         ("<body><div class='site-header'>Site</div><div id='main'><h2>Title</h2><p>A long text, with words. And more of it, here.</p><p>Short.</p><div class='ad'>Buy, now!</div></div><div class='comments'><p>Nice text, I like it! Really, a lot.</p></div></body>", "Title\nA long text, with words. And more of it, here.\nShort."),
         ("<article><header><h1>Kept</h1></header><p>Body, text.</p></article><aside>Other, things.</aside>", "Kept\nBody, text."),
         ("<p>a<b>b</b>c &#233;&nbsp;d</p><p></p><p hidden>gone, gone</p>", "abc é d"),
+        ("<div class='post with-sidebar'><article class='post ad-free'><p>One, two.</p><article class='comment-list'><p>I like it, yes!</p></article></article></div>", "One, two."),
         ("<p title=\"a>b\">x, y</p><br/><broken", "x, y\n<broken"),
     ],
 )

@@ -31,6 +31,7 @@ NOT_ARTICLE = frozenset(
     nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager sidebar aside complementary footer contentinfo masthead toolbar topbar
     comment comments commentlist disqus replies reply respond share sharing social follow related recommended recommendations newsletter subscribe subscription signup login search widget""".split()
 )
+LAYOUT = ("no-", "with-", "has-", "without-")  # such names say what stands beside
 HEADER = frozenset(("header", "banner", "site-header", "page-header"))
 
 TOKEN = re.compile(
@@ -64,8 +65,8 @@ def _meaning(attrs: str, name: str, within: bool) -> tuple[str, bool]:
         value = (a or b or c).lower()
         if kind.lower() == "class":
             label = "." + value
-        names = set(value.split())
-        words = {w for n in names for w in re.split(r"[-_]+", n)}
+        names = {n for n in value.split() if not n.startswith(LAYOUT)}
+        words = {w for n in names for w in ([n] if name == "article" and not n.startswith("comment") else re.split(r"[-_]+", n))}
         out = out or bool(words & NOT_ARTICLE) or (bool(names & HEADER) and not within)
     return label, out
 
