@@ -10,9 +10,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versewright.llm import common, jaccard, packing, quality, suffixes
+from versewright.llm import common, jaccard, packing, passages, quality, suffixes
 
 CAPACITY = 2048
+#: Repeated strings of so many bytes go, and so do repeated runs of so many words.
+LENGTH, WORDS = 400, 51
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +40,31 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     n_chars is that of the new text; the other columns stay.
     """
+    return _without(spark, docs, None)
+
+
+def all_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same, and runs of 51 words that also start elsewhere go too, however few bytes they have.
+
+    Most runs of 51 words have fewer than 400 bytes; of long words, or writing without blanks, 400 bytes are fewer than 51
+    words. Both are judged on the texts as they come.
+    """
+    return _without(spark, docs, WORDS)
+
+
+def _without(spark: SparkSession, docs: DataFrame, words: int | None) -> DataFrame:
     common.bounded_batches(spark)
     keyed = docs.select(F.struct("*").alias("d"), F.coalesce("text", F.lit("")).alias("text"), *common.content_key("doc_id", "text"))
-    found = suffixes.repeated(keyed.select("_k1", "_k2", "text").where(F.octet_length("text") >= 400), 400)
+    texts, size = keyed.select("_k1", "_k2", "text"), F.octet_length("text")
+    found = suffixes.repeated(texts.where(size >= LENGTH), LENGTH)
+    if words:
+        runs = passages.repeated(texts.where(size >= 2 * words - 1), words)
+        # as cut_out() takes a span: the string of LENGTH bytes at hi ends where the passage does
+        runs = runs.select("_k1", "_k2", F.transform("spans", lambda s: F.struct(s["a"].alias("lo"), (s["b"] - LENGTH).alias("hi"))).alias("spans"))
+        found = found.unionByName(runs).groupBy("_k1", "_k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
     joined = keyed.join(found, ["_k1", "_k2"], "left").select(F.struct(*(F.col(f"d.{c}").alias(c) for c in rest)).alias("id"), "text", "spans")
-    left = suffixes.as_text(suffixes.cut_out(joined, 400).select("id", "kept"))
+    left = suffixes.as_text(suffixes.cut_out(joined, LENGTH).select("id", "kept"))
     new = {"text": F.col("kept").alias("text"), "n_chars": F.length("kept").cast("long").alias("n_chars")}
     return left.select(*(new.get(c, F.col(f"id.{c}").alias(c)) for c in docs.columns))
 
@@ -54,7 +75,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("best_fit_packing", best_fit_packing)]
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("repeated_passages", all_repeated_passages), ("best_fit_packing", best_fit_packing)]
 
 #: Packing and byte-exact removal are beyond SQL: the tests hold run() against a brute-force version.
 ORACLE_SQL = None

@@ -2,11 +2,12 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import brute
 import pytest
 
-from versewright.llm import graph, jaccard, quality, suffixes
+from versewright.llm import graph, jaccard, passages, quality, suffixes
 
 SCHEMA = "doc_id long, text string, kept string, component_id int, n_words int"  # with names that clash with results
 
@@ -164,3 +165,36 @@ def test_pipeline_edges(spark):
         assert stage(spark, docs, "").count() >= 0
         assert stage(spark, docs.limit(0), "").count() == 0
     assert corpus_pipeline.near_duplicates(spark, docs, "").count() == 2
+
+
+@pytest.mark.parametrize("n", [13, 51])
+def test_repeated_runs_of_words(spark, corpus, n):
+    texts = [*corpus, corpus[0], "a\tb  " * 40]
+    words = [list(brute.WORD.finditer(t or "")) for t in texts]
+    runs = [[tuple(m.group() for m in ws[k : k + n]) for k in range(len(ws) - n + 1)] for ws in words]
+    count = Counter(r for rs in runs for r in rs)
+    want = {}
+    for k, (ws, rs) in enumerate(zip(words, runs, strict=True)):
+        chars = {c for i, r in enumerate(rs) if count[r] > 1 for c in range(ws[i].start(), ws[i + n - 1].end())}
+        if chars:
+            want[k] = "".join(c for i, c in enumerate(texts[k]) if i not in chars)
+    docs = spark.createDataFrame([(k, 0, t or "") for k, t in enumerate(texts)], "_k1 long, _k2 long, text string").repartition(5)
+    got = {}
+    for r in passages.repeated(docs, n).collect():
+        data = texts[r["_k1"]].encode()
+        gone = {b for a, e in r["spans"] for b in range(a, e)}
+        got[r["_k1"]] = bytes(c for b, c in enumerate(data) if b not in gone).decode()
+    assert got == want and len(want) > 50
+
+
+def test_pipeline_finds_passages_of_short_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    passage = [prose(rng, 1)[:3] for _ in range(51)]
+    assert len(" ".join(passage).encode()) < 400
+    texts = [f"{prose(rng, 60)} {s.join(passage)} {prose(rng, 50)}" for s in (" ", " ", "\n")]
+    texts += [f"{prose(rng, 60)} {' '.join(passage[:50])} {prose(rng, 50)}", prose(rng, 90)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["repeated_passages"](spark, docs, "").collect()}
+    assert left == {k: t.replace(" ".join(passage), "").replace("\n".join(passage), "") for k, t in enumerate(texts)}

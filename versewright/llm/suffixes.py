@@ -40,17 +40,17 @@ STRETCH = 1 << 19
 _POSITION = (1 << 24) - 1
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int, hashes: RollingHash) -> tuple[np.ndarray, ...]:
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, hashes: RollingHash, k: int = K) -> tuple[np.ndarray, ...]:
     """(row, first window, last window, anchor): runs of windows of a row that have one anchor, as places in data."""
-    n, width = len(data), length - K + 1
+    n, width = len(data), length - k + 1
     row_end = np.repeat(offsets[1:], np.diff(offsets))
     place = np.arange(n)
     whole = place + length <= row_end
     if n < length or not whole.any():
         return (np.zeros(0, np.int64),) * 4
-    grams = n - K + 1
+    grams = n - k + 1
     key = np.full(-(-grams // width) * width, np.uint64(0xFFFFFFFFFFFFFFFF))
-    key[:grams] = (hashes.of(place[:grams], place[:grams] + K) & ~np.uint64(_POSITION)) | place[:grams].astype(np.uint64)
+    key[:grams] = (hashes.of(place[:grams], place[:grams] + k) & ~np.uint64(_POSITION)) | place[:grams].astype(np.uint64)
     tiles = key.reshape(-1, width)
     ahead = np.minimum.accumulate(tiles, axis=1).ravel()
     behind = np.minimum.accumulate(tiles[:, ::-1], axis=1)[:, ::-1].ravel()

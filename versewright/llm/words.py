@@ -51,6 +51,10 @@ class RollingHash:
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_values(seed)[data] * _powers(self.base, n)[: len(data)], out=self.sums[1:])
 
+    def up(self, n: int) -> np.ndarray:
+        """The powers that the first n places are weighted by."""
+        return _powers(self.base, len(self.down) - 1)[:n]
+
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * _ODD)
