@@ -33,6 +33,26 @@ def test_main_text(page, text):
     assert html_text.extract(page) == text
 
 
+LONG = "A long text, with words. And more of it, here."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div id='content-sidebar-wrap'><main>{}</main></div><div class='sidebar'>Links, more.</div>",
+        "<div class='layout sidebar-right'>{}<div class='sidebar'><p>Also, this.</p></div></div>",
+        "<div class='article-with-comments'>{}</div><div class='post-comments'><p>I like it, yes! Really, I do. And more.</p></div>",
+        "<section class='search-results'>{}</section><div class='site-footer'>All rights, reserved.</div>",
+        "<div class='post ad-free'>{}<div class='ad-slot'>Buy, now!</div></div>",
+        "<div class='widget'><article>{}</article></div>",
+        "<div class='sidebar'><div class='search'>{}</div></div>",
+        "<div class='story'>{}</div><div class='related'><article><p>Read, too.</p></article></div>",
+    ],
+)
+def test_names_are_weak_evidence(page):
+    assert html_text.extract(page.format(f"<p>{LONG}</p>")) == LONG
+
+
 def test_main_text_table(spark):
     rows = spark.createDataFrame([(1, "u", "<p>One, two.</p>", "t"), (None, None, None, "t"), (1, "u", "<p>One, two.</p>", "t")], "page_id long, url string, html string, text string")
     got = [tuple(r) for r in html_text.main_text(rows).collect()]

@@ -3,9 +3,9 @@
 A page is read once into text leaves, each with its root-to-leaf tag path and the elements around it. Per path the text
 length and the punctuation of all its leaves are aggregated and put in ratio to their number; the two ratios are smoothed
 over neighbouring paths in page order and fused by their product. Paths whose fused ratio reaches a share of its standard
-deviation over the page hold content. The deepest element around almost all content leaves is the article, and every
-block in it is text: short paragraphs and headings stay. Parts that say themselves that they are no article (navigation,
-footers, forms, adverts, notices, comments, ...) neither vote nor stay.
+deviation over the page hold content. The deepest element around almost all content leaves is the article, and every block in it is
+text: short paragraphs and headings stay. Elements for navigation, footers, forms and what is hidden neither vote nor stay. Names (adverts, notices,
+comments, sidebars, ...) are weak evidence: a part so named stays if most of the page's content is in it.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ NOT_ARTICLE = frozenset(
     nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager sidebar aside complementary footer contentinfo masthead toolbar topbar
     comment comments commentlist disqus replies reply respond share sharing social follow related recommended recommendations newsletter subscribe subscription signup login search widget""".split()
 )
-LAYOUT = ("no-", "with-", "has-", "without-")  # such names say what stands beside
+BESIDE = frozenset("no with has without free".split())  # names with such a part say what stands beside
+REMARKS = frozenset("comment comments commentlist disqus replies reply respond".split())
 HEADER = frozenset(("header", "banner", "site-header", "page-header"))
 
 TOKEN = re.compile(
@@ -48,27 +49,40 @@ REACH, MOST = 0.5, 0.9
 
 
 class Element:
-    __slots__ = ("name", "parent", "path", "out", "depth", "mass", "inside")
+    __slots__ = ("name", "parent", "path", "out", "named", "under", "depth", "mass", "size", "linked", "inside")
 
-    def __init__(self, name: str, parent: Element | None, label: str, out: bool):
+    def __init__(self, name: str, parent: Element | None, label: str, out: bool, named: str = ""):
         self.name, self.parent, self.out, self.mass, self.inside = name, parent, out, 0, False
+        self.named, self.size, self.linked = named, 0, 0  # the word that says it is no article; bytes of text, and in links
+        self.under = bool(named) or (parent is not None and parent.under)
         self.path = hash((parent.path, name, label)) if parent else 0  # stands for the path of tags from the root
         self.depth = parent.depth + 1 if parent else 0
 
 
-def _meaning(attrs: str, name: str, within: bool) -> tuple[str, bool]:
-    """The label of an element in paths, and whether it says that it is no article."""
+def _word(name: str, tag: str) -> str:
+    """The word by which a name says that it is no article: the whole name, its first part or its last."""
+    if name in NOT_ARTICLE:
+        return name
+    parts = re.split(r"[-_]+", name)
+    if len(parts) == 1 or BESIDE.intersection(parts) or (tag == "article" and not name.startswith("comment")):
+        return ""
+    return next((w for w in (parts[-1], parts[0]) if w in NOT_ARTICLE), "")
+
+
+def _meaning(attrs: str, name: str, within: bool) -> tuple[str, bool, str]:
+    """The label of an element in paths, whether it is no article for sure, and the word in its names that says so."""
+    out, label, named = name == "header" and not within, "", ""
     if not attrs:
-        return "", name == "header" and not within
-    label, out = "", bool(HIDDEN.search(attrs)) or (name == "header" and not within)
+        return label, out, named
+    out = out or bool(HIDDEN.search(attrs))
     for kind, a, b, c in LABELS.findall(attrs):
         value = (a or b or c).lower()
         if kind.lower() == "class":
             label = "." + value
-        names = {n for n in value.split() if not n.startswith(LAYOUT)}
-        words = {w for n in names for w in ([n] if name == "article" and not n.startswith("comment") else re.split(r"[-_]+", n))}
-        out = out or bool(words & NOT_ARTICLE) or (bool(names & HEADER) and not within)
-    return label, out
+        for n in value.split():
+            out = out or (n in HEADER and not within)
+            named = named or _word(n, name)
+    return label, out, named
 
 
 def leaves(page: str) -> tuple[list[list], list[Element]]:
@@ -116,10 +130,11 @@ def leaves(page: str) -> tuple[list[list], list[Element]]:
                 while e is not root and not within:
                     within = e.name in ("article", "main")
                     e = e.parent
-            label, out = _meaning(m["attrs"], name, within)
-            out = (out and name not in ("html", "body", "main")) or name in BOILERPLATE or now.out
+            label, out, named = _meaning(m["attrs"], name, within)
+            whole = name in ("html", "body", "main")
+            out = (out and not whole) or name in BOILERPLATE or now.out
             if not m["attrs"].endswith("/") or inline:
-                now = Element(name, now, label, out)
+                now = Element(name, now, label, out, "" if whole else named)
                 elements.append(now)
     text(len(page))
     return found, elements
@@ -148,19 +163,63 @@ def content_paths(found: list[tuple[Element, str]]) -> set[int]:
     return {path for path, f in zip(stats, fused, strict=True) if f >= least}
 
 
+def weigh(found: list[tuple[Element, str]], elements: list[Element]) -> int:
+    """Give elements the mass of the content leaves in them, and return the whole."""
+    paths, total = content_paths(found), 0
+    for e in elements:
+        e.mass = e.size = e.linked = 0
+    for e, text in found:
+        n = len(text.strip())
+        e.size += n
+        if e.path in paths:
+            e.mass += len(text)
+            total += len(text)
+    for e in reversed(elements[1:]):
+        if e.name == "a":
+            e.linked = e.size
+        e.parent.mass += e.mass
+        e.parent.size += e.size
+        e.parent.linked += e.linked
+    return total
+
+
+def judge_names(found: list[tuple[Element, str]], elements: list[Element]) -> None:
+    """Parts named for what is no article are out, but for those that hold main, the only article or most of the content.
+
+    Remarks are measured by what has no such name, as they may outweigh what they remark on; others by all but remarks.
+    """
+    named = [e for e in elements if e.named and not e.out]
+    if not named:
+        return
+    weigh(found, elements)
+    outermost = [e for e in named if not e.parent.under]
+    plain = elements[0].mass - sum(e.mass for e in outermost)
+    rest = plain + sum(e.mass for e in outermost if e.named not in REMARKS)
+    holders = set()
+    for e in elements:
+        if e.out or e.named or not (e.name == "main" or (e.name == "article" and e.mass > plain)):
+            continue
+        up = e.parent
+        while up is not None and up.named not in REMARKS:
+            holders.add(up)
+            up = up.parent
+    for e in elements[1:]:
+        if e.named and e not in holders:
+            enough = e.mass * (1 - MOST) >= plain * MOST if e.named in REMARKS else 2 * e.mass > rest
+            small = e.size and 2 * e.linked > e.size  # links are navigation, however many
+            parent_named = e.parent.under and not e.parent.out  # within a part that stayed by its mass, names count again
+            e.out = e.out or small or not (enough and e.mass) or (parent_named and e.named in REMARKS)
+        e.out = e.out or e.parent.out
+
+
 def extract(page: str) -> str:
     """The main text: its blocks in page order, one to a line; empty if there is none."""
     found, elements = leaves(page)
+    judge_names([(e, t) for e, _, t in found if not e.out and t.strip()], elements)
     voters = [(e, t) for e, _, t in found if not e.out and t.strip()]
     if not voters:
         return ""
-    paths, total = content_paths(voters), 0
-    for e, text in voters:
-        if e.path in paths:
-            e.mass += len(text)
-            total += len(text)
-    for e in reversed(elements[1:]):
-        e.parent.mass += e.mass
+    total = weigh(voters, elements)
     holders = [e for e in elements if e.mass >= MOST * total]
     top = max(holders, key=lambda e: e.depth)
     named = [e for e in holders if e.name in ("article", "main")]
