@@ -53,6 +53,15 @@ def test_names_are_weak_evidence(page):
     assert html_text.extract(page.format(f"<p>{LONG}</p>")) == LONG
 
 
+def test_no_content_is_given_up():
+    body = f"<p>{LONG}</p>" * 20
+    text = "\n".join([LONG] * 20)
+    links = "<ul>" + "<li><a href='x'>Some link</a></li>" * 9 + "</ul>"
+    assert html_text.extract(f"<body>{links}<div class='post'><h1>T</h1><p>Lead.</p><div class='body'>{body}</div><p>Closing.</p></div>{links}</body>") == f"T\nLead.\n{text}\nClosing."
+    assert html_text.extract(f"<main><h1>T</h1><p>lead</p><article>{body}</article></main>") == f"T\nlead\n{text}"
+    assert html_text.extract(f"<div>{links}<div><div>{body}</div><section><div>{LONG}</div></section></div></div>") == f"{text}\n{LONG}"
+
+
 def test_main_text_table(spark):
     rows = spark.createDataFrame([(1, "u", "<p>One, two.</p>", "t"), (None, None, None, "t"), (1, "u", "<p>One, two.</p>", "t")], "page_id long, url string, html string, text string")
     got = [tuple(r) for r in html_text.main_text(rows).collect()]

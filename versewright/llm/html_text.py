@@ -3,8 +3,10 @@
 A page is read once into text leaves, each with its root-to-leaf tag path and the elements around it. Per path the text
 length and the punctuation of all its leaves are aggregated and put in ratio to their number; the two ratios are smoothed
 over neighbouring paths in page order and fused by their product. Paths whose fused ratio reaches a share of its standard
-deviation over the page hold content. The deepest element around almost all content leaves is the article, and every block in it is
-text: short paragraphs and headings stay. Elements for navigation, footers, forms and what is hidden neither vote nor stay. Names (adverts, notices,
+deviation over the page hold content. The deepest element around almost all content leaves is the article's core, and every block
+in it is text: short paragraphs and headings stay. From there the article widens to the smallest element around all
+content leaves: of what stands beside the core, parts with content leaves, headings and paragraphs stay, but no lists of
+links. Elements for navigation, footers, forms and what is hidden neither vote nor stay. Names (adverts, notices,
 comments, sidebars, ...) are weak evidence: a part so named stays if most of the page's content is in it.
 """
 
@@ -33,6 +35,7 @@ NOT_ARTICLE = frozenset(
 )
 BESIDE = frozenset("no with has without free".split())  # names with such a part say what stands beside
 REMARKS = frozenset("comment comments commentlist disqus replies reply respond".split())
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 HEADER = frozenset(("header", "banner", "site-header", "page-header"))
 
 TOKEN = re.compile(
@@ -44,7 +47,7 @@ TOKEN = re.compile(
 LABELS = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s/=]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：।]")
-#: Share of the standard deviation that content reaches, and of the content's text that the article holds.
+#: Share of the standard deviation that content reaches, and of the content's text that the article's core holds.
 REACH, MOST = 0.5, 0.9
 
 
@@ -212,6 +215,28 @@ def judge_names(found: list[tuple[Element, str]], elements: list[Element]) -> No
         e.out = e.out or e.parent.out
 
 
+def beside(top: Element, elements: list[Element], total: int) -> None:
+    """Mark what stands beside the core and belongs to it, up to the element around all content and its title."""
+    children: dict[Element, list[Element]] = {}
+    for e in elements[1:]:
+        children.setdefault(e.parent, []).append(e)
+    limit, e = None, top
+    while e is not None:
+        limit, e = (e if e.name in ("article", "main") else limit), e.parent
+    e = top
+    while e.parent is not None:
+        up = e.parent
+        if e is limit and e.mass >= total:
+            break
+        others = [c for c in children[up] if c is not e and not c.out and c.size]
+        taken = [c for c in others if 2 * c.linked <= c.size and (c.mass or c.name in TEXTUAL)]
+        if e.mass >= total and not any(c.name in TEXTUAL for c in taken) and up.name in ("body", "html", ""):
+            break
+        for c in taken:
+            c.inside = True
+        e = up
+
+
 def extract(page: str) -> str:
     """The main text: its blocks in page order, one to a line; empty if there is none."""
     found, elements = leaves(page)
@@ -228,8 +253,16 @@ def extract(page: str) -> str:
     else:  # a paragraph alone is no article: what stands beside it belongs to it
         while top.parent is not None and (top.name in INLINE or top.name in ("p", "li", "td", "tr", "dd", "dt", "blockquote", "pre") or re.fullmatch("h[1-6]", top.name)):
             top = top.parent
-    for e in elements:
-        e.inside = e is top or (e.parent is not None and e.parent.inside)
+    top.inside = True
+    beside(top, elements, total)
+    chain, e = set(), top  # bare text between the parts that stay, where it is content
+    paths = content_paths(voters)
+    while e.parent is not None:
+        e = e.parent
+        if e.path in paths:
+            chain.add(e)
+    for e in elements[1:]:
+        e.inside = e.inside or e.parent.inside
     lines, last, parts = [], None, []
 
     def close() -> None:
@@ -238,7 +271,7 @@ def extract(page: str) -> str:
             lines.append(line)
 
     for e, block, text in found:
-        if e.out or not e.inside:
+        if e.out or not (e.inside or e in chain):
             continue
         if block != last:
             close()
