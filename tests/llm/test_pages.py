@@ -141,6 +141,30 @@ def test_embeddings(spark, monkeypatch, cell, block):
         assert (rows[k + 10]["n_links"], rows[k + 10]["component_id"], rows[k + 10]["kept"]) == (0, k + 10, True)
 
 
+def partners(rng, x, cosine):
+    """For each unit vector one at just that cosine."""
+    y = rng.standard_normal(x.shape)
+    y -= (y * x).sum(1, keepdims=True) * x
+    return cosine * x + (1 - cosine**2) ** 0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("kind", ["off centre", "hot cluster"])
+def test_recall_where_the_mean_is_not_zero(spark, kind):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((3200, 64)) / 8
+    share = len(x) if kind == "off centre" else len(x) // 3
+    x[:share, 0] += 1.3 if kind == "off centre" else 1.8
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pairs = min(share, 600)
+    x = np.concatenate([x, partners(rng, x[:pairs], 0.905)])
+    close = x @ x.T >= 0.9
+    np.fill_diagonal(close, False)
+    assert pairs * 2 <= close.sum() < pairs * 3 and len(x) > embeddings.CELL
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    found = sum(r["n_links"] for r in embeddings.near_duplicates(df, 0.9).collect())
+    assert 0.9 * close.sum() <= found <= close.sum()
+
+
 def test_embedding_edges(spark):
     schema = "vec_id long, embedding array<float>"
     assert embeddings.near_duplicates(spark.createDataFrame([], schema)).count() == 0

@@ -1,7 +1,8 @@
 """Near duplicates among vectors: learned binary codes, multi-index Hamming tables, reranking by the vectors themselves.
 
 1. Iterative quantisation on a bounded sample learns rotations of the principal axes for which the signs of the rotated
-   components are balanced and lose least; several starts give several rotations. All vectors get codes.
+   components lose least; several starts give several rotations. All vectors get codes. Vectors aren't centred: that
+   would widen the angles between them, most of all in a hot cluster, and the tables are laid out for angles as they are.
 2. The codes' substrings are the keys of the tables. Vectors that agree in a substring and whose codes are close become
    neighbours; a cell of a table yields a spanning forest of its neighbours, not their pairs. Cells over a bound are
    dealt out in shares whose representatives meet again.
@@ -9,7 +10,7 @@
    blocks of bounded size; blocks give counts and again a forest of true links. No list of pairs is ever made.
 
 Equal vectors are one class with a weight, so copies cost nothing. Pairs in one candidate group are always compared, so
-no found link is wrong; recall is at least that of the tables, see ``layout``.
+no found link is wrong; the recall to expect is that of the tables, see ``layout``.
 """
 
 from __future__ import annotations
@@ -33,15 +34,13 @@ CELL, BLOCK = 2048, 512
 
 
 def learn(x: np.ndarray, count: int, seed: int = 5) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The mean, and as many projections (dimensions x bits) by iterative quantisation from different starts.
+    """The origin of codes, and as many projections (dimensions x bits) by iterative quantisation from different starts.
 
     Where the rows hold fewer dimensions than a code has bits, a projection has as many bits as dimensions.
     """
     rng = np.random.default_rng(seed)
-    mean = x.mean(0)
-    centred = x - mean
-    _, axes = np.linalg.eigh(centred.T @ centred)
-    low = centred @ axes
+    _, axes = np.linalg.eigh(x.T @ x)
+    low = x @ axes
     out = []
     for _ in range(count):
         turn, _ = np.linalg.qr(rng.standard_normal((x.shape[1],) * 2))
@@ -49,7 +48,7 @@ def learn(x: np.ndarray, count: int, seed: int = 5) -> tuple[np.ndarray, list[np
             left, _, right = np.linalg.svd(np.sign(low @ turn).T @ low)
             turn = (left @ right).T
         out.append(axes @ turn)
-    return mean, out
+    return np.zeros(x.shape[1]), out
 
 
 def layout(n: int, cosine: float, recall: float = RECALL) -> tuple[int, int]:
