@@ -173,6 +173,17 @@ def test_embedding_edges(spark):
     assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"]) for r in rows) == [(0, 3, 3), (3, 3, 3), (4, 3, 3), (4, 3, 3)]
 
 
+def test_shares_of_a_crowded_cell_all_meet(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "CELL", 20)
+    # a chain of codes: each is close to the next alone, so roots of shares are far apart
+    words = [((1 << min(k, 60)) - 1, (1 << max(k - 60, 0)) - 1) for k in range(120)]
+    rows = spark.createDataFrame([(7, k, a, b) for k, (a, b) in enumerate(words)], "key long, node long, c1 long, c2 long")
+    monkeypatch.setattr(embeddings, "codes", lambda *_: rows)
+    monkeypatch.setattr(embeddings.math, "ceil", lambda _: 1)
+    got = {r["node"]: r["component"] for r in embeddings.candidates(rows, 64, 0.9, 1, 12).collect()}
+    assert got == dict.fromkeys(range(120), 0)
+
+
 def test_recall_of_the_tables():
     tables, bits = embeddings.layout(1_000_000, 0.9)
     assert bits == 21 and tables > 30

@@ -5,7 +5,7 @@
    would widen the angles between them, most of all in a hot cluster, and the tables are laid out for angles as they are.
 2. The codes' substrings are the keys of the tables. Vectors that agree in a substring and whose codes are close become
    neighbours; a cell of a table yields a spanning forest of its neighbours, not their pairs. Cells over a bound are
-   dealt out in shares whose representatives meet again.
+   dealt out in shares, and every two shares meet in a block of bounded size.
 3. What the forests connect is a candidate group. Within groups all pairs are compared by cosine in double precision, in
    blocks of bounded size; blocks give counts and again a forest of true links. No list of pairs is ever made.
 
@@ -149,22 +149,19 @@ def codes(vectors: DataFrame, dims: int, tables: int, bits: int) -> DataFrame:
 
 
 def neighbours(cells: DataFrame, most: int) -> DataFrame:
-    """(key, node, c1, c2, root) for cells dealt by (key, share): links (node, root) that connect what is close in a share.
-
-    Of dealt cells each node comes, also those that are a root themselves (root = node).
-    """
+    """(node, root) for cells dealt by (key, i, j): links that connect what is close in a cell, or in two of its shares."""
 
     def apart(x, y):
         return np.bitwise_count(x[0] ^ y[0]) + np.bitwise_count(x[1] ^ y[1])
 
     def run(batches):
-        for table, edge in by_groups(batches, 2):
+        for table, edge in by_groups(batches, 3):
             size = np.diff(edge)
-            node, shares = table.column(2).to_numpy(), table.column(5).to_numpy()
-            w = [table.column(k).to_numpy().view(np.uint64) for k in (3, 4)]
+            node = table.column(3).to_numpy()
+            w = [table.column(k).to_numpy().view(np.uint64) for k in (4, 5)]
             row = np.repeat(np.arange(len(size)), size)
-            few = (size <= 8)[row] & (shares == 1)
-            of, to = [], []
+            few = (size <= 8)[row]
+            of, to = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for k in range(1, 8):  # of small cells all pairs at once
                 if len(node) <= k:
                     break
@@ -173,19 +170,17 @@ def neighbours(cells: DataFrame, most: int) -> DataFrame:
                 of.append(at + k)
                 to.append(at)
             for g in np.flatnonzero(~few[edge[:-1]]).tolist():
-                for a in range(int(edge[g]), int(edge[g + 1]), 2 * CELL):  # shares hold about CELL rows
-                    s = slice(a, min(a + 2 * CELL, int(edge[g + 1])))
-                    root = forest(apart([x[s, None] for x in w], [x[None, s] for x in w]) <= most)
-                    keep = np.flatnonzero((root != np.arange(len(root))) | (shares[s] > 1))
-                    of.append(a + keep)
-                    to.append(a + root[keep])
-            take = np.concatenate([*of, np.zeros(0, np.int64)]).astype(np.int64)
-            roots = node[np.concatenate([*to, np.zeros(0, np.int64)]).astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([*(table.column(k).combine_chunks().take(pa.array(take)) for k in (0, 2, 3, 4)), pa.array(roots)], names=["key", "node", "c1", "c2", "root"])
+                a = int(edge[g])
+                s = slice(a, int(edge[g + 1]))  # two shares hold about 2 * CELL rows
+                root = forest(apart([x[s, None] for x in w], [x[None, s] for x in w]) <= most)
+                keep = np.flatnonzero(root != np.arange(len(root)))
+                of.append(a + keep)
+                to.append(a + root[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(node[np.concatenate(of)]), pa.array(node[np.concatenate(to)])], names=["node", "root"])
 
     n = common.parts(cells.sparkSession)
-    dealt = cells.select("key", "share", "node", "c1", "c2", "shares").repartition(n, "key", "share").sortWithinPartitions("key", "share", "node")
-    return dealt.mapInArrow(run, "key long, node long, c1 long, c2 long, root long")
+    dealt = cells.select("key", "i", "j", "node", "c1", "c2").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    return dealt.mapInArrow(run, "node long, root long")
 
 
 def candidates(vectors: DataFrame, dims: int, cosine: float, tables: int, bits: int) -> DataFrame:
@@ -195,12 +190,13 @@ def candidates(vectors: DataFrame, dims: int, cosine: float, tables: int, bits:
     used = min(CODE, dims * max(-(-tables // max(1, dims // min(bits, dims))), -(-CODE // dims)))
     most = math.ceil(used * expected + 4 * math.sqrt(used * expected * (1 - expected)))
     crowded = common.materialize(rows.groupBy("key").agg(F.count("*").alias("k")).where(f"k > {CELL}").select("key", F.expr(f"(k + {CELL - 1}) div {CELL}").alias("shares")), "crowded")
-    dealt = rows.join(common.small(crowded), "key", "left").withColumn("shares", F.coalesce("shares", F.lit(1))).withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares")))
-    found = common.materialize(neighbours(dealt, most), "trees")
-    # the representatives of a dealt cell's shares meet once more
-    again = found.join(common.small(crowded), "key", "left_semi").where("node = root").select("key", F.lit(0).cast("long").alias("share"), "node", "c1", "c2", F.lit(1).cast("long").alias("shares"))
-    links = found.where("node <> root").select("node", "root").unionByName(neighbours(again, most).where("node <> root").select("node", "root"))
-    return graph.components(links, "node", "root")
+    dealt = rows.join(common.small(crowded), "key", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("shares")))
+    # of two shares or more each pair meets, and a share with itself in each of its pairs
+    others = F.when(F.col("shares") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1), lambda o: o != F.col("own")))
+    dealt = dealt.select("key", "node", "c1", "c2", "own", F.explode(others).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "c1", "c2")
+    return graph.components(neighbours(dealt, most).distinct(), "node", "root")
 
 
 def compare(vectors: DataFrame, groups: DataFrame, dims: int, cosine: float) -> DataFrame:
