@@ -60,3 +60,11 @@ def test_queries_run(spark):
     for name in ("word_list", "verse_sequence_issues", "usfm_issue_counts", "chunk_containers"):
         assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
     assert __spark_entry__.entry(spark).limit(1).count() == 1
+
+
+def test_long_headings_count(spark, tmp_path):
+    from versewright import catalog
+
+    lines = ["THE BEGINNING" + " " * 120, "it was a small line, of prose."]
+    spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r["idx"] for r in catalog.headings(spark, str(tmp_path)).collect()) == [0]

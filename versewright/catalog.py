@@ -376,7 +376,7 @@ def capitalized(spark, sf_dir):
 
 @query()
 def headings(spark, sf_dir):
-    return doc_lines(spark, sf_dir).where(F.length("line") < 120).where(rules.column(rules.is_heading, "boolean")("line"))
+    return doc_lines(spark, sf_dir).where(rules.column(rules.is_heading, "boolean")("line"))
 
 
 @query()
