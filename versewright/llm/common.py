@@ -33,18 +33,29 @@ BATCH_BYTES, BATCH_ROWS = 4 << 20, 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: the cluster's spark.checkpoint.dir.
+
+    Where it is unset one of our own will do if there is but this machine (a local master); on a cluster that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.versewright.sharedDir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="versewright-")
         spark.conf.set("spark.versewright.sharedDir", found)
     return found.rstrip("/")
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
-    """Bound the Arrow batches of later queries by bytes too, as rows may hold very long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session's queries by bytes and rows, as rows may hold very long texts.
+
+    Results are lazy, so the bounds have to outlast the call. They are lowered where they are higher, never raised.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 _written: list[tuple[SparkSession, str]] = []
@@ -77,10 +88,28 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write df as Parquet in the shared folder and return it reread."""
     spark = df.sparkSession
     path = new_path(spark, what)
-    gc.collect()
-    spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize wrote, once what was made of them is itself written."""
+    for t in tables:
+        path = t._written_to
+        drop(t.sparkSession, path)
+        _written.remove((t.sparkSession, path))
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the driver forget plans that nothing refers to any more, so that Spark deletes their shuffle files.
+
+    Spark does so when the driver's heap is collected, by itself every half an hour; after a shuffle of the size of the
+    input that is late.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 @functools.cache

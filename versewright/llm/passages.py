@@ -2,8 +2,9 @@
 
 A run of ``n`` words that also starts anywhere else, in the same document or another, is repeated. The method is that of
 ``suffixes`` with words in place of bytes: of every window of n words the leftmost k-gram of words of least hash is its
-anchor, an anchor stands for the windows that chose it, contexts that occur twice are settled whole, and of those that
-only share their k-gram each window goes by itself. Fingerprints are 128 bits; equality of passages is decided by them.
+anchor, an anchor stands for the windows that chose it, and the contexts go through the distributed order. Those that
+equal a neighbour are settled whole; of those that only share their k-gram each window goes through it by itself.
+Digests are 128 bits of blake2b over 64-bit hashes of the words.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .suffixes import anchors
+from .suffixes import anchors, digests, in_order
 from .words import RollingHash, Words
 
 #: Words of the k-grams that anchors are chosen by.
@@ -24,50 +25,44 @@ GRAM = 12
 class WordHash(RollingHash):
     """64-bit hashes of any runs of words of a block, the same for equal words wherever they stand."""
 
-    def __init__(self, words: Words, seed: int):
-        super().__init__(words.data, seed)
-        values, powers = self.of(words.starts, words.ends), self.up(len(words.starts))
+    def __init__(self, words: Words, seed: int = 1):
+        super().__init__(words.data[:0], seed, len(words.starts))
+        values = words.hashes
         self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * powers, out=self.sums[1:])
+        np.cumsum(values * self.up(len(values)), out=self.sums[1:])
 
 
 def _blocks(batch: pa.RecordBatch, n: int):
-    """(first row, words, offsets of rows in words, two hashes) of the texts in column 2, whole rows together."""
+    """(first row, words, offsets of rows in words, the words' hashes as bytes) of the texts in column 2, whole rows together."""
     data, at = common.buffers(batch.column(2))
     for i, j in common.row_groups(at):
         lo, hi = int(at[i]), int(at[j])
         words = Words(data[lo:hi], at[i : j + 1] - lo)
         if len(words.starts) >= n:
-            yield i, words, words.first, WordHash(words, 1), WordHash(words, 2)
+            yield i, words, words.first, words.hashes.tobytes()
 
 
 def contexts(docs: DataFrame, n: int) -> DataFrame:
-    """(_k1, _k2, lo, hi, a, b, gram, c1, c2, again): runs of windows lo..hi (words) with one anchor, and the bytes a..b they cover; again: met in the same block."""
+    """(_k1, _k2, lo, hi, a, b, gram, c1, c2): runs of windows lo..hi (words) with one anchor, and the bytes a..b they cover."""
 
     def run(batches):
         for batch in batches:
-            for i, words, first, one, two in _blocks(batch, n):
-                row, lo, hi, anchor = anchors(words.starts, first, n, one, GRAM)
+            for i, words, first, raw in _blocks(batch, n):
+                hashes = WordHash(words)
+                row, lo, hi, anchor = anchors(words.starts, first, n, hashes, GRAM)
                 if not len(row):
                     continue
-                c1, c2, gram = one.of(lo, hi + n), two.of(lo, hi + n), two.of(anchor, anchor + GRAM)
-                order = np.lexsort((c2, c1))
-                same = np.zeros(len(order) + 1, bool)
-                same[1:-1] = (c1[order][1:] == c1[order][:-1]) & (c2[order][1:] == c2[order][:-1])
-                again = np.zeros(len(order), bool)
-                again[order] = same[:-1] | same[1:]
+                gram = hashes.of(anchor, anchor + GRAM).view(np.int64)
+                c1, c2 = digests(raw, 8 * lo, 8 * (hi + n))
                 begin, where = words.offsets[:-1][row], pa.array(i + row)
-                places = (lo - first[:-1][row], hi - first[:-1][row], words.starts[lo] - begin, words.ends[hi + n - 1] - begin)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(where), batch.column(1).take(where), *map(pa.array, places), *(pa.array(x.view(np.int64)) for x in (gram, c1, c2)), pa.array(again)],
-                    names=["_k1", "_k2", "lo", "hi", "a", "b", "gram", "c1", "c2", "again"],
-                )
+                numbers = (lo - first[:-1][row], hi - first[:-1][row], words.starts[lo] - begin, words.ends[hi + n - 1] - begin, gram, c1, c2)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), *map(pa.array, numbers)], names=["_k1", "_k2", "lo", "hi", "a", "b", "gram", "c1", "c2"])
 
-    return docs.select("_k1", "_k2", "text").mapInArrow(run, "_k1 long, _k2 long, lo long, hi long, a long, b long, gram long, c1 long, c2 long, again boolean")
+    return docs.select("_k1", "_k2", "text").mapInArrow(run, "_k1 long, _k2 long, lo long, hi long, a long, b long, gram long, c1 long, c2 long")
 
 
 def _windows(docs: DataFrame, n: int) -> DataFrame:
-    """(_k1, _k2, a, b, x, y) for each window of the runs l (array<struct<lo, hi>>) of docs: its bytes and fingerprint."""
+    """(_k1, _k2, a, b, x, y) for each window of the runs l (array<struct<lo, hi>>) of docs: its bytes and digest."""
 
     def run(batches):
         for batch in batches:
@@ -77,7 +72,7 @@ def _windows(docs: DataFrame, n: int) -> DataFrame:
             los, his = flat.field(0).to_numpy(), flat.field(1).to_numpy()
             where = where - where[0]
             owner = np.repeat(np.arange(batch.num_rows), np.diff(where))
-            for i, words, first, one, two in _blocks(batch, n):
+            for i, words, first, raw in _blocks(batch, n):
                 s = slice(int(where[i]), int(where[i + words.rows]))
                 if s.start == s.stop:
                     continue
@@ -85,11 +80,8 @@ def _windows(docs: DataFrame, n: int) -> DataFrame:
                 row = np.repeat(owner[s] - i, size)
                 at = common.ragged(los[s] + first[:-1][owner[s] - i], size)
                 begin, take = words.offsets[:-1][row], pa.array(i + row)
-                x, y = one.of(at, at + n), two.of(at, at + n)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(words.starts[at] - begin), pa.array(words.ends[at + n - 1] - begin), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))],
-                    names=["_k1", "_k2", "a", "b", "x", "y"],
-                )
+                numbers = (words.starts[at] - begin, words.ends[at + n - 1] - begin, *digests(raw, 8 * at, 8 * (at + n)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *map(pa.array, numbers)], names=["_k1", "_k2", "a", "b", "x", "y"])
 
     return docs.select("_k1", "_k2", "text", "l").mapInArrow(run, "_k1 long, _k2 long, a long, b long, x long, y long")
 
@@ -99,12 +91,15 @@ def repeated(docs: DataFrame, n: int = 51) -> DataFrame:
 
     docs: (_k1, _k2, text), text not null; equal keys mean equal texts, and each row counts as a place of its own.
     """
+    spark = docs.sparkSession
     runs = common.materialize(contexts(docs, n), "runs")
-    kinds = common.materialize(runs.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("_k1", "_k2", "lo", "hi", "gram")).alias("r")).select("c1", "c2", "n", "r.*"), "run-kinds")
-    copied = runs.where("again").select("_k1", "_k2", "a", "b").unionByName(runs.where("not again").join(kinds.where("n > 1").select("c1", "c2"), ["c1", "c2"], "left_semi").select("_k1", "_k2", "a", "b"))
-    shared = kinds.groupBy("gram").agg(F.count("*").alias("crowd"), F.min("n").alias("least")).where("crowd > 1 and least = 1").select("gram")
-    open_ = kinds.join(shared, "gram").groupBy("_k1", "_k2").agg(F.collect_list(F.struct("lo", "hi")).alias("l"))  # of one text
+    seen, tables = in_order(runs, ["gram", "c1", "c2"], ["_k1", "_k2", "lo", "hi", "a", "b"], group=1)
+    common.discard(runs)
+    open_ = seen.where("not copy").groupBy("_k1", "_k2").agg(F.collect_list(F.struct("lo", "hi")).alias("l"))  # of one text
     each = common.materialize(_windows(docs.join(open_, ["_k1", "_k2"]), n), "word-windows")
-    twice = each.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y")
-    found = copied.unionByName(each.join(twice, ["x", "y"], "left_semi").select("_k1", "_k2", "a", "b"))
-    return common.materialize(found.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "passages")
+    windows, more = in_order(each, ["x", "y"], ["_k1", "_k2", "a", "b"])
+    found = seen.where("copy").select("_k1", "_k2", "a", "b").unionByName(windows.select("_k1", "_k2", "a", "b"))
+    spans = common.materialize(found.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "passages")
+    common.discard(each, *tables, *more)
+    common.free_shuffles(spark)
+    return spans

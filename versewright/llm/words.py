@@ -10,6 +10,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from . import common
 
@@ -42,11 +43,15 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class RollingHash:
-    """64-bit hashes of any byte ranges of one buffer, the same for equal bytes wherever they stand."""
+    """64-bit hashes of any byte ranges of one buffer, the same for equal bytes wherever they stand.
 
-    def __init__(self, data: np.ndarray, seed: int = 1):
+    Polynomials modulo 2**64: texts can be made that collide whatever the base, so these hashes choose and sort, but never
+    decide that two texts are equal.
+    """
+
+    def __init__(self, data: np.ndarray, seed: int = 1, places: int = 0):
         self.base = int(mix(np.array([seed], np.uint64) * _ODD)[0]) | 5
-        n = max(1 << 19, -(-len(data) >> 19) << 19)
+        n = max(1 << 19, -(-max(len(data), places) >> 19) << 19)
         self.down = _powers(invert(self.base), n)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_values(seed)[data] * _powers(self.base, n)[: len(data)], out=self.sums[1:])
@@ -84,11 +89,15 @@ class Words:
         self.row = np.repeat(np.arange(self.rows), self.n)
 
     @functools.cached_property
-    def codes(self) -> np.ndarray:
-        """A number for each word, equal for equal words."""
+    def distinct(self) -> pa.DictionaryArray:
         kept = self.data[~self.sep]
         at = np.append(0, np.cumsum(self.ends - self.starts))
-        return common.strings(kept, at).dictionary_encode().indices.to_numpy().astype(np.int64)
+        return common.strings(kept, at).dictionary_encode()
+
+    @functools.cached_property
+    def codes(self) -> np.ndarray:
+        """A number for each word, equal for equal words."""
+        return self.distinct.indices.to_numpy().astype(np.int64)
 
     def runs(self, n: int) -> np.ndarray:
         """Which words start a run of n words of one row."""
@@ -108,7 +117,9 @@ class Words:
 
     @functools.cached_property
     def hashes(self) -> np.ndarray:
-        return RollingHash(self.data).of(self.starts, self.ends)
+        """A 64-bit hash of each word, the same in all blocks; each distinct word of the block is hashed once."""
+        words = self.distinct.dictionary.to_numpy(zero_copy_only=False)
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[self.codes]
 
     def shingles(self, n: int, levels=None) -> tuple[np.ndarray, np.ndarray]:
         """Distinct numbers below 2**63 for runs of n words, row by row in ascending order, and the offsets of the rows.
