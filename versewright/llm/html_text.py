@@ -4,7 +4,7 @@ A page is read once into text leaves, each with its root-to-leaf tag path and th
 length and the punctuation of all its leaves are aggregated and put in ratio to their number; the two ratios are smoothed
 over neighbouring paths in page order and fused by their product. Paths whose fused ratio reaches a share of its standard
 deviation over the page hold content. The deepest element around almost all content leaves is the article's core, and every block
-in it is text: short paragraphs and headings stay. From there the article widens to the smallest element around all
+in it is text but for lists of links without a content leaf: short paragraphs and headings stay. From there the article widens to the smallest element around all
 content leaves: of what stands beside the core, parts with content leaves, headings and paragraphs stay, but no lists of
 links. Elements for navigation, footers, forms and what is hidden neither vote nor stay. Names (adverts, notices,
 comments, sidebars, ...) are weak evidence: a part so named stays if most of the page's content is in it.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from statistics import pstdev
 
 import pyarrow as pa
@@ -38,10 +39,12 @@ REMARKS = frozenset("comment comments commentlist disqus replies reply respond".
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 HEADER = frozenset(("header", "banner", "site-header", "page-header"))
 
+# What stands in quotes may hold any character; outside them a < ends the attempt, and nothing is tried twice: linear.
+ATTRIBUTES = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    rf"|<(?P<raw>{'|'.join(RAW)})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*+>"
+    rf"|<(?P<raw>{'|'.join(RAW)})(?=[\s/>]){ATTRIBUTES}>.*?(?:</(?P=raw)\s*+>|\Z)"
+    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*+)(?P<attrs>{ATTRIBUTES})>",
     re.DOTALL | re.IGNORECASE,
 )
 LABELS = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
@@ -52,7 +55,7 @@ REACH, MOST = 0.5, 0.9
 
 
 class Element:
-    __slots__ = ("name", "parent", "path", "out", "named", "under", "depth", "mass", "size", "linked", "inside")
+    __slots__ = ("name", "parent", "path", "out", "named", "under", "depth", "mass", "size", "linked", "inside", "block", "within")
 
     def __init__(self, name: str, parent: Element | None, label: str, out: bool, named: str = ""):
         self.name, self.parent, self.out, self.mass, self.inside = name, parent, out, 0, False
@@ -60,6 +63,8 @@ class Element:
         self.under = bool(named) or (parent is not None and parent.under)
         self.path = hash((parent.path, name, label)) if parent else 0  # stands for the path of tags from the root
         self.depth = parent.depth + 1 if parent else 0
+        self.block = parent.block if parent and name in INLINE else self  # the nearest element around it that isn't inline
+        self.within = name in ("article", "main") or (parent is not None and parent.within)
 
 
 def _word(name: str, tag: str) -> str:
@@ -91,13 +96,22 @@ def _meaning(attrs: str, name: str, within: bool) -> tuple[str, bool, str]:
 def leaves(page: str) -> tuple[list[list], list[Element]]:
     """[element, block, text] of each text of a page in order, and its elements, parents first; a block goes on over inline elements."""
     root = Element("", None, "", False)
-    elements = [root]
+    elements, opened = [root], Counter()  # opened: how many elements of a name are open
     now, block, at, found = root, 0, 0, []
 
     def text(upto: int) -> None:
         if upto > at:
             found.append([now, block, page[at:upto]])
 
+    def close(upto: Element) -> None:
+        """Close what is open up to an element, that one too."""
+        nonlocal now
+        while now is not upto:
+            opened[now.name] -= 1
+            now = now.parent
+        opened[upto.name] -= 1
+        now = upto.parent
+
     for m in TOKEN.finditer(page):
         text(m.start())
         at = m.end()
@@ -115,29 +129,22 @@ def leaves(page: str) -> tuple[list[list], list[Element]]:
         if not inline:
             block += 1
         if m["end"]:
-            e = now
-            while e is not root and e.name != name:
-                e = e.parent
-            if e is not root:
-                now = e.parent
-        else:
-            if not inline:  # a paragraph ends where another block starts, and takes open inline elements with it
+            if opened[name]:
                 e = now
-                while e.name in INLINE:
+                while e.name != name:
                     e = e.parent
+                close(e)
+        else:
+            if not inline:  # a paragraph ends where another block starts, and takes open inline elements with it
+                e = now.block
                 if e.name == "p" or (e.name == name and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
-                    now = e.parent
-            within = False
-            if name == "header" or "header" in m["attrs"] or "banner" in m["attrs"]:
-                e = now
-                while e is not root and not within:
-                    within = e.name in ("article", "main")
-                    e = e.parent
-            label, out, named = _meaning(m["attrs"], name, within)
+                    close(e)
+            label, out, named = _meaning(m["attrs"], name, now.within)
             whole = name in ("html", "body", "main")
             out = (out and not whole) or name in BOILERPLATE or now.out
             if not m["attrs"].endswith("/") or inline:
                 now = Element(name, now, label, out, "" if whole else named)
+                opened[name] += 1
                 elements.append(now)
     text(len(page))
     return found, elements
@@ -159,11 +166,11 @@ def content_paths(found: list[tuple[Element, str]]) -> set[int]:
         s[2] += 1
     if not stats:
         return set()
-    texts = smooth([s[0] / s[2] for s in stats.values()])
-    marks = smooth([s[1] / s[2] for s in stats.values()])
-    fused = [t * (1 + p) for t, p in zip(texts, marks, strict=True)]
-    least = min(REACH * pstdev(fused), max(fused))
-    return {path for path, f in zip(stats, fused, strict=True) if f >= least}
+    texts, marks = [s[0] / s[2] for s in stats.values()], [s[1] / s[2] for s in stats.values()]
+    fused = [t * (1 + p) for t, p in zip(smooth(texts), smooth(marks), strict=True)]
+    own = [t * (1 + p) for t, p in zip(texts, marks, strict=True)]
+    least = min(REACH * pstdev(fused), max(map(min, fused, own)))
+    return {path for path, f, o in zip(stats, fused, own, strict=True) if min(f, o) >= least}  # good neighbours alone don't make content
 
 
 def weigh(found: list[tuple[Element, str]], elements: list[Element]) -> int:
@@ -190,6 +197,7 @@ def judge_names(found: list[tuple[Element, str]], elements: list[Element]) -> No
     """Parts named for what is no article are out, but for those that hold main, the only article or most of the content.
 
     Remarks are measured by what has no such name, as they may outweigh what they remark on; others by all but remarks.
+    Where there is an article or main with text outside of them all, however short, only what holds one can stay.
     """
     named = [e for e in elements if e.named and not e.out]
     if not named:
@@ -198,12 +206,12 @@ def judge_names(found: list[tuple[Element, str]], elements: list[Element]) -> No
     outermost = [e for e in named if not e.parent.under]
     plain = elements[0].mass - sum(e.mass for e in outermost)
     rest = plain + sum(e.mass for e in outermost if e.named not in REMARKS)
-    holders = set()
+    holders, marked = set(), any(e.within and e.size and not e.out and not e.under for e in elements)
     for e in elements:
         if e.out or e.named or not (e.name == "main" or (e.name == "article" and e.mass > plain)):
             continue
         up = e.parent
-        while up is not None and up.named not in REMARKS:
+        while up is not None and up.named not in REMARKS and up not in holders:
             holders.add(up)
             up = up.parent
     for e in elements[1:]:
@@ -211,7 +219,7 @@ def judge_names(found: list[tuple[Element, str]], elements: list[Element]) -> No
             enough = e.mass * (1 - MOST) >= plain * MOST if e.named in REMARKS else 2 * e.mass > rest
             small = e.size and 2 * e.linked > e.size  # links are navigation, however many
             parent_named = e.parent.under and not e.parent.out  # within a part that stayed by its mass, names count again
-            e.out = e.out or small or not (enough and e.mass) or (parent_named and e.named in REMARKS)
+            e.out = e.out or small or marked or not (enough and e.mass) or (parent_named and e.named in REMARKS)
         e.out = e.out or e.parent.out
 
 
@@ -238,7 +246,11 @@ def beside(top: Element, elements: list[Element], total: int) -> None:
 
 
 def extract(page: str) -> str:
-    """The main text: its blocks in page order, one to a line; empty if there is none."""
+    """The main text: its blocks in page order, one to a line; empty if there is none.
+
+    Unclosed tags are text, an unclosed comment, script or style goes up to the end. Each character is looked at a bounded
+    number of times, so very long pages, deep nesting and broken markup take time in proportion to their length.
+    """
     found, elements = leaves(page)
     judge_names([(e, t) for e, _, t in found if not e.out and t.strip()], elements)
     voters = [(e, t) for e, _, t in found if not e.out and t.strip()]
@@ -262,7 +274,8 @@ def extract(page: str) -> str:
         if e.path in paths:
             chain.add(e)
     for e in elements[1:]:
-        e.inside = e.inside or e.parent.inside
+        links = not e.mass and 2 * e.linked > e.size and e.name not in INLINE and e.name not in TEXTUAL  # no selected path in it
+        e.inside = (e.inside or e.parent.inside) and not links
     lines, last, parts = [], None, []
 
     def close() -> None:
@@ -282,7 +295,12 @@ def extract(page: str) -> str:
 
 
 def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, url, text, n_chars) of every row. A null page is an empty one, whose text is empty; ids and urls pass as they are."""
+    """(id, url, text, n_chars) of every row. A null page is an empty one, whose text is empty; ids and urls pass as they are.
+
+    Each row is read by itself, so repeated rows and ids, null ids and ties give a row each; an empty table gives none.
+    Pages are read whole, in time that grows with their length, whatever is malformed in them. Other columns of df are
+    not looked at, so their names may be any.
+    """
     common.bounded_batches(df.sparkSession)
     fields = [T.StructField(id_col, df.schema[id_col].dataType), T.StructField(url_col, df.schema[url_col].dataType), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
 
