@@ -1,8 +1,9 @@
 """WARC archives by way of a chunked record table.
 
-A payload is never handled as one piece beyond the row it arrives in: it becomes rows (record id, chunk number, bytes)
-of bounded size with the digest and length of all bytes so far, the last one carrying those of the whole. Writers and
-readers stream such rows: a writer task appends chunks to a gzip member, a reader task inflates and emits chunks.
+A payload becomes rows (record, chunk number, bytes) of bounded size with the digest and length of all bytes so far, the
+last one carrying those of the whole; beyond the row it arrives in, nothing handles it as one piece. Writers and readers
+stream such rows: a writer task meets a record's head row and then its chunks, and appends each to a gzip member; a
+reader task inflates and emits chunks.
 
 Records with equal payloads are one response and revisits that refer to it. A task's archive is written under a name of
 the attempt and then renamed, so a lost executor leaves no half archive behind under a name that anyone reads.
@@ -24,8 +25,8 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Bytes of a chunk at most.
-CHUNK = 1 << 20
+#: Bytes of a chunk at most, and of payload in an archive, about.
+CHUNK, ARCHIVE = 1 << 20, 1 << 30
 # Fixed values of the format.
 VERSION, END = b"WARC/1.1\r\n", b"\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -47,13 +48,17 @@ def pieces_of(payload, size: int):
 
 
 def chunks(df: DataFrame, id_col: str, payload_col: str, *carry: str, size: int = CHUNK) -> DataFrame:
-    """(id, carried columns, chunk, chunk_bytes, so_far, digest, last): every payload as chunk rows; null or empty is one empty chunk."""
+    """(id, carried columns, record, chunk, chunk_bytes, so_far, digest, last): every payload as chunk rows.
+
+    record numbers the rows of df, repeated ones too, anew with each evaluation. A null or empty payload is one empty chunk.
+    """
     common.bounded_batches(df.sparkSession)
     picked = df.select(df[id_col].alias("id"), *(df[c].alias(f"c{k}") for k, c in enumerate(carry)), df[payload_col].cast("binary").alias("payload"))
-    fields = [*picked.schema.fields[:-1], *T.StructType.fromDDL(CHUNK_FIELDS).fields]
+    fields = [*picked.schema.fields[:-1], T.StructField("record", T.LongType()), *T.StructType.fromDDL(CHUNK_FIELDS).fields]
     names = [f.name for f in fields]
 
     def run(batches):
+        base = TaskContext.get().partitionId() << 33
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
             rows, out, held = [], [[] for _ in range(5)], 0
@@ -61,7 +66,8 @@ def chunks(df: DataFrame, id_col: str, payload_col: str, *carry: str, size: int
             def flush():
                 take = pa.array(rows, pa.int64())
                 types = (pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.bool_())
-                return pa.RecordBatch.from_arrays([*(c.take(take) for c in batch.columns[:-1]), *(pa.array(x, t) for x, t in zip(out, types, strict=True))], names=names)
+                numbers = pa.array([base + i for i in rows], pa.int64())
+                return pa.RecordBatch.from_arrays([*(c.take(take) for c in batch.columns[:-1]), numbers, *(pa.array(x, t) for x, t in zip(out, types, strict=True))], names=names)
 
             for i in range(batch.num_rows):
                 value = column[i].as_buffer() if column[i].is_valid else None
@@ -75,6 +81,7 @@ def chunks(df: DataFrame, id_col: str, payload_col: str, *carry: str, size: int
                         rows, out, held = [], [[] for _ in range(5)], 0
             if rows:
                 yield flush()
+            base += batch.num_rows
 
     out = picked.mapInArrow(run, T.StructType(fields))
     return out.select(F.col("id").alias(id_col), *(F.col(f"c{k}").alias(c) for k, c in enumerate(carry)), *(f.name for f in fields[1 + len(carry) :]))
@@ -96,18 +103,38 @@ def open_shared(path: str) -> tuple[arrow_fs.FileSystem, str]:
     return arrow_fs.LocalFileSystem(), path
 
 
+HEAD = "key string, url string, sha string, n long, revisit boolean, target string"
+
+
+def record_head(key: str | None, url: str | None, sha: str, n: int, revisit: bool, target: str | None, date: str) -> bytes:
+    fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_urn(str(key))), ("WARC-Date", date), ("WARC-Target-URI", url or "")]
+    fields += [("WARC-Payload-Digest", "sha1:" + sha), ("X-Payload-Length", str(n))]
+    if key is not None:
+        fields.append(("X-Record-Key", key))
+    if revisit:
+        fields += [("WARC-Refers-To", record_urn(str(target))), ("WARC-Profile", REVISIT_PROFILE)]
+        if target is not None:
+            fields.append(("X-Refers-To-Key", target))
+    return header([*fields, ("Content-Type", "text/html"), ("Content-Length", str(0 if revisit else n))])
+
+
 def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, date: str = "1970-01-01T00:00:00Z", size: int = CHUNK) -> DataFrame:
     """Write a record per row into gzip archives in a shared folder; returns (path, records, bytes), one row an archive.
 
-    Rows with a null id or url are written as those of an empty string. Archives follow df's partitions.
+    Of the rows with equal payloads of at least ``least`` bytes one with the largest id is the response and all others
+    revisit it, those that repeat its id too. A null id comes before all others and is written as no key (a revisit of
+    one refers to no key), a null url as an empty one, a null payload as an empty one. An empty table gives no archive.
     """
     spark = df.sparkSession
-    common.bounded_batches(spark, rows=256)
-    rows = df.select(df[id_col].alias("id"), df[url_col].alias("url"), F.coalesce(df[payload_col].cast("binary"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumn("sha", F.unhex(F.sha1("payload"))).withColumn("n", F.octet_length("payload").cast("long"))
-    digests = common.materialize(rows.select("sha", "n", "id"), "digests")
-    groups = common.materialize(digests.where(F.col("n") >= least).groupBy("sha", "n").agg(F.max("id").alias("top"), F.count("*").alias("k")).where("k > 1").select("sha", "n", "top"), "equal")
-    marked = rows.join(common.small(groups), ["sha", "n"], "left").select("id", "url", F.when(F.col("top") > F.col("id"), F.col("top")).alias("refers_to"), "payload")
+    table = common.materialize(chunks(df.select(df[id_col].alias("id"), df[url_col].alias("url"), df[payload_col].alias("payload")), "id", "payload", "url", size=size), "chunks")
+    whole = table.where("last").select("record", "id", "url", F.col("digest").alias("sha"), F.col("so_far").alias("n"))
+    groups = common.materialize(whole.where(F.col("n") >= least).groupBy("sha", "n").agg(F.max(F.struct("id", "record")).alias("top"), F.count("*").alias("k")).where("k > 1").select("sha", "n", "top"), "equal")
+    revisit = F.coalesce(F.col("record") != F.col("top.record"), F.lit(False))
+    heads = whole.join(common.small(groups), ["sha", "n"], "left").select("record", F.lit(-1).cast("long").alias("chunk"), F.col("id").cast("string").alias("key"), "url", "sha", "n", revisit.alias("revisit"), F.when(revisit, F.col("top.id").cast("string")).alias("target"))
+    nothing = T.StructType.fromDDL(HEAD).fields
+    rows = heads.withColumn("chunk_bytes", F.lit(None).cast("binary")).unionByName(table.select("record", "chunk", *(F.lit(None).cast(f.dataType).alias(f.name) for f in nothing), "chunk_bytes"))
+    total = whole.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    dealt = rows.repartition(max(common.parts(spark), -(-total // ARCHIVE)), "record").sortWithinPartitions("record", "chunk")
 
     def run(batches):
         task = TaskContext.get()
@@ -115,35 +142,33 @@ def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "u
         shared.create_dir(root, recursive=True)
         name = f"{root}/part-{task.partitionId():06d}.warc.gz"
         temporary = f"{name}.{task.taskAttemptId()}.tmp"
-        records = total = 0
+        records, member = 0, None
         with shared.open_output_stream(temporary, compression=None) as out:
             for batch in batches:
-                ids, urls, refers, payload = (batch.column(k) for k in range(4))
-                for i in range(batch.num_rows):
-                    key, url, target = ids[i].as_py(), urls[i].as_py(), refers[i].as_py()
-                    value = payload[i].as_buffer()
-                    sha = hashlib.sha1()
-                    for k in range(0, len(value), size):
-                        sha.update(memoryview(value)[k : k + size])
-                    fields = [("WARC-Type", "response" if target is None else "revisit"), ("WARC-Record-ID", record_urn(str(key))), ("WARC-Date", date), ("WARC-Target-URI", url or "")]
-                    fields += [("WARC-Payload-Digest", "sha1:" + digest_text(sha)), ("X-Payload-Length", str(len(value))), ("X-Record-Key", "" if key is None else str(key))]
-                    if target is not None:
-                        fields += [("WARC-Refers-To", record_urn(str(target))), ("X-Refers-To-Key", str(target)), ("WARC-Profile", REVISIT_PROFILE)]
-                    body = len(value) if target is None else 0
-                    member = zlib.compressobj(6, zlib.DEFLATED, 31)  # a gzip member for each record
-                    out.write(member.compress(header([*fields, ("Content-Type", "text/html"), ("Content-Length", str(body))])))
-                    for k in range(0, body, size):
-                        out.write(member.compress(memoryview(value)[k : k + size]))
-                    out.write(member.compress(END))
-                    out.write(member.flush())
-                    records += 1
+                chunk, payload = batch.column(1), batch.column(8)
+                head = list(zip(*(batch.column(k).to_pylist() for k in range(2, 8)), strict=True))
+                for i, k in enumerate(chunk.to_pylist()):
+                    if k < 0:
+                        if member:
+                            out.write(member.compress(END) + member.flush())
+                        member, skip = zlib.compressobj(6, zlib.DEFLATED, 31), head[i][4]  # a gzip member for each record
+                        out.write(member.compress(record_head(*head[i], date)))
+                        records += 1
+                    elif not skip:
+                        out.write(member.compress(payload[i].as_buffer()))
+            if member:
+                out.write(member.compress(END) + member.flush())
             total = out.tell()
         if shared.get_file_info(name).type != arrow_fs.FileType.NotFound:
             shared.delete_file(name)
         shared.move(temporary, name)
         yield pa.RecordBatch.from_pydict({"path": [name], "records": [records], "bytes": [total]})
 
-    return common.materialize(marked.mapInArrow(run, "path string, records long, bytes long"), "archives").where("records > 0")
+    columns = ["record", "chunk", *(f.name for f in nothing), "chunk_bytes"]
+    archives = common.materialize(dealt.select(columns).mapInArrow(run, "path string, records long, bytes long"), "archives")
+    common.discard(table, groups)
+    common.free_shuffles(spark)
+    return archives.where("records > 0")
 
 
 class Stream:
@@ -208,7 +233,11 @@ READ_FIELDS = "record_key string, url string, record_type string, refers_to stri
 
 
 def read(spark: SparkSession, archives: DataFrame, size: int = CHUNK) -> DataFrame:
-    """The chunked record table of the archives in a column ``path``: a row for each record and chunk, digests carried on."""
+    """The chunked record table of the archives in a column ``path``: a row for each record and chunk, digests carried on.
+
+    record_key and refers_to are null where a record states none. An archive named twice is read twice; no archives, no
+    rows. A record that is cut off or no record is an error, never left out.
+    """
     schema = T.StructType.fromDDL(READ_FIELDS)
     arrow_types = [{"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}[f.dataType.simpleString()] for f in schema.fields]
 
@@ -233,7 +262,10 @@ def read(spark: SparkSession, archives: DataFrame, size: int = CHUNK) -> DataFra
 
 
 def records(table: DataFrame) -> DataFrame:
-    """A row for each record of a chunked table, from its last chunk: what it states, checked against the bytes of a response."""
+    """A row for each record of a chunked table, from its last chunk: what it states, checked against the bytes of a response.
+
+    Records with the same key, or none, are rows of their own. A response whose bytes aren't those that it states is an error.
+    """
     ends = table.where("last")
     sound = (F.col("record_type") != "response") | ((F.col("digest") == F.col("stated_digest")) & (F.col("so_far") == F.col("stated_bytes")))
-    return ends.select("record_key", "url", "record_type", "refers_to", F.col("stated_bytes").alias("payload_bytes"), F.when(sound, F.col("stated_digest")).otherwise(F.raise_error(F.concat(F.lit("damaged record "), "record_key"))).alias("payload_digest"))
+    return ends.select("record_key", "url", "record_type", "refers_to", F.col("stated_bytes").alias("payload_bytes"), F.when(sound, F.col("stated_digest")).otherwise(F.raise_error(F.concat(F.lit("damaged record "), F.coalesce("record_key", F.lit("without a key"))))).alias("payload_digest"))
