@@ -24,8 +24,10 @@ from . import common
 
 # The classes of code points that the pattern tells apart.
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
-#: Distinct pre-tokens whose ids a worker remembers, and as many used before (a cache: results don't depend on it).
-REMEMBER = 100_000
+#: Distinct pre-tokens whose ids a worker remembers (a cache: results don't depend on it).
+REMEMBER = 500_000
+#: White space that stands for no byte (see byte_chars), so it can part pre-tokens.
+APART = "\u2003"
 
 
 def byte_chars() -> list[str]:
@@ -98,8 +100,7 @@ class Codec:
         self.token_start = np.cumsum(self.token_len) - self.token_len
         self.token_bytes = np.frombuffer(b"".join(table), np.uint8)
         self.classes = np.zeros(0x110000, np.uint8)
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self._forget()
 
     def _ask(self, points: np.ndarray) -> None:
         """The class of code points: of what lead do they continue the run?"""
@@ -168,25 +169,35 @@ class Codec:
             cut &= ~inside[:n]
         return at[np.flatnonzero(cut)]
 
-    def ids_of(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids of each pre-token, as little-endian 32-bit numbers."""
-        if len(self.young) > REMEMBER:  # what was used since stays, the rest goes
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        new = []
-        for p in pieces:
-            if p not in young:
-                if p in old:
-                    young[p] = old[p]
-                elif p in self.specials:
-                    young[p] = np.array([self.specials[p]], np.uint32).tobytes()
-                else:
-                    new.append(p)
-        merge, chars = self.tk.model.tokenize, self.chars
-        for p in new:
-            found = merge(p.decode("latin-1").translate(chars))
-            young[p] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
-        return [young[p] for p in pieces]
+    def _forget(self) -> None:
+        self.slot: dict[bytes, int] = {}  # the number of a pre-token
+        self.ends, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)  # ends[k], ends[k + 1]: where its ids stand in flat
+
+    def ids_of(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pre-tokens, one after another, and how many each has."""
+        if len(self.slot) > REMEMBER:
+            self._forget()
+        slot = self.slot
+        at = list(map(slot.get, pieces))
+        if None in at:
+            missing = [i for i, x in enumerate(at) if x is None]
+            merge, lens, flat = self.tk.model.tokenize, [], []
+            for i, text in zip(missing, APART.join([pieces[i].decode("latin-1") for i in missing]).translate(self.chars).split(APART), strict=True):
+                p = pieces[i]
+                found = [self.specials[p]] if p in self.specials else [t.id for t in merge(text)]
+                at[i] = slot[p] = len(slot)
+                lens.append(len(found))
+                flat += found
+            k, end = len(slot) - len(lens), int(self.ends[len(slot) - len(lens)])
+            while len(self.ends) <= len(slot):
+                self.ends = np.append(self.ends, np.zeros_like(self.ends))
+            while len(self.flat) < end + len(flat):
+                self.flat = np.append(self.flat, np.zeros_like(self.flat))
+            self.ends[k + 1 : len(slot) + 1] = end + np.cumsum(lens)
+            self.flat[end : end + len(flat)] = flat
+        where = np.array(at, np.int64)
+        size = self.ends[where + 1] - self.ends[where]
+        return self.flat[common.ragged(self.ends[where], size)], size
 
     def blocks(self, data: np.ndarray, offsets: np.ndarray):
         """(row, whether it ends the row, part) tables of bounded size: (byte slice, starts of rows in it, first row, last row done).
@@ -224,13 +235,10 @@ class Codec:
         """Ids of all rows, one after another, and the offsets of the rows among them."""
         out, counts = [], np.zeros(len(offsets) - 1, np.int64)
         for words, codes, rows in self.pieces(data, offsets):
-            ids = self.ids_of(words.to_pylist())
-            lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            starts = np.cumsum(lens) - lens
-            flat = np.frombuffer(b"".join(ids), np.uint32)
-            size = lens[codes]
-            out.append(flat[common.ragged(starts[codes], size)])
-            counts += np.bincount(rows, size, len(counts)).astype(np.int64)
+            flat, lens = self.ids_of(words.to_numpy(zero_copy_only=False).tolist())
+            each = common.strings(flat.view(np.uint8), 4 * np.append(0, np.cumsum(lens)))
+            out.append(np.frombuffer(each.take(pa.array(codes)).buffers()[2], np.uint32))
+            counts += np.bincount(rows, lens[codes], len(counts)).astype(np.int64)
         return np.concatenate(out) if out else np.zeros(0, np.uint32), np.append(0, np.cumsum(counts))
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -34,8 +34,8 @@ def distinct_pretokens(df: DataFrame, path: str, text_col: str = "text") -> Data
     def count(batches):
         own = bpe.codec(path)
         for batch in batches:
-            sizes = [len(x) // 4 for x in own.ids_of(batch.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int32())], names=["word", "n", "pieces"])
+            _, sizes = own.ids_of(batch.column(0).to_numpy(zero_copy_only=False).tolist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes.astype(np.int32))], names=["word", "n", "pieces"])
 
     found = df.select(df[text_col].alias("text")).mapInArrow(words, "word binary, n long")
     return found.groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(count, "word binary, n long, pieces int")
