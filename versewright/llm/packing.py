@@ -230,15 +230,16 @@ def plan_linear_grouping(counts: dict[int, int], capacity: int, fractions=(1 / 8
 
 
 def cut(df: DataFrame, path: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """(id, piece, start, length, ids_crc32[, ids], task, nth): each text's ids and an end id, cut where over the capacity.
+    """(id, piece, start, length, ids_crc32 or ids, task, nth): each text's ids and an end id, cut where over the capacity.
 
-    Full pieces but for the first, which takes the remainder, so nothing is lost. ids: little-endian 16-bit numbers, or
-    32-bit ones where the vocabulary is larger. task and nth: the running number among the task's pieces of a length.
+    Full pieces but for the first, which takes the remainder, so nothing is lost. ids_crc32: of little-endian 32-bit ids.
+    With with_ids the ids themselves instead: little-endian 16-bit numbers, or 32-bit ones where the vocabulary is
+    larger. task and nth: the running number among the task's pieces of a length.
     """
     common.bounded_batches(df.sparkSession)
     wide = "<u2" if with_ids and bpe.codec(path).size <= 1 << 16 else "<u4"
-    fields = [T.StructField("id", df.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32"))]
-    fields += [T.StructField("ids", T.BinaryType())] * with_ids + [T.StructField("task", T.IntegerType()), T.StructField("nth", T.LongType())]
+    fields = [T.StructField("id", df.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in ("start", "length"))]
+    fields += [T.StructField("ids", T.BinaryType()) if with_ids else T.StructField("ids_crc32", T.LongType()), T.StructField("task", T.IntegerType()), T.StructField("nth", T.LongType())]
 
     def run(batches):
         own, task = bpe.codec(path), TaskContext.get().partitionId()
@@ -253,19 +254,22 @@ def cut(df: DataFrame, path: str, capacity: int, id_col: str = "doc_id", text_co
             piece = common.ragged(np.zeros(len(n), np.int64), n)
             start = np.where(piece == 0, 0, first[doc] + (piece - 1) * capacity)
             length = np.where(piece == 0, first[doc], capacity)
-            raw = np.insert(ids, where[1:], end_id).astype("<u4")
+            raw = np.full(len(ids) + len(n), end_id, wide)
+            own_ids = np.ones(len(raw), bool)
+            own_ids[where[1:] + np.arange(len(n))] = False
+            raw[own_ids] = ids
             lo = (where[:-1] + np.arange(len(n)))[doc] + start
-            crc = np.array([zlib.crc32(raw[a : a + b]) for a, b in zip(lo.tolist(), length.tolist(), strict=True)], np.int64)
             order = np.argsort(length, kind="stable")
             grouped = length[order]
             edge = np.flatnonzero(np.append(True, grouped[1:] != grouped[:-1]))[: len(grouped)]
             nth = np.empty(len(length), np.int64)
             nth[order] = np.arange(len(order)) - np.repeat(edge, np.diff(np.append(edge, len(order)))) + seen[grouped]
             seen += np.bincount(length, minlength=capacity + 1)
-            cols = [batch.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)]
+            cols = [batch.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length)]
             if with_ids:
-                size = int(wide[2])
-                cols.append(common.strings(np.frombuffer(raw.astype(wide).tobytes(), np.uint8), np.append(lo, len(raw)) * size))
+                cols.append(common.strings(raw.view(np.uint8), np.append(lo, len(raw)) * raw.itemsize))
+            else:
+                cols.append(pa.array([zlib.crc32(raw[a : a + b]) for a, b in zip(lo.tolist(), length.tolist(), strict=True)], pa.int64()))
             cols += [pa.array(np.full(len(doc), task, np.int32)), pa.array(nth)]
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
@@ -299,36 +303,60 @@ def pack(df: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id",
     return place(common.materialize(cut(df, path, capacity, id_col, text_col, end_id, with_ids), "pieces"), capacity, plan)
 
 
+def whole_sequences(batches):
+    """Tables of whole sequences from batches that are sorted by their first column, which names the sequence."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        last = batch.column(0).to_numpy()
+        if len(last) and last[0] != last[-1]:  # the batch's last sequence may go on
+            table = pa.Table.from_batches(held)
+            done = table.num_rows - int((last == last[-1]).sum())
+            held = table.slice(done).combine_chunks().to_batches()
+            yield table.slice(0, done).combine_chunks()
+    if held and (table := pa.Table.from_batches(held)).num_rows:
+        yield table.combine_chunks()
+
+
 def matrices(df: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, pad_id: int = 0) -> DataFrame:
     """Packed rows for training: a row for each sequence, by best-fit decreasing.
 
     sequence_id, n_tokens, n_segments, doc_ids, pieces, cu_seqlens (segment ends from 0 on, as variable-length attention
     takes them), input_ids (binary: ``capacity`` little-endian ids of the width that cut() gives, padded by pad_id) and
     position_ids (binary: as many 16-bit positions, starting anew with each segment, 0 in the padding).
+
+    A null or empty text is a segment of the end id alone; a text longer than the capacity is cut losslessly into pieces,
+    each a segment. Rows are packed one by one, whatever their ids, so repeated rows and null ids are segments of their
+    own; an empty table gives no sequence. Other columns of df are not looked at, so their names may be any.
     """
     if capacity > 1 << 16:
         raise ValueError("positions are 16-bit numbers")
-    size = 2 if bpe.codec(path).size <= 1 << 16 else 4
-    placed = pack(df, path, capacity, id_col, text_col, end_id, plan_best_fit, with_ids=True)
-    rows = placed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "id", "piece", "length", "ids"))).alias("s"))  # at most ``capacity`` segments
-    n = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["length"])
-    joined = rows.select("sequence_id", n.alias("n_tokens"), F.size("s").alias("n_segments"), F.transform("s", lambda x: x["id"]).alias("doc_ids"), F.transform("s", lambda x: x["piece"]).alias("pieces"),
-                         F.concat(F.transform("s", lambda x: x["offset"].cast("int")), F.array(n.cast("int"))).alias("cu_seqlens"), F.transform("s", lambda x: x["ids"]).alias("raw"))
-    fields = [f for f in joined.schema.fields if f.name != "raw"] + [T.StructField("input_ids", T.BinaryType()), T.StructField("position_ids", T.BinaryType())]
-    pad = int(pad_id).to_bytes(size, "little")
+    kind = "<u2" if bpe.codec(path).size <= 1 << 16 else "<u4"
+    placed = pack(df, path, capacity, id_col, text_col, end_id, plan_best_fit, with_ids=True).select("sequence_id", "offset", "id", "piece", "length", "ids")
+    fields = [T.StructField("sequence_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_segments", T.IntegerType()), T.StructField("doc_ids", T.ArrayType(df.schema[id_col].dataType))]
+    fields += [T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("pieces", "cu_seqlens")] + [T.StructField(n, T.BinaryType()) for n in ("input_ids", "position_ids")]
 
     def run(batches):
-        for batch in batches:
-            ids = [b"".join(x).ljust(0) for x in batch.column(6).to_pylist()]
-            ids = [x + pad * (capacity - len(x) // size) for x in ids]
-            places = []
-            for ends in batch.column(5).to_pylist():
-                at = np.zeros(capacity, "<u2")
-                at[: ends[-1]] = common.ragged(np.zeros(len(ends) - 1, np.int64), np.diff(ends))
-                places.append(at.tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(ids, pa.binary()), pa.array(places, pa.binary())], names=[f.name for f in fields])
-
-    return joined.mapInArrow(run, T.StructType(fields))
+        for table in whole_sequences(batches):
+            sequence, offset, length = (table.column(k).to_numpy() for k in (0, 1, 4))
+            edge = np.append(np.flatnonzero(np.append(True, sequence[1:] != sequence[:-1])), len(sequence))
+            first, count = edge[:-1], np.diff(edge)
+            rows, tokens = len(first), np.add.reduceat(length, first)
+            ends = np.insert(offset, edge[1:], tokens).astype(np.int32)  # where segments start, and where the last ends
+            data, at = common.buffers(table.column(5))
+            ids = data[at[0] : at[-1]].view(kind)
+            used = np.arange(capacity) < tokens[:, None]  # sequences have no gaps
+            matrix, places = np.full((rows, capacity), pad_id, kind), np.zeros((rows, capacity), "<u2")
+            matrix[used] = ids
+            places[used] = common.ragged(np.zeros(len(length), np.int64), length)
+            lists = [pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), table.column(k).combine_chunks()) for k in (2, 3)]
+            packed = [common.strings(m.reshape(-1).view(np.uint8), np.arange(rows + 1) * capacity * m.itemsize) for m in (matrix, places)]
+            cols = [pa.array(sequence[first]), pa.array(tokens), pa.array(count.astype(np.int32)), *lists, common.lists(ends, edge + np.arange(rows + 1)), *packed]
+            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
+
+    n = common.parts(df.sparkSession)
+    dealt = placed.repartition(n, "sequence_id").sortWithinPartitions("sequence_id", "offset")
+    return dealt.mapInArrow(run, T.StructType(fields))
 
 
 def write(df: DataFrame, out: str, **options) -> None:
