@@ -7,6 +7,7 @@ The order changes the cost, never the verdict: a text is kept if no rule rejects
 
 from __future__ import annotations
 
+import functools
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -29,17 +30,36 @@ class Features:
     """Features of the rows of a block, each worked out when first asked for and for the rows asked about only."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.data, self.offsets, self.found = data, offsets, {}
-        self.words = Words(data, offsets)
+        self.text, self.found, self.rows = lambda: (data, offsets), {}, len(offsets) - 1
+
+    @functools.cached_property
+    def data(self) -> np.ndarray:
+        return self.text()[0]
+
+    @functools.cached_property
+    def offsets(self) -> np.ndarray:
+        return self.text()[1]
+
+    @functools.cached_property
+    def words(self) -> Words:
+        return Words(self.data, self.offsets)
 
     def sums(self, marks: np.ndarray) -> np.ndarray:
         total = np.append(0, np.cumsum(marks))
         return total[self.offsets[1:]] - total[self.offsets[:-1]]
 
     def part(self, rows: np.ndarray) -> Features:
-        """The same for some of the rows."""
-        size = np.diff(self.offsets)[rows]
-        return Features(self.data[common.ragged(self.offsets[:-1][rows], size)], np.append(0, np.cumsum(size)))
+        """The same for some of the rows: what is known of them, and their text only if more is asked."""
+        out = Features(self.data[:0], np.zeros(len(rows) + 1, np.int64))
+        out.found = {k: v[rows] for k, v in self.found.items()}
+
+        @functools.cache
+        def text():
+            size = np.diff(self.offsets)[rows]
+            return self.data[common.ragged(self.offsets[:-1][rows], size)], np.append(0, np.cumsum(size))
+
+        out.text = text
+        return out
 
     def get(self, name: str) -> np.ndarray:
         if name not in self.found:
@@ -57,6 +77,7 @@ class Features:
         is_symbol[list(SYMBOLS)] = True
         return self.sums(is_symbol[self.data])
 
+    @functools.cached_property
     def lines(self) -> tuple[np.ndarray, np.ndarray]:
         """Of each line with a word: its row, and whether it equals an earlier one of the row."""
         ends = self.data == 0x0A
@@ -78,11 +99,11 @@ class Features:
         return row, ~first
 
     def n_lines(self) -> np.ndarray:
-        return np.bincount(self.lines()[0], minlength=self.words.rows)
+        return np.bincount(self.lines[0], minlength=self.rows)
 
     def n_dup_lines(self) -> np.ndarray:
-        row, again = self.lines()
-        return np.bincount(row[again], minlength=self.words.rows)
+        row, again = self.lines
+        return np.bincount(row[again], minlength=self.rows)
 
     def n_repeat_words(self) -> np.ndarray:
         w = self.words
@@ -146,13 +167,13 @@ def order_rules(df: DataFrame, rules=RULES, text_col: str = "text", sample: int
 
 def cascade(f: Features, rules, order) -> np.ndarray:
     """Which rows no rule rejects: each rule in turn over the rows still alive."""
-    alive = np.arange(f.words.rows)
+    alive = np.arange(f.rows)
     for k in order:
         if not len(alive):
             break
-        now = f if len(alive) == f.words.rows else f.part(alive)
+        now = f if len(alive) == f.rows else f.part(alive)
         alive = alive[~rules[k].rejects(now)]
-    kept = np.zeros(f.words.rows, bool)
+    kept = np.zeros(f.rows, bool)
     kept[alive] = True
     return kept
 
@@ -190,7 +211,11 @@ def judge(df: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep(df: DataFrame, rules=RULES, text_col: str = "text") -> DataFrame:
-    """df without the rows that a rule rejects, all columns as they were."""
+    """df without the rows that a rule rejects, all columns as they were, whatever their names.
+
+    A null text has no words and is rejected as one; rows are judged one by one, so repeated ones stay or go together.
+    An empty table gives no rows.
+    """
     common.bounded_batches(df.sparkSession)
     rules, (order, _) = tuple(rules), order_rules(df, rules, text_col)
     where = df.columns.index(text_col)
