@@ -2,12 +2,19 @@
 
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import brute
+import numpy as np
+import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
+from tokenizers import Tokenizer
 
-from versewright.llm import graph, jaccard, passages, quality, suffixes
+from versewright.llm import common, graph, jaccard, passages, quality, queries, suffixes
+
+SF = "/root/testdata/sf0.01"
 
 SCHEMA = "doc_id long, text string, kept string, component_id int, n_words int"  # with names that clash with results
 
@@ -100,6 +107,86 @@ def test_repeated_passages(spark, corpus, monkeypatch, crowd):
         assert (bytes(got[k]["kept"]), got[k]["n_removed"], len(got[k]["removed"])) == (left, gone, runs), k
 
 
+def thue_morse(n):
+    """A word of n letters and its complement: polynomial hashes modulo a power of two can't tell them apart."""
+    word = "".join("ab"[k.bit_count() % 2] for k in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [512, 1024, 4096])
+def test_texts_that_collide_in_rolling_hashes(spark, n):
+    rng = random.Random(n)
+    texts = [f"{prose(rng, 30)} {w} {prose(rng, 30)}" for w in thue_morse(n)] + list(thue_morse(n))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(frame(spark, texts), 4, 85, 100).collect()}
+    assert got == dict(enumerate(brute.jaccard(texts, 4, 85, 100)))
+    left = {r["doc_id"]: bytes(r["kept"]) for r in suffixes.remove(frame(spark, texts), 400).collect()}
+    assert left == {k: x[0] for k, x in enumerate(brute.without_repeats([t.encode() for t in texts], 400))}
+
+
+def test_ties_are_decided_by_bytes(monkeypatch):
+    monkeypatch.setattr(suffixes.RollingHash, "of", lambda self, starts, ends: np.zeros(len(starts), np.uint64))
+    rng = random.Random(1)
+    head = bytes(rng.randrange(97, 101) for _ in range(60))
+    data = np.frombuffer(b"".join(head + bytes(rng.randrange(97, 99) for _ in range(4)) for _ in range(60)), np.uint8)
+    place = np.arange(0, len(data), 64)
+    strings = [data[p : p + 64].tobytes() for p in place]
+    assert suffixes.repeated_windows(data, place, 64).tolist() == [strings.count(x) > 1 for x in strings]
+
+
+@pytest.mark.parametrize("bucket", [3, 50, 100_000])
+def test_equal_suffixes_meet_across_buckets(spark, monkeypatch, bucket):
+    monkeypatch.setattr(suffixes, "BUCKET", bucket)
+    rng = random.Random(bucket)
+    rows = [(k, rng.randrange(6), rng.randrange(8), rng.randrange(3)) for k in range(150)] + [(k, 9, 9, 9) for k in range(150, 300)]  # half of all are one string
+    table = common.materialize(spark.createDataFrame(rows, "at long, x long, y long, z long").repartition(3), "rows")
+    found, _ = suffixes.in_order(table, ["x", "y", "z"], ["at", "x", "y", "z"], group=2)
+    got = found.collect()
+    count, kinds = Counter(r[1:] for r in rows), {}
+    for r in rows:
+        kinds.setdefault(r[1:3], set()).add(r[1:])
+    copies = [r["at"] for r in got if r["copy"]]
+    assert sorted(copies) == [r[0] for r in rows if count[r[1:]] > 1]
+    # of a group in which a string stands alone among others all kinds are there
+    need = {k for group in kinds.values() if len(group) > 1 and any(count[k] == 1 for k in group) for k in group}
+    assert need <= {(r["x"], r["y"], r["z"]) for r in got if not r["copy"]}
+    assert suffixes.in_order(common.materialize(table.limit(0), "none"), ["x", "y"], ["at"], group=1)[0].count() == 0
+
+
+def digest_repeats(texts, length):
+    """What suffixes.remove() should say of each text, by a digest of the string at every place."""
+    seen = Counter(hashlib.blake2b(t[p : p + length], digest_size=12).digest() for t in texts for p in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        edge = np.zeros(len(t) + 1, np.int64)
+        for p in range(len(t) - length + 1):
+            if seen[hashlib.blake2b(t[p : p + length], digest_size=12).digest()] > 1:
+                edge[p] += 1
+                edge[p + length] -= 1
+        gone = np.append(False, np.cumsum(edge)[:-1] > 0)
+        out.append((len(t), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~gone[1:]])).hexdigest()))
+    return out
+
+
+def test_query_of_repeats_on_the_whole_table(spark):
+    got = {r["doc_id"]: tuple(r)[1:5] for r in queries.QUERIES["op7_suffix_dedup"](spark, SF).collect()}
+    table = pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text"]).to_pydict()
+    assert got == dict(zip(table["doc_id"], digest_repeats([(t or "").encode() for t in table["text"]], 400), strict=True))
+
+
+def test_query_of_near_copies_on_the_whole_table(spark):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.QUERIES["op9_ngram_jaccard"](spark, SF).collect()}
+    table = pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text"]).to_pydict()
+    ids, texts = zip(*sorted(zip(table["doc_id"], table["text"], strict=True)), strict=True)
+    assert got == {k: (len(brute.shingles(t, 4)), ids[c]) for k, t, c in zip(ids, texts, brute.jaccard(list(texts), 4, 85, 100), strict=True)}
+
+
+def test_quality_of_very_long_texts_and_null_ids(spark):
+    long = "a few words that go on and on, line by line\n" * 60_000
+    rows = [(None, long, "x", 1, 2), (None, None, "x", 1, 2), (1, "x" * 3_000_000, "x", 1, 2), (1, "x" * 3_000_000, "x", 1, 2)]
+    got = sorted(((r["doc_id"] or 0, r["n_words"], r["base_failed"]) for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert got == [(0, 0, True), (0, 660_000, True), (1, 1, True), (1, 1, True)]
+
+
 def test_long_texts_go_in_parts(spark, corpus, monkeypatch):
     monkeypatch.setattr(suffixes, "STRETCH", 300)
     texts = [t for t in corpus if t][:60]
@@ -150,11 +237,32 @@ def test_pipeline(spark, corpus, tmp_path):
     left = [x[0].decode("utf-8", "ignore") for x in brute.without_repeats([corpus[k].encode() for k in firsts], 400)]
     third = corpus_pipeline.repeated_passages(spark, second, str(tmp_path))
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in third.collect()} == {k: (t, len(t)) for k, t in zip(firsts, left, strict=True)} and third.columns == docs.columns
+    fourth = corpus_pipeline.all_repeated_passages(spark, second, str(tmp_path)).collect()
     packed = corpus_pipeline.run(spark, str(tmp_path))
-    columns = packed.columns
-    assert columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    assert {r["doc_id"] for r in packed.collect()} == set(firsts)
-    assert hashlib.sha256(str(columns).encode()).hexdigest()
+    assert packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    rows = packed.collect()
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {r["doc_id"]: [*library.encode(r["text"], add_special_tokens=False).ids, 0] for r in fourth}
+    assert set(ids) == set(firsts) and sum(r["length"] for r in rows) == sum(map(len, ids.values()))
+    for r in rows:
+        part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert len(part) == r["length"] and zlib.crc32(np.array(part, "<u4").tobytes()) == r["ids_crc32"]
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in rows)
+    for (s, at, n), (s2, at2, _) in zip(places, places[1:], strict=False):
+        assert at2 == (at + n if s == s2 else 0) and at + n <= corpus_pipeline.CAPACITY
+    assert len({s for s, _, _ in places}) == -(-sum(map(len, ids.values())) // corpus_pipeline.CAPACITY)
+
+
+def test_pipeline_with_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id long, d string, spans string, component_id int, _k1 string, kept string"
+    rows = [(k, t, "en", "s", len(t), k, "d", "x", 1, "k", "y") for k, t in enumerate(["one two three four five six " * 3 + "seven eight nine"] * 2 + ["other words here " + "x y z a b c d e f g h i j k l m n o p q r"])]
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == [f.split()[0] for f in schema.split(", ")]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == docs.count()
 
 
 def test_pipeline_edges(spark):
