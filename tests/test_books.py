@@ -83,7 +83,32 @@ def test_verse_counts_and_source(spark, tmp_path):
 def test_file_checks(spark):
     files = spark.createDataFrame([("a", "no id \x00 \\c1 x\\v 2 \"q\" it's 'q'", True), ("b", "\x00" * 5, False)], "path string, content string, is_utf8 boolean")
     ids = {(r["path"], str(r["error_id"])) for r in checks.file_issues(files).collect()}
-    assert {("a", "69.0"), ("a", "70.0"), ("a", "74.1"), ("a", "75.0"), ("a", "79.0"), ("a", "80.0"), ("b", "79.1"), ("b", "79.2")} <= ids
+    assert {("a", "69.0"), ("a", "70.0"), ("a", "72.0"), ("a", "74.1"), ("a", "75.0"), ("a", "79.0"), ("a", "80.0"), ("b", "79.1"), ("b", "79.2")} <= ids
+
+
+def test_each_slip_and_orphan_is_said(spark):
+    content = "\\id GEN\n\\c1\n\\c 2a\n\\p x\\v 1 a\\v2 b\n\\v3\n\\v 4c\n\nThe Great Flood\nand it rained\nALL CAPS\n<<<<<<< HEAD\n"
+    rows = checks.file_issues(spark.createDataFrame([("f", content), ("g", "The Great Flood")], "path string, content string")).where("error_id between 69 and 74 or error_id = 76").collect()
+    assert sorted((r["path"], str(r["error_id"]), r["msg"]) for r in rows) == sorted(
+        [("f", "70.0", "Missing space before chapter number: \\c1 in f"), ("f", "71.0", "Missing space after chapter number: \\c 2 in f"), ("f", "72.0", "Missing white space before verse marker: x\\v 1 in f"), ("f", "72.0", "Missing white space before verse marker: a\\v2 in f"),
+         ("f", "73.0", "Missing space before verse number: \\v2 in f"), ("f", "73.0", "Missing space before verse number: \\v3 in f"), ("f", "74.0", "Missing space after verse number: \\v 4c in f"), ("f", "76.0", "Possible section title at line 8 in f"), ("f", "76.0", "Possible section title at line 10 in f")]
+    )
+
+
+def test_notes_that_nest(spark):
+    c = context(spark, "\\id GEN\n\\c 1\n\\p\n\\v 1 a \\fe + \\ft b \\fe + \\ft c\\fe* d\\fe* \\f + \\ft e \\f + \\ft g\\f*\\f*\n")
+    found = checks.token_issues(c, dims.books(spark)).where("error_id in (18, 19)").groupBy("error_id").count().collect()
+    assert {str(r["error_id"]): r["count"] for r in found} == {"18.0": 1, "19.0": 1}
+
+
+def test_books_without_an_id_and_aligned_ones(spark):
+    lost = "\\h x\n\\c 1\n\\c 9\n\\v 3 x\n"
+    ids = [str(r["error_id"]) for r in checks.verify(books(spark, lost), dims.books(spark)).collect()]
+    assert ids.count("62.1") == 1 and "35.0" not in ids and "16.0" not in ids
+    plain = "\\id RUT\n\\h Rut\n\\toc3 rut\n\\mt1 Rút\n\\c 1\n\\p\n\\v 1 {}\n"
+    aligned = plain.format('\\zaln-s |x-lemma="y"\\*\\w Ünder|lemma="u" x-occurrences="1"\\w*\\zaln-e\\* \\w way|lemma="w"\\w*.')
+    text = lambda s: {(str(r["error_id"]), r["msg"]) for r in checks.verify(books(spark, s), dims.books(spark)).where("error_id not in (74.1, 75, 80)").collect()}
+    assert text(aligned) == text(plain.format("Ünder way."))
 
 
 def test_word_list(spark):

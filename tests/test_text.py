@@ -1,5 +1,7 @@
 """Scalar rules: Python functions and their native equals."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,12 +76,36 @@ def test_add_spaces(s, out):
     assert cl.add_spaces(s) == out
 
 
+def test_punctuation_at_hand_equals_the_native_one(spark):
+    texts = ["a.. b... c(d ,, x", "\\v 1 ( x ) y", "\\v 12 “\nx", "¹²,,;; ?.\n .! x[y", "'" * 5 + "a" + "'" * 3 + " <<b>> : c", "a\u00a0(b", "", "\\f+ x +\\f"]
+    assert [r[0] for r in native(spark, texts, cl.fix_punctuation("t"))] == [cl.punctuated(t) for t in texts]
+
+
+def test_paragraph_marks_at_hand_equal_the_native_ones(spark):
+    texts = ["\\p\n\\s Head\n\\v 1 x\n\\s5\n\\q1 \n\n\\s2 More\n\n\\v 2 y", "\\pi1\n\\c 2\n\\m \\v 1", "\\s a\u2028b\n\\v 3", ""]
+    steps = lambda c: cl.add_paragraph_marks(cl.remove_paragraph_marks(cl.move_paragraph_marks(cl.remove_s5(c))))
+
+    def at_hand(s):
+        for pattern, new in [cl.S5_LINE, *cl.PARAGRAPH_MARKS]:
+            s = pattern.sub(new, s)
+        return s
+
+    assert [r[0] for r in native(spark, texts, steps("t"))] == [at_hand(t) for t in texts]
+
+
+def test_rewrites_take_time_in_proportion():
+    began = time.process_time()
+    for s in ("a.b(c" * 40_000, "\"a b\" 'c' " * 20_000, "x \"" * 50_000, " “ x ”" * 30_000, "a,“b,”c " * 30_000):
+        cl.add_spaces(s), rules.promote_quotes(s), rules.promote_double_quotes(s), cl.join_floating_quotes(s), cl.space_medial_quotes(s, "all")
+    assert time.process_time() - began < 10
+
+
 def test_book_titles():
     assert cl.fix_book_titles("\\h II  KINGS.\n\\toc1 the book of iii\n\\mt1 Fine Title\n") == "\\h II Kings\n\\toc1 The Book Of III\n\\mt1 Fine Title\n"
 
 
 def test_quote_mates():
-    assert cl.find_mate("“", 2, "x “abc” d") == 6
+    assert cl.sides_of_quotes("x “abc” d “e", [2, 6, 10]) == ["opens", "", "closes"]
     assert cl.space_medial_quotes("He said,“go” now") == "He said, “go” now"
     assert cl.join_floating_quotes("He “ went ” off").count(" ”") + cl.join_floating_quotes("He “ went ” off").count("“ ") <= 1
 

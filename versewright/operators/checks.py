@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions import cleanup as cl
 from ..functions import dims, rules
 from ..functions import text as tx
 from . import tokens as tk
@@ -160,7 +161,8 @@ def token_issues(context: DataFrame, books: DataFrame, footnoted: DataFrame | No
         i("15", (kind == "c") & (chapter == before), "Duplicate chapter: ", ref),
         i("16", (kind == "c") & (chapter > before + 2), "Missing chapters before: ", ref),
         i("17", (kind == "c") & (chapter == before + 2), "Missing chapter(s) before ", ref),
-        i("18", kind.isin("f", "rq") & F.col("in_footnote"), "Footnote starts before previous one is terminated at ", ref),
+        i("18", kind.isin("f", "rq") & F.col("in_note"), "Footnote starts before previous one is terminated at ", ref),
+        i("19", (kind == "fe") & F.col("in_endnote"), "Endnote starts before previous one is terminated at ", ref),
         i("20", kind == "fe", "Warning: endnote \\fe ... \\fe* at ", ref, " may break other converters."),
         i("21", kind.isin("fr", "fk", "ft", "fq", "fqa", "fqa*", "fp", "fv", "fv*", "fdc", "fdc*") & ~F.col("in_footnote"), "Footnote marker (", kind, ") not between \\f ... \\f* pair at ", ref),
         i("22", (kind == "id") & (F.length(F.coalesce(value, F.lit(""))) < 3), "Invalid ID: ", value),
@@ -272,8 +274,10 @@ def book_issues(context: DataFrame, books: DataFrame, lengths: DataFrame | None
         i("81", F.col("toc3") == 0, "No \\toc3 tag in ", F.col("path")),
     ]
     out = found(b, checks)
-    ids = context.where(kind == "id").select("path", "idx", F.upper(F.substring(value, 1, 3)).alias("ref")).withColumn("nth", F.row_number().over(Window.partitionBy("ref").orderBy("path", "idx")))
-    out = out.unionByName(found(ids, [i("23", F.col("nth") > 1, "Duplicate ID: ", F.col("ref"))]))
+    ids = context.where(kind == "id").select("path", "idx", F.upper(F.substring(value, 1, 3)).alias("ref"))
+    first = ids.groupBy("ref").agg(F.min(F.struct("path", "idx")).alias("first"))  # some 70 ids, and what is none
+    again = ids.join(first, "ref").where(F.struct("path", "idx") != F.col("first"))
+    out = out.unionByName(found(again, [i("23", F.lit(True), "Duplicate ID: ", F.col("ref"))]))
     if lengths is not None and options.verse_counts:
         ends = context.where((kind.isin("v", "c")) & (F.col("chapter") > 0)).groupBy("path", "book", "chapter").agg(F.max_by("verse", "idx").alias("verse"), F.max_by("ref", "idx").alias("ref")).join(lengths, ["book", "chapter"], "left")
         out = out.unionByName(found(ends, [i("8", (F.col("verse") != F.coalesce("n_verses", F.lit(0))) & ~F.col("ref").isin(dims.COUNT_MAY_DIFFER), "Chapter usually has ", F.coalesce("n_verses", F.lit(0)), " verses: ", F.col("ref"))]))
@@ -285,16 +289,10 @@ def file_issues(files: DataFrame, options: Options = Options()) -> DataFrame:
     c = F.col("content")
     i = lambda k, w, *m: issue(k, w, *m, options=options)
     doubles, singles = tx.straight_quotes("content")
-    slips = [
-        ("69", r"(\\[cv][0-9]+)", "Missing space in marker: "), ("70", r"([^\n\\ ]\\[cv] [0-9]+)", "No break before marker: "), ("71", r"(\\v [0-9]+[^\s0-9\-][^\s]*)", "Missing space after verse marker: "),
-        ("72", r"(\\v\s+[^\s0-9]\S*)", "Verse marker without number: "), ("73", r"(\\c\s+[^\s0-9]\S*)", "Chapter marker without number: "), ("74", r"(\\[cv] [0-9]+\s*-\s+[0-9]+)", "Blank in verse range: "),
-    ]
     null_bytes = F.regexp_count(c, F.lit("\\x00"))
     checks = [
-        *[i(n, c.rlike(p), m, F.regexp_extract(c, p, 1)) for n, p, m in slips],
         i("74.1", ~c.startswith("\\id "), "File does not start with \\id"),
         i("75", (doubles + singles > 0) & F.lit(options.straight_quotes), "Straight quotes found: ", doubles, " double, ", singles, " single"),
-        i("76", c.rlike(r"\n\n[^\\]"), "Line without marker, perhaps a section title: ", F.regexp_extract(c, r"\n\n([^\\\n][^\n]*)", 1)),
         i("77", c.rlike(r"\\wj\s+\\wj\*"), "Empty \\wj pair"),
         i("78", c.rlike(r"(?m)\\$"), "Stranded backslash at the end of a line"),
         i("79", (null_bytes > 0) & (null_bytes < F.length(c)), "Null bytes in file"),
@@ -303,7 +301,32 @@ def file_issues(files: DataFrame, options: Options = Options()) -> DataFrame:
     ]
     if "is_utf8" in files.columns:
         checks.append(i("79.2", ~F.col("is_utf8"), "File isn't UTF-8"))
-    return found(files.withColumn("ref", F.lit(None).cast("string")), checks)
+    files = files.withColumn("ref", F.lit(None).cast("string"))
+    return found(files, checks).unionByName(slip_issues(files, options)).unionByName(orphan_issues(files, options))
+
+
+# Numbers of the checks for slips in chapter and verse marks, what they look like, and what is said of them.
+SLIPS = [
+    ("69", r"[^\n](\\c\s*\p{Nd}+)", "Missing newline before chapter marker: "), ("70", r"(\\c[0-9]+)", "Missing space before chapter number: "), ("71", r"(\\c\s*\p{Nd}+)[^\p{Nd}\s]+[\n\r]", "Missing space after chapter number: "),
+    ("72", r"([^\n\r\s]\\v\s*\p{Nd}+)", "Missing white space before verse marker: "), ("73", r"(\\v[0-9]+)", "Missing space before verse number: "), ("74", r"(\\v\s*[-0-9]+[^-\p{Nd}\s])", "Missing space after verse number: "),
+]
+
+
+def slip_issues(files: DataFrame, options: Options = Options()) -> DataFrame:
+    """An issue for each slip of a chapter or verse mark in files (path, ref, content)."""
+    of = lambda n, p: F.transform(F.regexp_extract_all("content", F.lit(p), F.lit(1)), lambda h: F.struct(F.lit(n).alias("n"), h.alias("hit")))
+    hits = F.flatten(F.array(*[of(n, p) for n, p, _ in SLIPS]))
+    rows = files.select("path", "ref", F.explode(hits).alias("h")).select("path", "ref", "h.n", F.when(F.col("h.n") == "72", F.regexp_replace("h.hit", r"^[^ -~]", "")).otherwise(F.col("h.hit")).alias("hit"))
+    return found(rows, [issue(n, F.col("n") == n, said, F.col("hit"), " in ", F.col("path"), options=options) for n, _, said in SLIPS])
+
+
+def orphan_issues(files: DataFrame, options: Options = Options()) -> DataFrame:
+    """Lines without a mark that look like section titles, in files where such a line follows an empty one."""
+    suspect = files.where(F.col("content").rlike(r"\n\n[^\\]"))
+    lines = suspect.select("path", "ref", F.posexplode(F.split("content", "\n")).alias("at", "line"))
+    plain = lines.where(F.col("line").rlike(r"^[^\\]") & ~F.col("line").rlike(r"^<+ HEAD"))
+    titled = rules.column(lambda s: s.istitle() or s.isupper() or rules.titlecase_share(s) > 0.5, "boolean")("line")
+    return found(plain.where(titled), [issue("76", F.lit(True), "Possible section title at line ", F.col("at") + 1, " in ", F.col("path"), options=options)])
 
 
 STRIP = ".,:;!?+-[]{}()<>\"“‘’”*/"
@@ -335,8 +358,15 @@ def summary(issues: DataFrame) -> DataFrame:
 
 
 def verify(files: DataFrame, books: DataFrame, lengths: DataFrame | None = None, footnoted: DataFrame | None = None, source: DataFrame | None = None, options: Options = Options()) -> DataFrame:
-    """All issues of a folder of books (path, content). source: books of the language translated from."""
-    context = tk.with_context(tk.tokens(files.select("path", "content"))).persist()
+    """All issues of a folder of books (path, content). source: books of the language translated from.
+
+    Whole-file checks see the text as it is, the others that of aligned books without its alignment. A book without an
+    id isn't checked past its first chapter mark.
+    """
+    text = F.when(cl.is_aligned("content"), rules.column(cl.unalign)(F.when(cl.is_aligned("content"), F.col("content")))).otherwise(F.col("content"))
+    context = tk.with_context(tk.tokens(files.select("path", text.alias("content"))))
+    lost = F.max((F.col("type") == "c") & F.col("book").isNull()).over(Window.partitionBy("path").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
+    context = context.withColumn("lost", F.coalesce(lost, F.lit(False))).where("not lost").drop("lost").persist()
     other = None
     if source is not None:
         other = tk.verses(tk.with_context(tk.tokens(source.select("path", "content")))).groupBy("ref").agg(F.array_join(F.sort_array(F.collect_list("text")), " ").alias("source_text"))
