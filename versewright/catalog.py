@@ -43,7 +43,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # documents as lines and as marked books, in both engines
 
 W, NW = tx.WORD, tx.NOT_WORD
-SQL_SPLIT = r"list_filter(regexp_split_to_array({0}, '[ \t\n\r\f\x0B]+'), lambda w: w <> '')"
+SQL_SPLIT = r"list_filter(regexp_split_to_array({0}, '[ \t\n\r\f\x0B\p{{Z}}\x{{85}}\x{{1C}}-\x{{1F}}]+'), lambda w: w <> '')"
 SQL_LINES = "(SELECT doc_id, i - 1 AS idx, string_split(coalesce(text, ''), chr(10))[i] AS line FROM documents, range(1, len(string_split(coalesce(text, ''), chr(10))) + 1) AS r(i))"
 
 
@@ -59,13 +59,9 @@ def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("\\id GEN\n\\h "), "source", F.lit("\n"), body).alias("content"))
 
 
-SPACES = r"[ \t\n\r\f\x0B]+"
-
-
-@query(f"SELECT w AS word, count(*) AS n FROM (SELECT unnest({SQL_SPLIT.format('text')}) AS w FROM documents) GROUP BY w")
-def word_list(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", SPACES)).alias("word"))
-    return words.where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as text tokens (type, value, ref) whose reference is the document."""
+    return table(spark, sf_dir, "documents").select(F.lit("text").alias("type"), F.col("text").alias("value"), F.format_string("DOC %08d", "doc_id").alias("ref"))
 
 
 STRIP_SQL = "'.,:;!?+-[]{}()<>\"“‘’”*/'"
@@ -73,17 +69,14 @@ STRIP_SQL = "'.,:;!?+-[]{}()<>\"“‘’”*/'"
 
 @query(f"""
 WITH w AS (SELECT doc_id, trim(unnest({SQL_SPLIT.format('text')}), {STRIP_SQL}) AS word FROM documents)
-SELECT word, count(*) AS n, CASE WHEN count(*) = 1 THEN min(doc_id) END AS only_doc FROM w WHERE word <> '' AND NOT regexp_matches(word, '\\p{{N}}') GROUP BY word""")
-def stripped_word_list(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", SPACES)).alias("w")).select("doc_id", F.btrim("w", F.lit(checks.STRIP)).alias("word"))
-    words = words.where((F.col("word") != "") & ~F.col("word").rlike(r"\p{N}"))
-    return words.groupBy("word").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).select("word", "n", F.when(F.col("n") == 1, F.col("first")).alias("only_doc"))
+SELECT word, count(*) AS n, CASE WHEN count(*) = 1 THEN printf('DOC %08d', min(doc_id)) END AS ref FROM w WHERE word <> '' AND NOT regexp_matches(word, '\\p{{N}}') GROUP BY word""")
+def word_list(spark, sf_dir):
+    return checks.word_list(texts(spark, sf_dir))
 
 
 @query()
 def mixed_case_words(spark, sf_dir):
-    words = stripped_word_list(spark, sf_dir).where(F.col("word") != F.lower("word"))
-    return words.where(rules.column(rules.is_mixed_case, "boolean")("word"))
+    return checks.mixed_case_issues(word_list(spark, sf_dir)).select("error_id", "ref", "msg")
 
 
 ENDS_SQL = r"regexp_matches({0}, '[.?!।፡።][^\p{{L}}\p{{N}}_]*$')"
@@ -105,12 +98,12 @@ def sentence_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", rules.column(rules.sentence_count, "int")("text").alias("n"), F.size(rules.column(rules.sentence_starts, "array<int>")("text")).alias("starts"))
 
 
-@query(f"""
-SELECT doc_id, idx, round(len(list_filter(ws, lambda w: regexp_matches(w, '^[^a-z]*[A-Z][^A-Z]*$'))) / len(ws)::DOUBLE, 6) AS share FROM (SELECT doc_id, idx, {SQL_SPLIT.format('line')} AS ws FROM {SQL_LINES}) WHERE len(ws) > 0""")
+TITLE_SQL = r"regexp_matches(replace(replace(w, '''', ''), '’', ''), '^[^\p{Lu}\p{Ll}\p{Lt}]*([\p{Lu}\p{Lt}]\p{Ll}*([^\p{Lu}\p{Ll}\p{Lt}]+|$))+$')"
+
+
+@query(f"SELECT doc_id, idx, round(CASE WHEN len(ws) > 0 THEN len(list_filter(ws, lambda w: {TITLE_SQL})) / len(ws)::DOUBLE ELSE 0 END, 6) AS share FROM (SELECT doc_id, idx, {SQL_SPLIT.format('line')} AS ws FROM {SQL_LINES})")
 def titlecase_fraction(spark, sf_dir):
-    words = F.filter(F.split("line", SPACES), lambda w: w != "")
-    lines = doc_lines(spark, sf_dir).select("doc_id", "idx", words.alias("ws")).where(F.size("ws") > 0)
-    return lines.select("doc_id", "idx", F.round(F.size(F.filter("ws", lambda w: w.rlike("^[^a-z]*[A-Z][^A-Z]*$"))) / F.size("ws"), 6).alias("share"))
+    return doc_lines(spark, sf_dir).select("doc_id", "idx", F.round(rules.column(rules.titlecase_share, "double")("line"), 6).alias("share"))
 
 
 @query("""
@@ -164,21 +157,31 @@ def verse_text(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT l_orderkey, l_linenumber AS verse, coalesce(lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber), 0) AS last FROM lineitem)
-SELECT l_orderkey, verse, last, CASE WHEN verse = last THEN 40.0 WHEN verse = last + 2 THEN 41.0 WHEN verse > last + 2 THEN 41.1 END AS error_id FROM s WHERE verse = last OR verse >= last + 2""")
+WITH l AS (SELECT l_orderkey, l_linenumber AS idx, CAST(sum(l_quantity) AS BIGINT) % 9 + 1 AS verse FROM lineitem GROUP BY 1, 2),
+s AS (SELECT *, coalesce(lag(verse) OVER (PARTITION BY l_orderkey ORDER BY idx), 0) AS last FROM l),
+k AS (SELECT *, CASE WHEN verse < last THEN 39.0 WHEN verse = last THEN 40.0 WHEN verse = last + 2 THEN 41.0 WHEN verse > last + 2 THEN 41.1 END AS error_id, 'GEN 1:' || verse AS ref, 'GEN 1' || CASE WHEN last > 0 THEN ':' || last ELSE '' END AS last_ref FROM s),
+n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, last_ref, error_id = 40 ORDER BY idx) AS nth FROM k WHERE error_id IS NOT NULL)
+SELECT l_orderkey::VARCHAR AS path, ref, idx, error_id::DOUBLE AS error_id, CASE error_id WHEN 39 THEN 'Verse out of order: ' || ref || ' after ' || last_ref WHEN 40 THEN 'Duplicated verse number: ' || ref WHEN 41 THEN 'Missing verse between: ' || last_ref || ' and ' || ref ELSE 'Missing verses between: ' || last_ref || ' and ' || ref END AS msg
+FROM n WHERE nth = 1 OR error_id = 40""")
 def verse_sequence_issues(spark, sf_dir):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
-    s = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("verse"), F.coalesce(F.lag("l_linenumber").over(w), F.lit(0)).alias("last"))
-    kind = F.when(F.expr("verse = last"), 40.0).when(F.expr("verse = last + 2"), 41.0).when(F.expr("verse > last + 2"), 41.1)
-    return s.select("l_orderkey", "verse", "last", kind.alias("error_id")).where("error_id is not null")
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("path"), F.col("l_linenumber").alias("idx")).agg((F.sum("l_quantity").cast("long") % 9 + 1).cast("string").alias("value"))
+    heads = rows.select("path").distinct().select("path", F.explode(F.array(*[F.struct(F.lit(k).alias("idx"), F.lit(t).alias("type"), F.lit(v).alias("value")) for k, t, v in ((-2, "id", "GEN"), (-1, "c", "1"))])).alias("h")).select("path", "h.*")
+    context = tk.with_context(heads.unionByName(rows.select("path", "idx", F.lit("v").alias("type"), "value")))
+    return checks.verse_number_issues(context).select("path", "ref", "idx", F.col("error_id").cast("double").alias("error_id"), "msg")
 
 
-@query("SELECT o_orderkey, count(l_orderkey) AS lines, coalesce(max(l_linenumber), 0) AS top, count(l_orderkey) <> coalesce(max(l_linenumber), 0) AS differs FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+@query("""
+WITH v AS (SELECT l_orderkey, max(l_linenumber) AS verse FROM lineitem GROUP BY 1), o AS (SELECT DISTINCT o_orderkey FROM orders),
+c AS (SELECT o_orderkey, coalesce(verse, 0) AS verse, o_orderkey % 7 + 1 AS usual FROM o LEFT JOIN v ON l_orderkey = o_orderkey)
+SELECT o_orderkey::VARCHAR AS path, ref, 'Chapter usually has ' || usual || ' verses: ' || ref AS msg FROM (SELECT *, 'GEN ' || (o_orderkey + 1) || CASE WHEN verse > 0 THEN ':' || verse ELSE '' END AS ref FROM c) WHERE verse <> usual""")
 def chapter_counts(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.max("l_linenumber").alias("top"))
-    joined = table(spark, sf_dir, "orders").select("o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    n, top = F.coalesce("lines", F.lit(0)), F.coalesce("top", F.lit(0))
-    return joined.select("o_orderkey", n.alias("lines"), top.alias("top"), (n != top).alias("differs"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).distinct()
+    path, number = F.col("k").cast("string").alias("path"), (F.col("k") + 1).cast("string")
+    heads = orders.select(path, F.explode(F.array(F.struct(F.lit(-2).alias("idx"), F.lit("id").alias("type"), F.lit("GEN").alias("value")), F.struct(F.lit(-1).alias("idx"), F.lit("c").alias("type"), number.alias("value")))).alias("h")).select("path", "h.*")
+    verses = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("idx")).distinct().join(orders, "k", "left_semi")
+    context = tk.with_context(heads.unionByName(verses.select(path, "idx", F.lit("v").alias("type"), F.col("idx").cast("string").alias("value"))))
+    lengths = orders.select(F.lit("GEN").alias("book"), (F.col("k") + 1).cast("int").alias("chapter"), (F.col("k") % 7 + 1).cast("int").alias("n_verses"))
+    return checks.book_issues(context, dims.books(spark), lengths).where("error_id = 8").select("path", "ref", "msg")
 
 
 @query(f"""
@@ -192,31 +195,38 @@ def untranslated_similarity(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT p_partkey, s_suppkey, list_distinct(string_split(upper(p_name), '')) AS x, list_distinct(string_split(upper(s_name), '')) AS y FROM part JOIN supplier ON s_suppkey = p_partkey % 10 + 1)
+WITH c AS (SELECT p_partkey, s_suppkey, list_distinct(string_split(upper(p_name), '')) AS x, list_distinct(string_split(upper(s_name), '')) AS y FROM part JOIN supplier ON s_suppkey % 50 = p_partkey % 50)
 SELECT p_partkey, s_suppkey, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::DOUBLE, 6) AS similarity FROM c""")
 def char_jaccard(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", (F.col("p_partkey") % 10 + 1).alias("s_suppkey"))
-    joined = part.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", (F.col("p_partkey") % 50).alias("k"))
+    joined = part.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", (F.col("s_suppkey") % 50).alias("k")), "k")
     return joined.select("p_partkey", "s_suppkey", F.round(tx.character_similarity("p_name", "s_name"), 6).alias("similarity"))
 
 
-@query("""
-WITH h AS (SELECT c_custkey, n_name FROM customer JOIN nation ON contains(lower(c_mktsegment || ' ' || n_name), lower(n_name)) AND n_nationkey <= c_nationkey),
-g AS (SELECT c_custkey, n_name, row_number() OVER (PARTITION BY c_custkey ORDER BY length(n_name) DESC, n_name DESC) AS k FROM h) SELECT c_custkey, n_name FROM g WHERE k = 1""")
+PLAIN_SQL = "regexp_replace(lower(replace(replace(replace({0}, 'III ', '3 '), 'II ', '2 '), 'I ', '1 ')), '[^a-z0-9]', '', 'g')"
+
+
+@query(f"""
+WITH f AS (SELECT c_custkey, c_mktsegment || ' of ' || n_name || ' III ' || lower(n_name) || '.docx' AS name FROM customer JOIN nation ON n_nationkey = c_nationkey),
+b AS (SELECT n_name AS book, {PLAIN_SQL.format("CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE '3 ' || n_name END")} AS key FROM nation),
+g AS (SELECT c_custkey, name, book, row_number() OVER (PARTITION BY c_custkey ORDER BY length(key) DESC, key DESC) AS k FROM f LEFT JOIN b ON contains({PLAIN_SQL.format('name')}, key)) SELECT c_custkey, name, book FROM g WHERE k = 1""")
 def longest_name_match(spark, sf_dir):
-    nations = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))  # 25 rows
-    hits = table(spark, sf_dir, "customer").join(nations, F.lower(F.concat_ws(" ", "c_mktsegment", "n_name")).contains(F.lower("n_name")) & (F.col("n_nationkey") <= F.col("c_nationkey")))
-    return hits.groupBy("c_custkey").agg(F.max_by("n_name", F.struct(F.length("n_name"), F.col("n_name"))).alias("n_name"))
+    nations = table(spark, sf_dir, "nation")
+    books = nations.select(F.col("n_name").alias("id"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise(F.concat(F.lit("3 "), "n_name")).alias("en_name"))
+    named = table(spark, sf_dir, "customer").join(F.broadcast(nations), F.col("n_nationkey") == F.col("c_nationkey"))  # 25 rows
+    return fl.match_names(named.select("c_custkey", F.concat("c_mktsegment", F.lit(" of "), "n_name", F.lit(" III "), F.lower("n_name"), F.lit(".docx")).alias("name")), books)
 
 
 @query("""
-WITH s AS (SELECT o_custkey, o_orderkey AS lo, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS hi FROM orders), m AS (SELECT o_custkey, lo, hi FROM s WHERE hi - lo > 8)
-SELECT o_custkey, lo, hi, len(list_filter(range(1, 17), lambda k: k * 1000 > lo AND k * 1000 < hi)) AS inside FROM m""")
+WITH s AS (SELECT o_custkey, list_sort(list(DISTINCT o_orderkey)) AS st FROM orders GROUP BY 1), m AS (SELECT o_custkey % 40 + 1 AS ch, list(DISTINCT o_orderkey) AS ot FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1),
+x AS (SELECT o_custkey, st, list_filter(coalesce(ot, []), lambda v: len(list_filter(range(1, len(st)), lambda i: st[i + 1] - st[i] > 8 AND v > st[i] AND v < st[i + 1])) > 0) AS inside FROM s LEFT JOIN m ON ch = o_custkey % 40 + 1)
+SELECT o_custkey::VARCHAR AS path, len(list_distinct(list_concat(st, inside))) AS n, md5(array_to_string(list_sort(list_distinct(list_concat(st, inside))), ',')) AS starts FROM x""")
 def chunk_range_join(spark, sf_dir):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    gaps = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("lo"), F.lead("o_orderkey").over(w).alias("hi")).where("hi - lo > 8")
-    model = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda k: k * 1000)
-    return gaps.select("o_custkey", "lo", "hi", F.size(F.filter(model, lambda v: (v > F.col("lo")) & (v < F.col("hi")))).cast("long").alias("inside"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("path"), F.lit("GEN").alias("book"), (F.col("o_custkey") % 40 + 1).cast("int").alias("chapter"), F.col("o_orderkey").cast("int").alias("v"), "o_orderpriority")
+    starts = orders.groupBy("path", "book", "chapter").agg(F.array_sort(F.collect_set("v")).alias("starts"))
+    model = orders.where("o_orderpriority = '1-URGENT'").groupBy("book", "chapter").agg(F.collect_set("v").alias("starts"))
+    settled = transforms.settle_chunks(starts, model)
+    return settled.select("path", F.size("starts").cast("long").alias("n"), F.md5(F.array_join(F.col("starts").cast("array<string>"), ",")).alias("starts"))
 
 
 @query("SELECT doc_id, array_to_string(list_sort(list_filter(range(1, 11), lambda k: NOT list_contains(list_transform(regexp_extract_all(coalesce(text, ''), '[0-9]+'), lambda n: TRY_CAST(n AS INTEGER)), k))), ',') AS missing FROM documents")
@@ -225,45 +235,47 @@ def missing_numbers(spark, sf_dir):
     return docs.select("doc_id", F.array_join(F.array_sort(transforms.missing_verses("text", "expected")), ",").alias("missing"))
 
 
-@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
-def semi_exempt(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders").where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi")
+REFS = [*dims.OPTIONAL, *dims.SHORT, *(f"GEN 1:{k}" for k in range(1, 40))]
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
-def anti_exempt(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders").where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+@query(f"""
+WITH v AS (SELECT o_orderkey, ({REFS!r})[(o_orderkey % {len(REFS)} + 1)::INT] AS ref, o_custkey % 15 AS length, o_orderpriority = '5-LOW' AS is_ascii FROM orders),
+e AS (SELECT o_orderkey, ref, unnest([CASE WHEN ref NOT IN ({", ".join(map(repr, dims.OPTIONAL))}) AND length = 0 THEN 'Empty verse: ' || ref END, CASE WHEN ref NOT IN ({", ".join(map(repr, [*dims.OPTIONAL, *dims.SHORT]))}) AND length > 0 AND length < 11 THEN 'Verse fragment: ' || ref END,
+  CASE WHEN is_ascii AND length > 0 THEN 'Verse is entirely ASCII: ' || ref END]) AS msg FROM v)
+SELECT o_orderkey::VARCHAR AS path, ref, msg FROM e WHERE msg IS NOT NULL""")
+def verse_exemptions(spark, sf_dir):
+    ref = F.element_at(F.array(*map(F.lit, REFS)), (F.col("o_orderkey") % len(REFS) + 1).cast("int"))
+    verses = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("path"), ref.alias("ref"), F.lit(0).alias("idx"), (F.col("o_custkey") % 15).alias("length"), (F.col("o_orderpriority") == "5-LOW").alias("is_ascii"))
+    return checks.verse_issues(verses).select("path", "ref", "msg")
 
 
-@query("SELECT event_type AS label, count(*) AS n FROM events GROUP BY event_type")
+@query("SELECT trim(regexp_replace(value, '\\p{Nd}+', '', 'g')) AS label, count(*) AS n FROM (SELECT event_type || ' ' || event_id % 50 AS value FROM events) GROUP BY 1")
 def label_inventory(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("label")).agg(F.count("*").alias("n"))
-
+    return reports.label_inventory(table(spark, sf_dir, "events").select(F.lit("cl").alias("type"), F.concat("event_type", F.lit(" "), (F.col("event_id") % 50).cast("string")).alias("value")))
 
-@query("SELECT page_id, len(regexp_extract_all(html, '<p')) AS paragraphs, len(regexp_extract_all(html, '<li')) AS items, round(len(regexp_extract_all(html, '<p')) / nullif(len(regexp_extract_all(html, '<h1')), 0)::DOUBLE, 6) AS ratio FROM pages")
-def marker_counts(spark, sf_dir):
-    n = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
-    return table(spark, sf_dir, "pages").select("page_id", n("<p").alias("paragraphs"), n("<li").alias("items"), F.round(F.try_divide(n("<p"), n("<h1")), 6).alias("ratio"))
 
-
-@query("SELECT DISTINCT source, lang FROM documents")
+@query("SELECT DISTINCT name FROM (SELECT unnest([source, lang, ' ']) AS name FROM documents) WHERE trim(name) <> ''")
 def distinct_contributors(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("source", "lang").distinct()
+    return reports.contributors(table(spark, sf_dir, "documents").select(F.array("source", "lang", F.lit(" ")).alias("translators")))
 
 
-@query("""
-WITH f AS (SELECT CASE WHEN text = '' THEN 1.0 WHEN length(text) < 11 THEN 2.0 END AS e FROM documents UNION ALL SELECT CASE WHEN NOT regexp_matches(text, '[^\\x00-\\x7F]') THEN 3.0 END FROM documents UNION ALL SELECT CASE WHEN contains(text, '/') THEN 52.1 END FROM documents UNION ALL SELECT CASE WHEN contains(text, '=') THEN 52.3 END FROM documents UNION ALL SELECT CASE WHEN length(text) < 100 THEN 80.0 END FROM documents)
-SELECT e AS error_id, count(*) AS n FROM f WHERE e IS NOT NULL GROUP BY ROLLUP (e)""")
+@query(r"""
+WITH d AS (SELECT text AS c, length(text) - length(replace(text, '"', '')) AS doubles, length(text) - length(replace(text, chr(39), '')) - len(regexp_extract_all(regexp_replace(text, '([\p{L}\p{N}_])''([\p{L}\p{N}_])', '\1<''>\2', 'g'), '<''>')) AS singles FROM documents),
+e AS (SELECT unnest([CASE WHEN NOT starts_with(c, '\id ') THEN struct_pack(id := 74.1, msg := 'File does not start with \id') END, CASE WHEN doubles + singles > 0 THEN struct_pack(id := 75.0, msg := 'Straight quotes found: ' || doubles || ' double, ' || singles || ' single') END, CASE WHEN length(c) < 100 THEN struct_pack(id := 80.0, msg := 'File has less than 100 characters') END]) AS e FROM d),
+g AS (SELECT e.id AS error_id, min(e.msg) AS lo, max(e.msg) AS hi, count(*) AS n FROM e WHERE e IS NOT NULL GROUP BY 1)
+SELECT error_id::DOUBLE AS error_id, lo[1:list_max(list_filter(range(0, least(length(lo), length(hi)) + 1), lambda k: lo[1:k] = hi[1:k]))] AS msg, n FROM g UNION ALL SELECT NULL, 'TOTAL', sum(n)::BIGINT FROM g""")
 def issue_summary(spark, sf_dir):
-    t, n = F.col("text"), F.length("text")
-    found = F.array(F.when(t == "", 1.0).when(n < 11, 2.0), F.when(tx.is_ascii("text"), 3.0), F.when(t.contains("/"), 52.1), F.when(t.contains("="), 52.3), F.when(n < 100, 80.0))
-    rows = table(spark, sf_dir, "documents").select(F.explode(found).alias("error_id")).where("error_id is not null")
-    return rows.rollup("error_id").agg(F.count("*").alias("n"))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    issues = checks.file_issues(files).where("error_id in (74.1, 75, 80)")  # what plain prose can have
+    return checks.summary(issues).select(F.col("error_id").cast("double").alias("error_id"), "msg", "n")
 
 
-@query("SELECT md5(text) AS id, count(*) AS n, list_sort(list(doc_id)) AS docs FROM documents GROUP BY text HAVING count(*) > 1")
+@query("""
+WITH i AS (SELECT doc_id::VARCHAR AS path, upper(substr(md5(text), 1, 3)) AS ref FROM documents)
+SELECT path, ref, 'Duplicate ID: ' || ref AS msg FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY path) AS nth FROM i) WHERE nth > 1""")
 def dup_ids(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("text").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("doc_id")).alias("docs")).where("n > 1").select(F.md5("text").alias("id"), "n", "docs")
+    heads = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit(0).alias("idx"), F.lit("id").alias("type"), F.upper(F.substring(F.md5("text"), 1, 3)).alias("value"))
+    return checks.book_issues(tk.with_context(heads), dims.books(spark)).where("error_id = 23").select("path", "ref", "msg")
 
 
 @query("SELECT doc_id, NOT regexp_matches(text, '[^\\x00-\\x7F]') AS is_ascii FROM documents")
@@ -271,15 +283,11 @@ def ascii_rows(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.is_ascii("text").alias("is_ascii"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value, len(json_keys(props)) AS n FROM events")
-def json_fields(spark, sf_dir):
-    keys = F.json_object_keys("props")
-    return table(spark, sf_dir, "events").select("event_id", F.try_element_at(F.map_values(F.from_json("props", "map<string,string>")), F.lit(1)).alias("first_value"), F.size(keys).cast("long").alias("n"))
-
-
-@query("SELECT doc_id, md5(translate(text, '0123456789', '۰۱۲۳۴۵۶۷۸۹')) AS digest FROM documents")
-def digit_translate(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.translate("text", "0123456789", cl.URDU_DIGITS)).alias("digest"))
+@query(rf"""
+SELECT doc_id::VARCHAR AS path, md5('\id GEN' || chr(10) || '\h ' || source || chr(10) || string_agg(CASE WHEN idx % 20 = 0 THEN '\c ' || (idx // 20 + 1) || chr(10) || '\cp ' || translate((idx // 20 + 1)::VARCHAR, '0123456789', '{cl.URDU_DIGITS}') || chr(10) || '\p' || chr(10) ELSE '' END
+  || '\v ' || (idx % 20 + 1) || ' \vp ' || translate((idx % 20 + 1)::VARCHAR, '0123456789', '{cl.URDU_DIGITS}') || '\vp* ' || line || chr(10), '' ORDER BY idx)) AS digest FROM {SQL_LINES} JOIN documents USING (doc_id) GROUP BY doc_id, source""")
+def published_numbers(spark, sf_dir):
+    return marked(spark, sf_dir).select("path", F.md5(cl.published_numbers("content")).alias("digest"))
 
 
 @query(f"""
@@ -291,13 +299,6 @@ def line_filter_widow(spark, sf_dir):
     return transforms.remove_duplicate_verses(lines).groupBy(F.col("path").alias("doc_id")).agg(F.count("*").alias("kept"), F.sum("idx").alias("places"))
 
 
-@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b, a.n_name AS name_a, b.n_name AS name_b, length(a.n_name) <> length(b.n_name) AS differs FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
-def title_pair_check(spark, sf_dir):
-    a = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("a"), F.col("n_name").alias("name_a"), "n_regionkey")
-    b = F.broadcast(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("b"), F.col("n_name").alias("name_b"), "n_regionkey"))  # 25 rows
-    return a.join(b, "n_regionkey").where("a < b").select("a", "b", "name_a", "name_b", (F.length("name_a") != F.length("name_b")).alias("differs"))
-
-
 @query("SELECT doc_id, CASE WHEN regexp_matches(t, '^[0-9]+$') THEN TRY_CAST(t AS BIGINT) ELSE 0 END AS value FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN translate(doc_id::VARCHAR, '0123456789', '०१२३४५६७८९') ELSE 'x' || doc_id END AS s, CASE WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR ELSE 'x' || doc_id END AS t FROM documents)")
 def decimal_values(spark, sf_dir):
     s = F.when(F.col("doc_id") % 2 == 0, F.translate(F.col("doc_id").cast("string"), "0123456789", "०१२३४५६७८९")).otherwise(F.concat(F.lit("x"), F.col("doc_id").cast("string")))
@@ -321,23 +322,36 @@ def paragraph_marks_added(spark, sf_dir):
     return books.select("doc_id", F.md5(cl.add_paragraph_marks(F.concat(F.lit("\\c 1\n"), "b"))).alias("digest"))
 
 
-@query("SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\\.\\.', '.', 'g'), '([^ ])\\(', '\\1 (', 'g')) AS digest FROM documents WHERE NOT contains(text, '...')")
+def _twice(sql: str, pattern: str, new: str) -> str:
+    """A replacement in SQL, again for matches that lie over one another."""
+    return f"regexp_replace(regexp_replace({sql}, '{pattern}', '{new}', 'g'), '{pattern}', '{new}', 'g')"
+
+
+NOISY_SQL = "replace(replace(replace(text, '. ', '.. (('), ', ', ' , ['), ' a', '... a')"
+
+
+@query(f"SELECT doc_id, md5({_twice(_twice(_nested_replace(NOISY_SQL), '(^|[^.])[.][.]([^.]|$)', chr(92) + '1.' + chr(92) + '2'), '([^ ' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'r' + chr(92) + 'f])([(' + chr(92) + '[])', chr(92) + '1 ' + chr(92) + '2')}) AS digest FROM documents")
 def punctuation_spacing(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").contains("..."))
-    return docs.select("doc_id", F.md5(F.regexp_replace(F.regexp_replace("text", r"\.\.", "."), r"([^ ])\(", "$1 (")).alias("digest"))
+    noisy = F.replace(F.replace(F.replace(F.col("text"), F.lit(". "), F.lit(".. ((")), F.lit(", "), F.lit(" , [")), F.lit(" a"), F.lit("... a"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(cl.fix_punctuation(noisy)).alias("digest"))
 
 
-@query(f"SELECT CAST(l.doc_id AS VARCHAR) AS path, l.paragraphs, l.poetry, l.chapters FROM (SELECT doc_id, (max(idx) // 20 + 1) + coalesce(sum(len(regexp_extract_all(line, '\\\\p'))), 0)::BIGINT AS paragraphs, coalesce(sum(len(regexp_extract_all(line, '\\\\q'))), 0)::BIGINT AS poetry, max(idx) // 20 + 1 AS chapters FROM {SQL_LINES} GROUP BY doc_id) l")
+@query(f"SELECT CAST(l.doc_id AS VARCHAR) AS path, l.paragraphs, l.poetry, l.chapters, l.paragraphs <= 2.5 * l.chapters AND l.poetry <= 15 * l.chapters AS low FROM (SELECT doc_id, (max(idx) // 20 + 1) + coalesce(sum(len(regexp_extract_all(line, '\\\\p'))), 0)::BIGINT AS paragraphs, coalesce(sum(len(regexp_extract_all(line, '\\\\q'))), 0)::BIGINT AS poetry, max(idx) // 20 + 1 AS chapters FROM {SQL_LINES} GROUP BY doc_id) l")
 def paragraph_counts(spark, sf_dir):
     counts = reports.paragraph_counts(marked(spark, sf_dir))
-    return counts.select("path", *(F.col(c).cast("long").alias(c) for c in ("paragraphs", "poetry", "chapters")))
+    return counts.select("path", *(F.col(c).cast("long").alias(c) for c in ("paragraphs", "poetry", "chapters")), "low")
 
 
-@query("SELECT o_custkey, o_orderkey AS start, coalesce(lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1, 20000) AS \"end\" FROM orders")
+@query("""
+WITH c AS (SELECT DISTINCT l_orderkey, l_linenumber AS start FROM lineitem WHERE l_returnflag = 'R'), n AS (SELECT l_orderkey, max(l_linenumber) AS n_verses FROM lineitem GROUP BY 1),
+e AS (SELECT l_orderkey, start, coalesce(lead(start) OVER (PARTITION BY l_orderkey ORDER BY start) - 1, n_verses) AS "end" FROM c JOIN n USING (l_orderkey))
+SELECT l_orderkey, start, "end", array_to_string(CASE WHEN "end" >= start THEN range(start, "end" + 1) ELSE [start] END, ',') AS expected FROM e""")
 def verse_ranges(spark, sf_dir):
-    chunks = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("book"), F.lit(1).alias("chapter"), F.col("o_orderkey").alias("start"))
-    w = Window.partitionBy("book", "chapter").orderBy("start")
-    return chunks.select(F.col("book").alias("o_custkey"), "start", F.coalesce(F.lead("start").over(w) - 1, F.lit(20000)).alias("end"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("book"), F.lit(1).alias("chapter"), F.col("l_linenumber").alias("start"), "l_returnflag")
+    chunks = lines.where("l_returnflag = 'R'").drop("l_returnflag").distinct()
+    lengths = lines.groupBy("book", "chapter").agg(F.max("start").alias("n_verses"))
+    found = transforms.verse_ranges(chunks, lengths)
+    return found.select(F.col("book").alias("l_orderkey"), "start", "end", F.array_join(F.col("expected").cast("array<string>"), ",").alias("expected"))
 
 
 # rows only: state machines, and functions that SQL lacks
@@ -353,7 +367,7 @@ def usfm_issue_counts(spark, sf_dir):
     return checks.summary(checks.verify(marked(spark, sf_dir), dims.books(spark)))
 
 
-@query()
+@query(rf"SELECT doc_id::VARCHAR AS path, md5('\id GEN' || chr(10) || '\h ' || source || chr(10) || string_agg(CASE WHEN idx % 20 = 0 THEN '\c ' || (idx // 20 + 1) || chr(10) || '\p' || chr(10) ELSE '' END || '\v ' || (idx % 20 + 1) || ' ' || ltrim(line, ' ' || chr(9) || chr(13)) || chr(10), '' ORDER BY idx)) AS digest FROM {SQL_LINES} JOIN documents USING (doc_id) GROUP BY doc_id, source")
 def books_rewritten(spark, sf_dir):
     return tk.written(tk.tokens(marked(spark, sf_dir))).select("path", F.md5("content").alias("digest"))
 
@@ -382,8 +396,7 @@ def headings(spark, sf_dir):
 @query()
 def paragraphs_by_model(spark, sf_dir):
     context = tk.with_context(tk.tokens(marked(spark, sf_dir)))
-    model = transforms.paragraph_model(context.where("path = '0'"))
-    return transforms.mark_paragraphs(context, model).select("path", F.md5("content").alias("digest"), "changed")
+    return transforms.mark_paragraphs(context, transforms.paragraph_model(context)).select("path", F.md5("content").alias("digest"), "changed")
 
 
 @query()
