@@ -74,11 +74,6 @@ def word_list(spark, sf_dir):
     return checks.word_list(texts(spark, sf_dir))
 
 
-@query()
-def mixed_case_words(spark, sf_dir):
-    return checks.mixed_case_issues(word_list(spark, sf_dir)).select("error_id", "ref", "msg")
-
-
 ENDS_SQL = r"regexp_matches({0}, '[.?!।፡።][^\p{{L}}\p{{N}}_]*$')"
 
 
@@ -106,6 +101,20 @@ def titlecase_fraction(spark, sf_dir):
     return doc_lines(spark, sf_dir).select("doc_id", "idx", F.round(rules.column(rules.titlecase_share, "double")("line"), 6).alias("share"))
 
 
+def _plain_sql(word: str) -> str:
+    title = TITLE_SQL.removeprefix("regexp_matches(replace(replace(w, \'\'\'\', \'\'), \'’\', \'\'), ").removesuffix(")")
+    return rf"(regexp_matches({word}, '\p{{Ll}}') AND NOT regexp_matches({word}, '[\p{{Lu}}\p{{Lt}}]') OR regexp_matches({word}, '\p{{Lu}}') AND NOT regexp_matches({word}, '[\p{{Ll}}\p{{Lt}}]') OR regexp_matches({word}, {title}))"
+
+
+@query(rf"""
+WITH l AS ({ORACLE_SQL["word_list"]}), b AS (SELECT *, translate(word, chr(39) || '’"-_()–&', '') AS bare FROM l WHERE n < 5), m AS (SELECT * FROM b WHERE bare <> '' AND NOT {_plain_sql("word")} AND NOT {_plain_sql("bare")}),
+s AS (SELECT list_sort(list(word)) AS w FROM m WHERE n > 1)
+SELECT 0.1::DOUBLE AS error_id, ref, 'Mixed case word in ' || ref || ': ' || word AS msg FROM m WHERE n = 1
+UNION ALL SELECT CASE WHEN len(w) >= 20 THEN 0.3 ELSE 0.2 END, NULL, CASE WHEN len(w) >= 20 THEN 'Too many mixed case words; reporting cancelled' ELSE 'Mixed case words occur more than once each: ' || array_to_string(w, ', ') END FROM s WHERE len(w) > 0""")
+def mixed_case_words(spark, sf_dir):
+    return checks.mixed_case_issues(word_list(spark, sf_dir)).select(F.col("error_id").cast("double").alias("error_id"), "ref", "msg")
+
+
 @query("""
 SELECT doc_id AS id, length(text) - length(replace(text, '"', '')) AS doubles, length(text) - length(replace(text, '''', '')) - len(regexp_extract_all(regexp_replace(text, '([\\p{L}\\p{N}_])''([\\p{L}\\p{N}_])', '\\1<''>\\2', 'g'), '<''>')) AS singles FROM documents
 UNION ALL SELECT page_id + 1000000000, length(html) - length(replace(html, '"', '')), NULL FROM pages""")
@@ -399,17 +408,25 @@ def paragraphs_by_model(spark, sf_dir):
     return transforms.mark_paragraphs(context, transforms.paragraph_model(context)).select("path", F.md5("content").alias("digest"), "changed")
 
 
-@query()
+SQL_TRIMMED = "ltrim(line, ' ' || chr(9) || chr(13))"
+
+
+@query(rf"""
+WITH b AS (SELECT doc_id, source, string_agg(CASE WHEN idx % 20 = 0 THEN chr(10) || chr(10) || '\s5' || chr(10) || '\c ' || (idx // 20 + 1) || chr(10) || '\p' ELSE '' END || chr(10) || '\v ' || (idx % 20 + 1) || CASE WHEN {SQL_TRIMMED} = '' THEN '' ELSE ' ' || {SQL_TRIMMED} END, '' ORDER BY idx) AS body FROM {SQL_LINES} JOIN documents USING (doc_id) GROUP BY doc_id, source)
+SELECT doc_id::VARCHAR AS path, md5(array_to_string(['\id GEN', '\ide UTF-8', '\h ' || source, '\toc1 ' || source, '\toc2 ' || source, '\toc3 gen', '\mt1 ' || source], chr(10)) || regexp_replace(body, '\s+$', '') || chr(10)) AS digest FROM b""")
 def chunk_containers(spark, sf_dir):
     context = tk.with_context(tk.tokens(marked(spark, sf_dir)))
     return transforms.resource_container(context, transforms.chunk_starts(context)).select("path", F.md5("content").alias("digest"))
 
 
-@query()
+@query(rf"""
+WITH l AS (SELECT doc_id, idx, idx // 20 + 1 AS chapter, {SQL_TRIMMED} AS t FROM {SQL_LINES}), n AS (SELECT *, CASE WHEN chapter < 10 THEN '0' ELSE '' END || chapter AS wide FROM l),
+v AS (SELECT doc_id, wide, string_agg('<verse number="' || (idx % 20 + 1) || '" style="v" />' || CASE WHEN t = '' THEN '' ELSE replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || chr(10) || chr(10) END, '' ORDER BY idx) AS content FROM n GROUP BY ALL)
+SELECT doc_id::VARCHAR AS path, wide || '/01.usx' AS file, md5(content) AS digest FROM v UNION ALL SELECT DISTINCT doc_id::VARCHAR, wide || '/title.usx', md5(chapter::VARCHAR) FROM n UNION ALL SELECT doc_id::VARCHAR, 'front/title.usx', md5(source) FROM documents""")
 def usx_chunk_files(spark, sf_dir):
     return reports.usx_chunks(tk.with_context(tk.tokens(marked(spark, sf_dir)))).select("path", "file", F.md5("content").alias("digest"))
 
 
-@query()
+@query(f"SELECT book, unnest(range(1, n + 1)) AS chapter, printf('https://example.org/%s/%02d.mp3', book, unnest(range(1, n + 1))) AS url FROM (VALUES {', '.join(f'({r[0]!r}, {r[2]})' for r in dims.book_rows())}) AS b(book, n)")
 def chapter_audio(spark, sf_dir):
     return fl.audio_urls(dims.books(spark), "https://example.org/%s/%02d.mp3")
