@@ -93,8 +93,22 @@ comp AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 {tail}"""
 
 
+#: SHA-1 in base32: of each five hexadecimal digits, twenty bits, four characters.
+BASE32_SQL = "array_to_string(list_transform(range(0, 32), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((('0x' || {0}[k // 4 * 5 + 1:k // 4 * 5 + 5])::BIGINT >> (15 - 5 * (k % 4))) & 31) + 1]), '')"
+OP6_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS c, row_number() OVER () AS r FROM pages), t AS (SELECT *, first_value(r) OVER w AS top, first_value(page_id) OVER w AS top_id FROM p WINDOW w AS (PARTITION BY c ORDER BY page_id DESC NULLS LAST, r))
+SELECT page_id, strlen(c) AS payload_bytes, {BASE32_SQL.format("sha1(c)")} AS payload_digest, CASE WHEN r = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN r <> top THEN top_id END AS refers_to FROM t"""
+OP8_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), u AS (SELECT vec_id, x FROM v WHERE x IS NOT NULL AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(x, lambda e: e <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.9),
+reach(vec_id, other) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.vec_id, e.b FROM reach JOIN e ON e.a = reach.other),
+comp AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id), n AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM comp LEFT JOIN n USING (vec_id)"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_best_fit_packing, op3_html_text, op4_token_counts, op5_quality_rules, op6_warc, op7_suffix_dedup, op8_embedding_dedup, op9_ngram_jaccard, op10_packed_output)}
 ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": OP5_SQL,
+    "op6_warc": OP6_SQL,
+    "op8_embedding_dedup": OP8_SQL,
     "op9_ngram_jaccard": jaccard_sql(4, 85, 100, "SELECT doc_id, n_shingles, component_id FROM s JOIN comp USING (doc_id)"),
 }
