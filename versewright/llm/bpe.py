@@ -25,7 +25,7 @@ from . import common
 # The classes of code points that the pattern tells apart.
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 #: Distinct pre-tokens whose ids a worker remembers (a cache: results don't depend on it).
-REMEMBER = 500_000
+REMEMBER = 350_000
 #: White space that stands for no byte (see byte_chars), so it can part pre-tokens.
 APART = "\u2003"
 

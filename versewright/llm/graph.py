@@ -37,7 +37,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = common.materialize(links.where(x != y).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct(), "edges")
     state = _state(edges)
     while state[0]:
-        edges = common.materialize(_small(_large(edges).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), "edges")
+        before, edges = edges, common.materialize(_small(_large(edges).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), "edges")
+        common.discard(before)
         now = _state(edges)
         if now == state:
             break

@@ -361,7 +361,7 @@ def remove(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: s
 
     A null text is empty and loses nothing; shorter texts than ``length`` lose nothing, and an empty table gives no rows. Strings are judged on the input,
     each row a place of its own, so all copies of a text lose it, repeated rows too, whatever their ids. removed: the
-    maximal runs. Bytes are cut without regard to characters; as_text() makes text of what is left.
+    maximal runs. Bytes are cut without regard to characters.
     """
     common.bounded_batches(df.sparkSession)
     docs = df.select(df[id_col].alias("id"), F.coalesce(df[text_col], F.lit("")).alias("text")).select("id", "text", *common.content_key("id", "text"))
@@ -369,10 +369,13 @@ def remove(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: s
     return cut_out(docs.join(found, ["_k1", "_k2"], "left"), length).withColumnRenamed("id", id_col)
 
 
-def cut_out(joined: DataFrame, length: int) -> DataFrame:
-    """(id, n_bytes, n_removed, removed, kept) for rows of (id, text, spans), spans as repeated() gives them or null."""
+def cut_out(joined: DataFrame, length: int, as_text: bool = False) -> DataFrame:
+    """(id, n_bytes, n_removed, removed, kept) for rows of (id, text, spans), spans as repeated() gives them or null.
+
+    kept: bytes, or with as_text a string, without the parts of characters that a cut left behind.
+    """
     fields = [T.StructField("id", joined.schema["id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType())]
-    fields += [T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())]
+    fields += [T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.StringType() if as_text else T.BinaryType())]
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
@@ -390,19 +393,8 @@ def cut_out(joined: DataFrame, length: int) -> DataFrame:
                 size.append(len(own))
                 gone.append(int((turns[:, 1] - turns[:, 0]).sum()))
                 removed.append([{"start": int(a), "end": int(b)} for a, b in turns])
-                kept.append(own[~out[1:-1]].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary())], names=[f.name for f in fields])
+                left = own[~out[1:-1]].tobytes()
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.string() if as_text else pa.binary())], names=[f.name for f in fields])
 
     return joined.select("id", "text", "spans").mapInArrow(run, T.StructType(fields))
-
-
-def as_text(kept: DataFrame, column: str = "kept") -> DataFrame:
-    """The same with text in place of bytes; parts of characters that a cut left behind are dropped."""
-
-    def run(batches):
-        for batch in batches:
-            k = batch.schema.get_field_index(column)
-            text = pa.array([None if b is None else b.decode("utf-8", "ignore") for b in batch.column(k).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([text if i == k else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
-
-    return kept.mapInArrow(run, T.StructType([T.StructField(f.name, T.StringType()) if f.name == column else f for f in kept.schema.fields]))

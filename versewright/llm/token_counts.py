@@ -41,18 +41,6 @@ def distinct_pretokens(df: DataFrame, path: str, text_col: str = "text") -> Data
     return found.groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(count, "word binary, n long, pieces int")
 
 
-def most_frequent(words: DataFrame, most: int) -> DataFrame:
-    """The words from a frequency on that at most ``most`` have, found by a histogram of some hundred steps instead of a sort."""
-    step = F.floor(8 * F.log2(F.col("n").cast("double"))).cast("int")
-    left, least = most, None
-    for row in words.groupBy(step.alias("step")).agg(F.count("*").alias("k")).orderBy(F.desc("step")).collect():
-        left -= row["k"]
-        if left < 0:
-            break
-        least = row["step"]
-    return words.where(step >= least) if least is not None else words.limit(0)
-
-
 def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
     """(id, n_bytes, n_tokens) of every row of df.
 
@@ -63,7 +51,7 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     common.bounded_batches(spark)
     docs = df.select(df[id_col].alias("id"), F.coalesce(df[text_col], F.lit("")).alias("text")).select("id", "text", *common.content_key("id", "text"))
     words = common.materialize(distinct_pretokens(docs, path), "pretokens")
-    top = most_frequent(words, head).select("word", "pieces").toArrow()  # at most ``head`` rows
+    top = common.most_frequent(words, head).select("word", "pieces").toArrow()  # at most ``head`` rows
     known = spark.sparkContext.broadcast({w: n for w, n in zip(top["word"].to_pylist(), top["pieces"].to_pylist(), strict=True)})
     kind = df.schema[id_col].dataType.simpleString()
 
