@@ -209,7 +209,8 @@ def test_repeated_rows_count_as_places(spark):
     got = sorted((r["doc_id"] or 0, r["n_removed"]) for r in suffixes.remove(rows, 100).collect())
     assert got == [(0, 0), (1, 150), (1, 150), (2, 0)]
     assert suffixes.remove(rows.limit(0), 100).count() == 0
-    assert suffixes.as_text(spark.createDataFrame([(bytearray("aé".encode()[:2]),)], "kept binary")).first()[0] == "a"
+    odd = spark.createDataFrame([(1, "aéb", [(1, 1)])], "id int, text string, spans array<struct<lo long, hi long>>")
+    assert suffixes.cut_out(odd, 1, as_text=True).first()["kept"] == "ab" and bytes(suffixes.cut_out(odd, 1).first()["kept"]) == b"a\xa9b"
 
 
 def test_components(spark):
