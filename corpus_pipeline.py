@@ -18,7 +18,10 @@ LENGTH, WORDS = 400, 51
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a quality rule rejects go; a null text has no words and goes."""
+    """Documents that a quality rule rejects go; a null text has no words and goes.
+
+    Each row is judged by itself, so repeated rows stay or go together. An empty table gives an empty one.
+    """
     return quality.keep(docs)
 
 
@@ -64,13 +67,17 @@ def _without(spark: SparkSession, docs: DataFrame, words: int | None) -> DataFra
         found = found.unionByName(runs).groupBy("_k1", "_k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
     joined = keyed.join(found, ["_k1", "_k2"], "left").select(F.struct(*(F.col(f"d.{c}").alias(c) for c in rest)).alias("id"), "text", "spans")
-    left = suffixes.as_text(suffixes.cut_out(joined, LENGTH).select("id", "kept"))
+    left = suffixes.cut_out(joined, LENGTH, as_text=True).select("id", "kept")
     new = {"text": F.col("kept").alias("text"), "n_chars": F.length("kept").cast("long").alias("n_chars")}
     return left.select(*(new.get(c, F.col(f"id.{c}").alias(c)) for c in docs.columns))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): all texts in as few sequences as linear grouping finds."""
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): all texts in as few sequences as linear grouping finds.
+
+    A null or empty text is its end id alone, longer texts are cut losslessly, repeated rows and null ids are packed one
+    by one, and an empty table gives no rows. Columns other than doc_id and text are not looked at.
+    """
     packed = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), CAPACITY)
     return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
