@@ -188,6 +188,15 @@ def test_assembly(spark):
     assert {r["start"]: r["expected"] for r in transforms.verse_ranges(chunks, lengths).collect()} == {1: [1, 2], 3: [3, 4]}
 
 
+def test_assembly_of_whole_trees(spark):
+    chunks = spark.createDataFrame([("GEN", 1, 1, "1 In the\tbeginning ,it\nwas 2 dark"), ("GEN", 1, 3, "/v 3 and   light\n\ncame"), ("GEN", 2, 1, "\\c2 \\v 1 x \\v 2 .y")], "book string, chapter int, start int, text string")
+    lengths = spark.createDataFrame([("GEN", 1, 4), ("GEN", 2, 2)], "book string, chapter int, n_verses int")
+    labels = spark.createDataFrame([("GEN", 1, "Chapter One"), ("GEN", 2, "2")], "book string, chapter int, title string")
+    out = transforms.assemble(chunks, dims.books(spark), spark.createDataFrame([("GEN", "Kejadian")], "book string, title string"), lengths, labels, mark_chunks=True).first()["content"]
+    head = "".join(f"\\{k} {v}\n" for k, v in (("id", "GEN"), ("ide", "UTF-8"), ("h", "Kejadian"), ("toc1", "Kejadian"), ("toc2", "Kejadian"), ("toc3", "gen"), ("mt", "Kejadian")))
+    assert out.startswith(head) and out[len(head):].split("\n") == ["\\s5", "\\c 1", "\\cl Chapter One", "\\p", "\\v 1 In the beginning, it was", "\\v 2 dark", "\\s5", "\\v 3 and light", "came", "\\s5", "\\c 2", "\\p", "\\v 1 x.", "\\v 2 y", ""]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "b" / "01").mkdir(parents=True)
     (tmp_path / "b" / "front").mkdir()
