@@ -363,6 +363,105 @@ def verse_ranges(spark, sf_dir):
     return found.select(F.col("book").alias("l_orderkey"), "start", "end", F.array_join(F.col("expected").cast("array<string>"), ",").alias("expected"))
 
 
+# checks of tokens, of punctuation and of numbers, each with the state around it, in both engines
+
+# Fixed values of the queries: marks dealt over the events of a user, and texts of the text tokens.
+DEALT = "c v v p q nb b s d qa text text text f f* m s5 fe ft fe* pi r q1 sp".split()
+SAID = ["Alpha beta.", "gamma delta", "Epsilon", "zeta? Eta"]
+
+
+def dealt_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as the tokens (path, idx, type, value) of one book for each user; every tenth book has no id."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id")
+    kind = F.element_at(F.array(*map(F.lit, DEALT)), (F.col("event_id") * 7 % len(DEALT) + 1).cast("int"))
+    said = F.element_at(F.array(*map(F.lit, SAID)), (F.col("event_id") % len(SAID) + 1).cast("int"))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = events.select(F.col("user_id").cast("string").alias("path"), place.alias("idx"), kind.alias("type"), "event_id", said.alias("said"))
+    value = F.when(F.col("type") == "c", (F.col("event_id") % 6).cast("string")).when(F.col("type") == "v", (F.col("event_id") % 5 + 1).cast("string")).when(F.col("type").isin("text", "ft", "s", "sp"), F.col("said"))
+    heads = events.where("user_id % 10 <> 0").select(F.col("user_id").cast("string").alias("path")).distinct().select("path", F.lit(0).alias("idx"), F.lit("id").alias("type"), F.lit("GEN").alias("value"))
+    return heads.unionByName(rows.select("path", "idx", "type", value.alias("value")))
+
+
+def _in(families: str, *more: str) -> str:
+    """SQL: the type is in these families or one of these marks."""
+    return "type IN (" + ", ".join(repr(m) for f in families.split() for m in dims.FAMILIES[f].split()) + "".join(f", {m!r}" for m in more) + ")"
+
+
+PAR, BOTH, SEC, CARRY = _in("paragraph"), _in("paragraph poetry"), _in("section"), _in("special crossref poetry intro footnote acrostic blank", "m").replace("type", "prev_type", 1)
+TOKEN_STATE_SQL = f"""
+e AS (SELECT user_id::VARCHAR AS path, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS idx, ({DEALT!r})[(event_id * 7 % {len(DEALT)} + 1)::INT] AS type, event_id, ({SAID!r})[(event_id % {len(SAID)} + 1)::INT] AS said FROM events),
+t AS (SELECT DISTINCT user_id::VARCHAR AS path, 0 AS idx, 'id' AS type, 'GEN' AS value FROM events WHERE user_id % 10 <> 0 UNION ALL
+  SELECT path, idx, type, CASE WHEN type = 'c' THEN (event_id % 6)::VARCHAR WHEN type = 'v' THEN (event_id % 5 + 1)::VARCHAR WHEN type IN ('text', 'ft', 's', 'sp') THEN said END FROM e),
+a AS (SELECT *, last_value(CASE WHEN type = 'id' THEN value END IGNORE NULLS) OVER u AS book, last_value(CASE WHEN type = 'c' THEN value::INT WHEN type = 'id' THEN 0 END IGNORE NULLS) OVER u AS chapter,
+  last_value(CASE WHEN type = 'v' THEN value::INT WHEN type IN ('c', 'id') THEN 0 END IGNORE NULLS) OVER u AS verse, last_value(CASE WHEN type = 'c' THEN value::INT WHEN type = 'id' THEN 0 END IGNORE NULLS) OVER b AS prev_chapter,
+  coalesce(last_value(CASE WHEN type IN ('f', 'fe', 'rq') THEN 'OTHER' WHEN {PAR} OR type = 'd' THEN 'PP' WHEN {_in("poetry")} THEN 'QQ' WHEN {SEC} THEN 'S' WHEN type = 'b' THEN 'B' WHEN type = 'c' THEN 'C' WHEN type IN ('v', 'text') THEN 'OTHER' END IGNORE NULLS) OVER b, 'OTHER') AS prev,
+  lag(type) OVER (PARTITION BY path ORDER BY idx) AS prev_type, coalesce(sum((type IN ('f', 'rq'))::INT - (type IN ('f*', 'rq*'))::INT) OVER b, 0) AS note, coalesce(sum((type = 'fe')::INT - (type = 'fe*')::INT) OVER b, 0) AS endnote,
+  coalesce(last_value(CASE WHEN type = 'c' THEN true WHEN {_in("paragraph poetry descriptive", "id")} THEN false END IGNORE NULLS) OVER b, false) AS need_p,
+  coalesce(last_value(CASE WHEN type = 'qa' THEN true WHEN {BOTH} AND type <> 'nb' OR type IN ('v', 'id') THEN false END IGNORE NULLS) OVER b, false) AS need_q,
+  coalesce(last_value(CASE WHEN {_in("paragraph poetry descriptive", "v", "f", "f*", "fe", "fe*", "rq", "rq*", "text", "qa")} THEN true WHEN type IN ('c', 'id') THEN false END IGNORE NULLS) OVER b, false) AS okay
+  FROM t WINDOW u AS (PARTITION BY path ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY path ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s AS (SELECT *, note > 0 OR endnote > 0 AS inside, coalesce(last_value(CASE WHEN type = 'text' AND NOT (note > 0 OR endnote > 0) THEN regexp_matches(value, '[.?!][^\\p{{L}}\\p{{N}}_]*$') WHEN {PAR} AND type <> 'nb' OR type = 'id' THEN true END IGNORE NULLS) OVER (PARTITION BY path ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS ended,
+  CASE WHEN chapter > 0 THEN CASE WHEN verse > 0 THEN concat_ws('', book, ' ', chapter, ':', verse) ELSE concat_ws(' ', book, chapter) END ELSE coalesce(book, '') || ' header/intro' END AS ref, coalesce(prev_chapter, 0) AS was, substr(value, 1, 1) <> upper(substr(value, 1, 1)) AS small,
+  CASE WHEN {PAR} THEN 'PP' WHEN {_in("poetry", "qa")} THEN 'QQ' WHEN type = 'b' THEN 'B' WHEN type = 'c' THEN 'C' END AS own FROM a)"""
+TOKEN_CHECKS = {
+    "62": "own = prev", "13.1": "type = 'c' AND (chapter < 1 OR chapter > CASE WHEN book = 'GEN' THEN 50 ELSE 0 END)", "13": "type = 'c' AND book IS NULL", "14": "type = 'c' AND chapter < was", "15": "type = 'c' AND chapter = was", "16": "type = 'c' AND chapter > was + 2", "17": "type = 'c' AND chapter = was + 2",
+    "18": "type = 'f' AND note <> 0", "19": "type = 'fe' AND endnote <> 0", "20": "type = 'fe'", "21": "type = 'ft' AND NOT inside", "29.5": f"{SEC} AND prev = 'S'", "33": "type = 'v' AND prev = 'B'", "35": "type = 'v' AND book IS NULL", "36": "type = 'v' AND coalesce(chapter, 0) = 0", "37": "type = 'v' AND value = '1' AND need_p",
+    "38": "type = 'v' AND need_q", "38.5": "type = 'v' AND prev = 'S'", "44": "type = 'text' AND NOT inside AND ended AND small AND prev = 'PP'", "44.1": "type = 'text' AND NOT inside AND ended AND small AND prev <> 'PP'", "54": f"type = 'text' AND NOT okay AND NOT coalesce({CARRY}, false)", "54.1": "type = 'text' AND okay AND verse = 0 AND chapter > 0",
+    "62.1": "type = 'c' AND book IS NULL", "24": f"{_in('paragraph poetry descriptive')} AND prev IN ('QQ', 'PP')", "27": f"({SEC} AND type <> 's5' OR type = 'd') AND prev = 'PP'", "28": f"({SEC} AND type <> 's5' OR type = 'd') AND prev = 'QQ'", "29": f"({SEC} AND type <> 's5' OR type = 'd') AND prev = 'B'",
+    "25": "type = 'p' AND prev_type = 'v'", "25.1": "type = 'nb' AND prev <> 'C'", "26": f"{PAR} AND NOT ended AND verse > 0", "26.1": f"{PAR} AND NOT ended AND verse = 0",
+}
+
+
+@query(f"WITH {TOKEN_STATE_SQL} SELECT * FROM (SELECT path, ref, idx, unnest([{', '.join(f'CASE WHEN {c} THEN {n}::DOUBLE END' for n, c in TOKEN_CHECKS.items())}]) AS error_id FROM s) WHERE error_id IS NOT NULL")
+def token_order_issues(spark, sf_dir):
+    found = checks.token_issues(tk.with_context(dealt_tokens(spark, sf_dir)), dims.books(spark), options=checks.Options(numbers=False))
+    return found.select("path", "ref", "idx", F.col("error_id").cast("double").alias("error_id"))
+
+
+@query(f"""
+WITH {TOKEN_STATE_SQL}, g AS (SELECT path, max(book) AS book, max(chapter) AS top, arg_max(chapter, idx) AS last, count(*) FILTER (type = 'f') AS f1, count(*) FILTER (type = 'f*') AS f2, count(*) FILTER (type = 'fe') AS e1, count(*) FILTER (type = 'fe*') AS e2,
+  count(*) FILTER ({BOTH} AND type <> 'nb') AS n_p, count(*) FILTER ({_in("poetry")}) AS n_q, bool_or(type = 'c' AND value = '1') AS one FROM s GROUP BY path)
+SELECT * FROM (SELECT path, book AS ref, unnest([CASE WHEN one THEN 5.0 END, CASE WHEN f1 <> f2 THEN 9.0 END, CASE WHEN e1 <> e2 THEN 10.0 END, CASE WHEN book IS NULL OR coalesce(top, 0) = 0 THEN 11.0 END, CASE WHEN book = 'GEN' AND last <> 50 THEN 12.0 END, CASE WHEN top > 0 AND n_p / top <= 2.5 AND n_q / top <= 15 THEN 73.5 END, 81.0])::DOUBLE AS error_id FROM g) WHERE error_id IS NOT NULL""")
+def whole_book_issues(spark, sf_dir):
+    found = checks.book_issues(tk.with_context(dealt_tokens(spark, sf_dir)), dims.books(spark)).where("error_id <> 23")  # see dup_ids
+    return found.select("path", "ref", F.col("error_id").cast("double").alias("error_id"))
+
+
+# texts with stray marks, so that the checks of punctuation have what to find
+STRAY = [(". ", " ."), (", ", " ,x/y "), (" a", "?\" b"), ("e t", "e ''t"), (" d", " ( d"), (" c", " 12,345:6 c=d"), ("er ", "er;er ")]
+
+
+def stray(c):
+    for old, new in STRAY:
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return c
+
+
+STRAY_SQL = "line"
+for _old, _new in STRAY:
+    STRAY_SQL = "replace({}, {!s}, {!s})".format(STRAY_SQL, *("'" + x.replace("'", "''") + "'" for x in (_old, _new)))
+_S, _B = r"[ \t\n\x0B\f\r]", r"[^ \t\n\x0B\f\r]"
+_Q = "''"
+_MARK, _MEDIAL = r"([.?!;:,][^ \t\n\x0B\f\r\x{200B}\)\]''\"’”»›])", r"([\p{L}\p{N}_][.?!;:,()\[\]\"«“‘”»›][.?!;:,()\[\]''\"«“‘”»›]*[\p{L}\p{N}_])"
+
+
+@query(rf"""
+WITH l AS (SELECT doc_id::VARCHAR AS path, idx, {STRAY_SQL} AS s FROM {SQL_LINES}),
+m AS (SELECT *, regexp_extract(s, '{_MARK}', 1) AS mark, regexp_extract(s, '(?s)[.?!;:,][^ \t\n\x0B\f\r\x{{200B}}\)\]''\"’”»›].{{0,2}}') AS dots, regexp_extract(s, '([''\"’”»›][.!])', 1) AS outside, regexp_extract(s, '{_MEDIAL}', 1) AS medial FROM l),
+n AS (SELECT *, mark <> '' AND (dots[1:3] <> '...' OR dots[1:4] = '....') AND NOT regexp_matches(mark, '^[,.][0-9]') AS suspicious, regexp_matches(mark, '^:[0-9]') AS colon FROM m),
+i AS (SELECT path, idx, unnest([CASE WHEN suspicious AND NOT colon THEN struct_pack(id := 45.0, msg := 'Check the punctuation at x: ' || mark) END, CASE WHEN suspicious AND colon THEN struct_pack(id := 46.0, msg := 'Untagged footnote (probable) at x: ' || regexp_extract(s, '({_B}*(?::[0-9]){_B}*)', 1)) END,
+  CASE WHEN regexp_matches(s, '{_S}[.?!;:,)’”»›]') THEN struct_pack(id := 48.0, msg := 'Space before phrase ending mark at x: ' || regexp_extract(s, '{_S}([.?!;:,)’”»›])', 1)) END, CASE WHEN regexp_matches(s, '{_S}[\[\]\(''\"«“‘’”»›]{_S}') OR regexp_matches(s, '^[\(''\"«“‘’”»›]{_S}') OR regexp_matches(s, '{_S}[\(''\"«“‘’”»›]$') THEN struct_pack(id := 49.0, msg := 'Free floating mark at x') END,
+  CASE WHEN outside <> '' AND NOT regexp_matches(s, '[''\"’”»›]\.\.\.') THEN struct_pack(id := 50.0, msg := 'Punctuation after quote mark at x: ' || outside) END, CASE WHEN contains(s, chr(39) || chr(39)) OR contains(s, '""') THEN struct_pack(id := 51.0, msg := 'Repeated quotes at x') END,
+  CASE WHEN medial <> '' AND NOT regexp_matches(medial, '[0-9]$') THEN struct_pack(id := 52.0, msg := 'Word medial punctuation in x: ' || regexp_extract(s, '({_B}*(?:[\p{{L}}\p{{N}}_][.?!;:,()\[\]\"«“‘”»›]+[\p{{L}}\p{{N}}_]){_B}*)', 1)) END, CASE WHEN contains(s, '/') THEN struct_pack(id := 52.1, msg := 'Forward slash in x') END,
+  CASE WHEN contains(s, '\') THEN struct_pack(id := 52.2, msg := 'Backslash in x') END, CASE WHEN contains(s, '=') THEN struct_pack(id := 52.3, msg := 'Equals sign (=) in x') END,
+  CASE WHEN regexp_matches(s, '(?s)^{_S}*[.,;:!?].?$') THEN struct_pack(id := 58.0, msg := 'Orphaned punctuation at x') END, CASE WHEN regexp_matches(s, '(?s)^{_S}*[.,;:!?]') AND NOT regexp_matches(s, '(?s)^{_S}*[.,;:!?].?$') THEN struct_pack(id := 58.1, msg := 'Text begins with phrase-ending punctuation in x') END]) AS i FROM n)
+SELECT path, idx, i.id::DOUBLE AS error_id, i.msg AS msg FROM i WHERE i IS NOT NULL""")
+def punctuation_issues(spark, sf_dir):
+    rows = doc_lines(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), "idx", F.lit("x").alias("ref"), stray(F.col("line")).alias("s"), F.lit(False).alias("in_footnote"), F.lit("v").alias("prev_type"))
+    found = checks.found(rows, checks.text_issues(F.col("s"), F.col("ref"), checks.Options()))
+    return found.select("path", F.col("idx").cast("long").alias("idx"), F.col("error_id").cast("double").alias("error_id"), "msg")
+
+
 # rows only: state machines, and functions that SQL lacks
 
 
