@@ -431,12 +431,6 @@ def whole_book_issues(spark, sf_dir):
 STRAY = [(". ", " ."), (", ", " ,x/y "), (" a", "?\" b"), ("e t", "e ''t"), (" d", " ( d"), (" c", " 12,345:6 c=d"), ("er ", "er;er ")]
 
 
-def stray(c):
-    for old, new in STRAY:
-        c = F.replace(c, F.lit(old), F.lit(new))
-    return c
-
-
 STRAY_SQL = "line"
 for _old, _new in STRAY:
     STRAY_SQL = "replace({}, {!s}, {!s})".format(STRAY_SQL, *("'" + x.replace("'", "''") + "'" for x in (_old, _new)))
@@ -457,11 +451,57 @@ i AS (SELECT path, idx, unnest([CASE WHEN suspicious AND NOT colon THEN struct_p
   CASE WHEN regexp_matches(s, '(?s)^{_S}*[.,;:!?].?$') THEN struct_pack(id := 58.0, msg := 'Orphaned punctuation at x') END, CASE WHEN regexp_matches(s, '(?s)^{_S}*[.,;:!?]') AND NOT regexp_matches(s, '(?s)^{_S}*[.,;:!?].?$') THEN struct_pack(id := 58.1, msg := 'Text begins with phrase-ending punctuation in x') END]) AS i FROM n)
 SELECT path, idx, i.id::DOUBLE AS error_id, i.msg AS msg FROM i WHERE i IS NOT NULL""")
 def punctuation_issues(spark, sf_dir):
-    rows = doc_lines(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), "idx", F.lit("x").alias("ref"), stray(F.col("line")).alias("s"), F.lit(False).alias("in_footnote"), F.lit("v").alias("prev_type"))
+    rows = doc_lines(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), "idx", F.lit("x").alias("ref"), replaced(F.col("line"), STRAY).alias("s"), F.lit(False).alias("in_footnote"), F.lit("v").alias("prev_type"))
     found = checks.found(rows, checks.text_issues(F.col("s"), F.col("ref"), checks.Options()))
     return found.select("path", F.col("idx").cast("long").alias("idx"), F.col("error_id").cast("double").alias("error_id"), "msg")
 
 
+# texts with stray numbers and with slips of marks
+NUMBERED = [(", ", " 3, "), (". ", ". 12345 x. "), (" e", " x4y e"), (" d", " 7 8 d"), ("s ", "s 05 "), (" l", " 3:16 l"), (" p", " 9-4 2nd p"), (" q", " 14 q"), (" a", " (6) a"), (" b", " -11 b")]
+SLIPPED = [(", ", "\\c1 "), (". ", ".\n\\c 2x\n"), (" a", " é\\v 3b "), (" e", "\n\\v4 "), (" d", "\n\\v 5-6. "), (" l", "\\c 7 ")]
+
+
+def replaced(c, pairs):
+    for old, new in pairs:
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return c
+
+
+def _replaced_sql(column: str, pairs) -> str:
+    for old, new in pairs:
+        column = f"replace({column}, '{old}', '{new}')"
+    return column
+
+
+@query(rf"""
+WITH l AS (SELECT doc_id::VARCHAR AS path, idx, idx % 20 + 1 AS v, {_replaced_sql('line', NUMBERED)} AS s FROM {SQL_LINES}),
+n AS (SELECT *, starts_with(s, v || ' ') AS starts, list_filter(regexp_extract_all(regexp_replace(s, '([^\p{{Nd}}])', '\1\1', 'g'), '[^\p{{Nd}}(](\p{{Nd}}+)[^\p{{Nd}},]', 1), lambda k: k = v::VARCHAR OR k = (v + 1)::VARCHAR) AS possible,
+  list_filter(regexp_extract_all(s, '(\p{{Nd}}+[:\-]\p{{Nd}}+)', 1), lambda p: contains(p, ':') OR coalesce(TRY_CAST(string_split(p, '-')[-1] AS INT) > TRY_CAST(regexp_split_to_array(p, '[:-]')[1] AS INT), false)) AS likely,
+  regexp_extract(s, '([^{_S[1:-1]},:.\p{{Nd}}(\[\-]+\p{{Nd}}+[^{_S[1:-1]},;.\p{{Nd}})\]]+)', 1) AS embed, regexp_extract(s, '(\p{{Nd}}+[^{_S[1:-1]},;:.\-?!"\p{{Nd}})\]])', 1) AS suffix, regexp_extract(s, '([^{_S[1:-1]},.\p{{Nd}}(\[]\p{{Nd}}+)', 1) AS prefix,
+  regexp_extract(s, '(\p{{Nd}}{{4,}})', 1) AS long, regexp_extract(s, '(\p{{Nd}}+[.,]?{_S}[.,]?\p{{Nd}}+)', 1) AS apart, regexp_extract(s, '({_S}0[0-9,]*)', 1) AS zero FROM l),
+f AS (SELECT *, starts OR len(possible) > 0 AS numbered, starts OR len(possible) > 0 OR len(likely) > 0 AS flagged FROM n),
+i AS (SELECT path, idx, unnest([CASE WHEN starts THEN struct_pack(id := 59.0, msg := 'Verse number in text (probable): x') END, CASE WHEN NOT starts AND len(possible) > 0 THEN struct_pack(id := 59.1, msg := 'Possible verse number (' || possible[1] || ') in text at x') END,
+  CASE WHEN NOT numbered AND len(likely) > 0 THEN struct_pack(id := 59.2, msg := 'Likely verse reference (' || likely[1] || ') in text at x') END, CASE WHEN embed <> '' THEN struct_pack(id := 60.0, msg := 'Embedded number in word: ' || embed || ' at x') END,
+  CASE WHEN embed = '' AND NOT flagged AND suffix <> '' THEN struct_pack(id := 60.2, msg := 'Invalid number suffix: ' || suffix || ' at x') END, CASE WHEN embed = '' AND NOT flagged AND prefix <> '' THEN struct_pack(id := 60.1, msg := 'Invalid number prefix: ' || prefix || ' at x') END,
+  CASE WHEN length(long) > 4 THEN struct_pack(id := 61.0, msg := 'Unsegmented number: ' || long || ' at x') END, CASE WHEN apart <> '' THEN struct_pack(id := 61.1, msg := 'Space between digits ' || apart || ' at x') END,
+  CASE WHEN apart = '' AND zero <> '' THEN struct_pack(id := 61.2, msg := 'Invalid leading zero: ' || zero || ' at x') END]) AS i FROM f)
+SELECT path, idx, i.id::DOUBLE AS error_id, i.msg AS msg FROM i WHERE i IS NOT NULL""")
+def number_issues(spark, sf_dir):
+    lines = doc_lines(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), "idx", F.lit("x").alias("ref"), replaced(F.col("line"), NUMBERED).alias("s"))
+    rows = lines.select("*", F.lit(1).alias("chapter"), (F.col("idx") % 20 + 1).alias("verse"), F.lit(False).alias("in_footnote"), F.lit("text").alias("type"))
+    found = checks.found(rows, checks.number_issues(F.col("s"), checks.Options()))
+    return found.select("path", F.col("idx").cast("long").alias("idx"), F.col("error_id").cast("double").alias("error_id"), "msg")
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id::VARCHAR AS path, {_replaced_sql('text', [(a, b.replace(chr(10), "' || chr(10) || '")) for a, b in SLIPPED])} AS c FROM documents),
+i AS ({" UNION ALL ".join(f"SELECT path, {n}::DOUBLE AS error_id, '{said}' || unnest(regexp_extract_all(c, '{p}', 1)) || ' in ' || path AS msg FROM d" for n, p, said in checks.SLIPS)})
+SELECT path, error_id, CASE WHEN error_id = 72 THEN regexp_replace(msg, '(marker: )[^ -~]', '\1') ELSE msg END AS msg FROM i""")
+def marker_slips(spark, sf_dir):
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit(None).cast("string").alias("ref"), replaced(F.col("text"), SLIPPED).alias("content"))
+    return checks.slip_issues(files).select("path", F.col("error_id").cast("double").alias("error_id"), "msg")
+
+
 # rows only: state machines, and functions that SQL lacks
 
 
