@@ -502,6 +502,65 @@ def marker_slips(spark, sf_dir):
     return checks.slip_issues(files).select("path", F.col("error_id").cast("double").alias("error_id"), "msg")
 
 
+# rewrites of marks, footnotes, filters and reports
+MARKED = [(", ", "\n\\p\n\\s Head x\n"), (". ", "\n\\s5\n"), (" a", "\n\\q1 \n\\c3\n"), (" d", "\n\\v 4 "), (" e", "\n\\s2 On \n\\v 7 ")]
+_MARKED_SQL = _replaced_sql("'\\c 1 \\v 2 ' || text", [(a, b.replace("\n", "' || chr(10) || '")) for a, b in MARKED])
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, replace({_MARKED_SQL}, chr(92) || chr(92), chr(92)) AS c FROM documents)
+SELECT doc_id, md5(regexp_replace(c, '\n\\s5 *?\n', chr(10), 'g')) AS s5, md5(regexp_replace(c, '(?s)\n(\\[pqm][i1-4]? *)\n+(\\s[1-5]? .*?)\n', chr(10) || '\2' || chr(10) || '\1' || chr(10), 'g')) AS moved, md5(regexp_replace(c, '\\[pqm][i1-9]? *\n*(\\[^v])', '\1', 'g')) AS useless,
+  md5(regexp_replace(c, '\\c([0-9])', chr(92) || chr(92) || 'c \1', 'g')) AS chapters, md5(regexp_replace(c, '(?s)^(.*?)(\\[cv] +[0-9]+)', '\1' || chr(92) || chr(92) || 's5' || chr(10) || '\2')) AS chunk, md5(regexp_replace(c, '^(\s*\\[cv] *[0-9\-]*\s*)+', '')) AS bare, md5(regexp_replace(c, '(Head) x', '\1', 'g')) AS edited,
+  md5(replace(replace(replace(c, 'III ', '3 '), 'II ', '2 '), 'I ', '1 ')) AS arabic FROM d""")
+def marks_tidied(spark, sf_dir):
+    c = replaced(F.concat(F.lit("\\c 1 \\v 2 "), "text"), MARKED).alias("c")
+    steps = {"s5": cl.remove_s5, "moved": cl.move_paragraph_marks, "useless": cl.remove_paragraph_marks, "chapters": cl.fix_chapter_marks, "chunk": cl.mark_chunk, "bare": cl.strip_initial_marks, "edited": lambda x: cl.stream_edit(x, "(Head) x", "$1"), "arabic": tx.roman_to_arabic}
+    return table(spark, sf_dir, "documents").select("doc_id", c).select("doc_id", *(F.md5(f(F.col("c"))).alias(k) for k, f in steps.items()))
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, idx, '\\footnote ' || CASE idx % 3 WHEN 0 THEN 'xa' || (idx % 9 + 1) || ':' || (idx + 1) || ' 3:4' WHEN 1 THEN 'Z' || (idx % 9 + 1) || ':' || (idx + 1) ELSE 'none' END || ' ' || line AS line FROM {SQL_LINES})
+SELECT doc_id::VARCHAR AS path, idx, CASE idx % 3 WHEN 0 THEN 'xa' ELSE 'Z' END AS spot, CASE idx % 3 WHEN 0 THEN idx % 9 + 1 ELSE idx + 1 END AS chapter, CASE idx % 3 WHEN 0 THEN idx + 1 ELSE idx % 9 + 1 END AS verse, length(trim(regexp_extract(line, CASE idx % 3 WHEN 0 THEN '^\\\\footnote +[a-z]+[0-9]+:[0-9]+ +[0-9:]* *(.+)' ELSE '^\\\\footnote +Z[0-9]+:[0-9]+ +(.+)' END, 1))) AS n FROM l
+WHERE regexp_matches(line, '^\\\\footnote +([a-z]+)([0-9]+):([0-9]+) +[0-9:]* *(.+)') OR regexp_matches(line, '^\\\\footnote +Z([0-9]+):([0-9]+) +(.+)')""")
+def footnote_lines(spark, sf_dir):
+    k = F.col("idx")
+    lead = F.when(k % 3 == 0, F.concat(F.lit("xa"), (k % 9 + 1).cast("string"), F.lit(":"), (k + 1).cast("string"), F.lit(" 3:4"))).when(k % 3 == 1, F.concat(F.lit("Z"), (k % 9 + 1).cast("string"), F.lit(":"), (k + 1).cast("string"))).otherwise("none")
+    lines = doc_lines(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), "idx", F.concat(F.lit("\\footnote "), lead, F.lit(" "), "line").alias("line"))
+    return transforms.parse_footnotes(lines).select("path", F.col("idx").cast("long").alias("idx"), "spot", F.col("chapter").cast("long").alias("chapter"), F.col("verse").cast("long").alias("verse"), F.length("text").cast("long").alias("n"))
+
+
+@query(f"SELECT doc_id, count(*) AS kept, sum(idx) AS places FROM (SELECT doc_id, idx, '\\v ' || (idx % 30 + 1) || ' ' || CASE WHEN idx % 4 = 0 THEN '' ELSE line END AS line FROM {SQL_LINES}) WHERE NOT regexp_matches(line, '^\\\\v [0-9 ]+$') GROUP BY doc_id")
+def blank_verses(spark, sf_dir):
+    line = F.concat(F.lit("\\v "), (F.col("idx") % 30 + 1).cast("string"), F.lit(" "), F.when(F.col("idx") % 4 == 0, "").otherwise(F.col("line")))
+    return transforms.remove_lines(doc_lines(spark, sf_dir).select("doc_id", "idx", line.alias("line"))).groupBy("doc_id").agg(F.count("*").alias("kept"), F.sum("idx").alias("places"))
+
+
+@query(f"SELECT word || chr(9) || n || CASE WHEN ref IS NULL THEN '' ELSE chr(9) || ref END AS line FROM ({ORACLE_SQL['word_list']})")
+def word_report(spark, sf_dir):
+    return reports.word_lines(word_list(spark, sf_dir))
+
+
+@query("""
+SELECT c_custkey AS sort, '  -' || chr(10) || '    title: ' || CASE WHEN c_custkey % 3 = 0 THEN '"' || n_name || chr(39) || 's"' ELSE chr(39) || n_name || chr(39) END || chr(10) || '    versification: ufw' || chr(10) || '    identifier: ' || chr(39) || lower(c_name) || chr(39) || chr(10) || '    sort: ' || c_custkey || chr(10)
+  || '    path: ' || chr(39) || './' || c_mktsegment || chr(39) || chr(10) || '    categories: [ ' || chr(39) || CASE WHEN c_custkey < 40 THEN 'bible-ot' ELSE 'bible-nt' END || chr(39) || ' ]' AS line FROM customer JOIN nation ON n_nationkey = c_nationkey""")
+def project_report(spark, sf_dir):
+    named = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))  # 25 rows
+    title = F.when(F.col("c_custkey") % 3 == 0, F.concat("n_name", F.lit("'s"))).otherwise(F.col("n_name"))
+    return reports.project_entries(named.select(title.alias("title"), F.col("c_name").alias("id"), F.col("c_custkey").alias("sort"), F.col("c_mktsegment").alias("path")))
+
+
+@query("SELECT to_json(list(ref ORDER BY first, ref))::VARCHAR AS json FROM (SELECT 'GEN ' || o_custkey AS ref, min(o_orderkey) AS first FROM orders GROUP BY o_custkey)")
+def footnoted_report(spark, sf_dir):
+    refs = table(spark, sf_dir, "orders").groupBy(F.format_string("GEN %d", "o_custkey").alias("ref")).agg(F.min("o_orderkey").alias("first"))
+    return reports.footnoted_json(refs)
+
+
+@query("SELECT DISTINCT lang AS language_id, source AS resource_id, (doc_id % 3)::VARCHAR AS version FROM documents")
+def sources_report(spark, sf_dir):
+    one = F.struct(F.col("lang").alias("language_id"), F.col("source").alias("resource_id"), (F.col("doc_id") % 3).cast("string").alias("version"))
+    return reports.sources_used(table(spark, sf_dir, "documents").select(F.array(one, one).alias("sources")))
+
+
 # rows only: state machines, and functions that SQL lacks
 
 
