@@ -95,6 +95,19 @@ def test_each_slip_and_orphan_is_said(spark):
     )
 
 
+def test_parseable(spark):
+    files = spark.createDataFrame([("a", "x" * 1000), ("b", "x" * 999), ("c", "\\v 1x" * 300), ("d", "\\1" * 600), ("e", None), ("f", "é" * 500)], "path string, content string")
+    assert sorted(r["path"] for r in checks.parseable(files).collect()) == ["a", "c", "f"]
+    assert {r["path"] for r in checks.parse_problems(files).collect()} == {"b", "c", "d"}
+
+
+def test_file_and_folder_counts(spark):
+    paths = ["/r/en_ulb/01.usfm", "/r/en_ulb/sub/X.USFM", "/r/en_ulb/a.txt", "/r/.git/1.usfm", "/r/fr_ulb/.x.usfm", "/r/fr_ulb/2.usfm", "/r/other/3.usfm"]
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert fl.count_files(files, r".*\.usfm$").first()["n"] == 4
+    assert fl.count_folders(files, "_ulb").first()["n"] == 2 and fl.count_folders(files, "nowhere").first()["n"] == 0
+
+
 def test_notes_that_nest(spark):
     c = context(spark, "\\id GEN\n\\c 1\n\\p\n\\v 1 a \\fe + \\ft b \\fe + \\ft c\\fe* d\\fe* \\f + \\ft e \\f + \\ft g\\f*\\f*\n")
     found = checks.token_issues(c, dims.books(spark)).where("error_id in (18, 19)").groupBy("error_id").count().collect()

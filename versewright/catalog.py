@@ -561,6 +561,22 @@ def sources_report(spark, sf_dir):
     return reports.sources_used(table(spark, sf_dir, "documents").select(F.array(one, one).alias("sources")))
 
 
+
+@query("SELECT 'files' AS what, count(*) AS n FROM pages WHERE NOT regexp_matches(url, '/\\.[^/]+') AND regexp_matches(lower(regexp_extract(url, '([^/]+)$', 1)), '^(?:[a-m])') UNION ALL SELECT 'folders', count(DISTINCT f) FROM (SELECT regexp_extract(regexp_extract(url, '^(.*)/[^/]*$', 1), '^([^/]*//[^/]*e[^/]*|[^/]*//[^/]*/.*?e[^/]*)(?:/|$)', 1) AS f FROM pages WHERE NOT regexp_matches(url, '/\\.[^/]+')) WHERE f <> ''")
+def file_counts(spark, sf_dir):
+    files = table(spark, sf_dir, "pages").select(F.col("url").alias("path"))
+    return fl.count_files(files, "[a-m]").select(F.lit("files").alias("what"), "n").unionByName(fl.count_folders(files, "//.*e").select(F.lit("folders").alias("what"), "n"))
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id::VARCHAR AS path, {_replaced_sql('text', [(a, b.replace(chr(10), "' || chr(10) || '")) for a, b in [(" f", " \\\\ f"), (" g", " \\v 3g"), (" h", " \\1 h")]])} AS c FROM documents)
+SELECT * FROM (SELECT path, unnest([CASE WHEN regexp_matches(c, '\\\s') THEN path || ' contains stranded backslash(es) followed by space or newline: ' || regexp_extract(c, '(\\\s)', 1) END, CASE WHEN regexp_matches(c, '\\v +[-0-9]+[^-\s0-9]') THEN path || ' contains verse number(s) not followed by space: ' || regexp_extract(c, '(\\v +[-0-9]+[^-\s0-9])', 1) END,
+  CASE WHEN regexp_matches(c, '\\[^a-z+]') THEN path || ' contains foreign usfm code(s): ' || regexp_extract(c, '(\\[^a-z+])', 1) END, CASE WHEN strlen(c) < 1000 THEN path || ' is incomplete, too small' END]) AS msg FROM d) WHERE msg IS NOT NULL""")
+def unparseable_files(spark, sf_dir):
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), replaced(F.col("text"), [(" f", " \\\\ f"), (" g", " \\v 3g"), (" h", " \\1 h")]).alias("content"))
+    return checks.parse_problems(files).select("path", "msg")
+
+
 # rows only: state machines, and functions that SQL lacks
 
 

@@ -305,6 +305,23 @@ def file_issues(files: DataFrame, options: Options = Options()) -> DataFrame:
     return found(files, checks).unionByName(slip_issues(files, options)).unionByName(orphan_issues(files, options))
 
 
+# What keeps a text from being rewritten, or only looks odd: (pattern, what is said of it, whether it stops).
+UNPARSEABLE = [(r"\\\s", "stranded backslash(es) followed by space or newline", False), (r"\\v +[-0-9]+[^-\s0-9]", "verse number(s) not followed by space", False), (r"\\[^a-z+]", "foreign usfm code(s)", True)]
+
+
+def parse_problems(files: DataFrame, least: int = 1000) -> DataFrame:
+    """(path, msg, stops) of files (path, content) that can't be rewritten, or look odd; one with fewer than ``least`` bytes is incomplete."""
+    c = F.col("content")
+    said = [F.when(c.rlike(p), F.struct(F.concat("path", F.lit(f" contains {m}: "), F.regexp_extract(c, f"({p})", 1)).alias("msg"), F.lit(stops).alias("stops"))) for p, m, stops in UNPARSEABLE]
+    said.append(F.when(F.octet_length(c) < least, F.struct(F.concat("path", F.lit(" is incomplete, too small")).alias("msg"), F.lit(True).alias("stops"))))
+    return files.select("path", F.explode(F.filter(F.array(*said), lambda x: x.isNotNull())).alias("p")).select("path", "p.*")
+
+
+def parseable(files: DataFrame, least: int = 1000) -> DataFrame:
+    """The files that nothing stops from being rewritten; null contents aren't among them."""
+    return files.where("content is not null").join(parse_problems(files, least).where("stops").select("path"), "path", "left_anti")
+
+
 # Numbers of the checks for slips in chapter and verse marks, what they look like, and what is said of them.
 SLIPS = [
     ("69", r"[^\n](\\c\s*\p{Nd}+)", "Missing newline before chapter marker: "), ("70", r"(\\c[0-9]+)", "Missing space before chapter number: "), ("71", r"(\\c\s*\p{Nd}+)[^\p{Nd}\s]+[\n\r]", "Missing space after chapter number: "),
@@ -376,4 +393,5 @@ def verify(files: DataFrame, books: DataFrame, lengths: DataFrame | None = None,
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    out.context = context  # kept, as most checks read it: context.unpersist() lets it go
     return out

@@ -62,9 +62,10 @@ def footnoted_json(refs: DataFrame) -> DataFrame:
     return refs.agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("first", "ref"))), lambda x: x["ref"])).alias("json"))
 
 
-def write_lines(lines: DataFrame, path: str, column: str = "line") -> None:
-    """One text file, in the order of the rows: for reports, which are small."""
-    lines.select(column).coalesce(1).write.mode("overwrite").text(path)
+def write_lines(lines: DataFrame, path: str, column: str = "line", one_file: bool = True) -> None:
+    """Text in the order of the rows: one file, as reports are small, or as many as there are partitions, named in order."""
+    rows = lines.select(column)
+    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").text(path)
 
 
 def write_books(books: DataFrame, path: str) -> None:

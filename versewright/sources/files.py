@@ -30,7 +30,24 @@ def folder(spark: SparkSession, path: str, suffix: str = "sfm", case_sensitive:
     names = F.regexp_extract("path", r"([^/]+)$", 1)
     flag = "" if case_sensitive else "(?i)"
     files = read.load(path).select("path", names.alias("name"), F.col("content").alias("raw"))
-    return files.where(F.col("name").rlike(f"{flag}{re.escape(suffix)}$") & ~F.col("path").rlike(r"/\.[^/]+"))
+    return files.where(F.col("name").rlike(f"{flag}{re.escape(suffix)}$") & ~F.col("path").rlike(HIDDEN))
+
+
+HIDDEN = r"/\.[^/]+"
+
+
+def count_files(files: DataFrame, pattern: str) -> DataFrame:
+    """(n): of files (path) those whose name in lower case begins with a pattern; hidden ones and those in hidden folders don't count."""
+    name = F.lower(F.regexp_extract("path", r"([^/]+)$", 1))
+    return files.where(~F.col("path").rlike(HIDDEN) & name.rlike(f"^(?:{pattern})")).agg(F.count("*").alias("n"))
+
+
+def count_folders(files: DataFrame, pattern: str) -> DataFrame:
+    """(n): of the folders that files (path) lie in the outermost ones whose path has a pattern in it; what is in them doesn't count again."""
+    parts = F.split(F.regexp_extract("path", r"^(.*)/[^/]*$", 1), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    found = files.where(~F.col("path").rlike(HIDDEN)).select(F.try_element_at(F.filter(above, lambda x: x.rlike(pattern)), F.lit(1)).alias("folder"))
+    return found.where("folder is not null").agg(F.count_distinct("folder").alias("n"))
 
 
 def decoded(files: DataFrame) -> DataFrame:
