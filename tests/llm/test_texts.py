@@ -88,6 +88,20 @@ def test_near_duplicates(spark, corpus, monkeypatch, n, num, crowd, sample):
     assert got == {k: (len(brute.shingles(t, n)), c) for k, (t, c) in enumerate(zip(corpus, brute.jaccard(corpus, n, num, 100), strict=True))}
 
 
+@pytest.mark.parametrize("rows", [1, 7, 4096])
+def test_columns_that_go_on_over_batches(spark, monkeypatch, rows):
+    monkeypatch.setattr(jaccard, "CROWD", 5)
+    key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(key, str(rows))
+    rng = random.Random(rows)
+    lists = [sorted(rng.sample(range(40), rng.randint(0, 6)) + [100] * (k % 3 == 0) + [200 + k]) for k in range(90)]
+    nodes = common.materialize(spark.createDataFrame([(k, len(x) + 3, False, x) for k, x in enumerate(lists)], "node long, n long, hot boolean, first array<long>").repartition(3), "nodes")
+    got = Counter((r["s"], r["node"], r["i"], r["crowded"]) for r in jaccard.shared_rows(nodes).collect())
+    spark.conf.set(key, before)
+    count = Counter(g for x in lists for g in x)
+    assert got == Counter((g, k, i, count[g] > 5) for k, x in enumerate(lists) for i, g in enumerate(x) if count[g] > 1)
+
+
 def test_near_duplicates_edges(spark):
     text = "one two three four five six"
     rows = [(7, text, "", 0, 0), (7, text, "", 0, 0), (None, text.upper(), "", 0, 0), (3, text, "", 0, 0), (None, "else", "", 0, 0), (9, None, "", 0, 0), (9, "", "", 0, 0)]

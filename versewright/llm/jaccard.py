@@ -167,12 +167,37 @@ def number(known: DataFrame) -> DataFrame:
 
 
 def shared_rows(nodes: DataFrame) -> DataFrame:
-    """(s, node, n, i, p, w, k): the n-grams among the first ones of k > 1 classes, and their places; p, w: of how many, and the last."""
+    """(s, node, n, i, p, w, crowded): the n-grams among the first ones of more than one class, and their places; p, w: of how many, and the last.
+
+    Almost all n-grams are of one class, so a sort passes them by in bounded memory where sums would hold each of them.
+    Frequent ones aren't in the lists, so columns are short of the sampled share that makes one frequent.
+    """
     # a list with frequent n-grams after it holds all the others there are
-    last = F.when(F.col("hot"), F.lit((1 << 63) - 1)).otherwise(F.element_at("first", -1))
-    rows = nodes.where(F.size("first") > 0).select("node", "n", F.size("first").alias("p"), last.alias("w"), F.posexplode("first").alias("i", "s"))
-    shared = rows.groupBy("s").agg(F.count("*").alias("k")).where("k > 1")
-    return common.materialize(rows.join(shared, "s"), "shared")
+    last, most = F.when(F.col("hot"), F.lit((1 << 63) - 1)).otherwise(F.element_at("first", -1)), CROWD
+    rows = nodes.where(F.size("first") > 0).select("node", F.col("n").cast("int").alias("n"), F.size("first").alias("p"), last.alias("w"), F.posexplode("first").alias("i", "s")).select("s", "node", "n", "i", "p", "w")
+
+    def run(batches):
+        held, open_ = None, None  # the last column so far, while it isn't crowded; the n-gram of one that is
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
+            s = table.column(0).to_numpy()
+            edge = np.append(np.flatnonzero(np.append(True, s[1:] != s[:-1])), len(s))
+            size = np.diff(edge)
+            late = size > most
+            late[0] |= s[0] == open_
+            done = len(size) - (not late[-1])  # a crowded one needn't be seen whole
+            keep = np.repeat((late | (size > 1))[:done], size[:done])
+            if keep.any():
+                part = table.slice(0, int(edge[done])).append_column("crowded", pa.array(np.repeat(late[:done], size[:done])))
+                yield from part.filter(pa.array(keep)).combine_chunks().to_batches()
+            held, open_ = table.slice(int(edge[done])) if done < len(size) else None, s[-1] if late[-1] else None
+        if held is not None and held.num_rows > 1:
+            yield from held.append_column("crowded", pa.array(np.zeros(held.num_rows, bool))).combine_chunks().to_batches()
+
+    dealt = rows.repartition(common.parts(nodes.sparkSession), "s").sortWithinPartitions("s")
+    return common.materialize(dealt.mapInArrow(run, "s long, node long, n int, i int, p int, w long, crowded boolean"), "shared")
 
 
 def product(rows: DataFrame, crowded: DataFrame, num: int, den: int) -> DataFrame:
@@ -180,7 +205,7 @@ def product(rows: DataFrame, crowded: DataFrame, num: int, den: int) -> DataFram
 
     Pairs of crowded classes are left to the next round, so a pair meets in no column that isn't looked at here.
     """
-    few = rows.where(f"k <= {CROWD}").join(common.small(crowded).withColumn("late", F.lit(True)), "node", "left").select("s", "node", "n", "i", "p", "w", F.coalesce("late", F.lit(False)).alias("late"))
+    few = rows.where("not crowded").join(common.small(crowded).withColumn("late", F.lit(True)), "node", "left").select("s", "node", "n", "i", "p", "w", F.coalesce("late", F.lit(False)).alias("late"))
     other = few.select("s", *(F.col(c).alias("pnode" if c == "node" else f"p{c}") for c in ("node", "n", "i", "p", "w", "late")))
     met = few.join(other, "s").where((F.col("node") < F.col("pnode")) & ~(F.col("late") & F.col("plate")) & like_sizes(num, den))
     sums = met.groupBy(F.col("node").alias("a"), F.col("pnode").alias("b")).agg(F.count("*").alias("o"), F.max("i").alias("i"), F.max("pi").alias("j"), *(F.first(c).alias(c) for c in ("n", "pn", "p", "pp", "w", "pw")))
@@ -291,7 +316,7 @@ def connect(docs: DataFrame, nodes: DataFrame, found: np.ndarray, words, n: int,
     spark, lists, pairs, left, done = docs.sparkSession, nodes, [], None, []
     for _ in range(LEVELS):
         rows = shared_rows(lists)
-        crowded = common.materialize(rows.where(f"k > {CROWD}").select("node").unionByName(lists.where("hot").select("node")).distinct(), "crowded")
+        crowded = common.materialize(rows.where("crowded").select("node").unionByName(lists.where("hot").select("node")).distinct(), "crowded")
         pairs.append(product(rows, crowded, num, den))
         common.discard(rows, *([] if lists is nodes else [lists]))
         common.free_shuffles(spark)
