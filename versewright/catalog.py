@@ -366,18 +366,19 @@ def verse_ranges(spark, sf_dir):
 # checks of tokens, of punctuation and of numbers, each with the state around it, in both engines
 
 # Fixed values of the queries: marks dealt over the events of a user, and texts of the text tokens.
-DEALT = "c v v p q nb b s d qa text text text f f* m s5 fe ft fe* pi r q1 sp".split()
-SAID = ["Alpha beta.", "gamma delta", "Epsilon", "zeta? Eta"]
+DEALT = "c v v p q nb b s d qa text text text f f* m s5 fe ft fe* pi r q1 sp cl mt unknown cl b mt".split()
+SAID, TITLES, LABELS, UNKNOWN = ["Alpha beta.", "gamma delta", "Epsilon", "zeta? Eta"], ["Genesis", "ALPHA", "Iii Beta", "Gämma"], ["Chapter 3", "Pasal 12", "4 Chapter"], ["p", "v", "zz"]
 
 
 def dealt_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as the tokens (path, idx, type, value) of one book for each user; every tenth book has no id."""
     events = table(spark, sf_dir, "events").select("user_id", "event_id")
     kind = F.element_at(F.array(*map(F.lit, DEALT)), (F.col("event_id") * 7 % len(DEALT) + 1).cast("int"))
-    said = F.element_at(F.array(*map(F.lit, SAID)), (F.col("event_id") % len(SAID) + 1).cast("int"))
+    one_of = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % len(values) + 1).cast("int"))
     place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    rows = events.select(F.col("user_id").cast("string").alias("path"), place.alias("idx"), kind.alias("type"), "event_id", said.alias("said"))
-    value = F.when(F.col("type") == "c", (F.col("event_id") % 6).cast("string")).when(F.col("type") == "v", (F.col("event_id") % 5 + 1).cast("string")).when(F.col("type").isin("text", "ft", "s", "sp"), F.col("said"))
+    rows = events.select(F.col("user_id").cast("string").alias("path"), place.alias("idx"), kind.alias("type"), "event_id")
+    value = F.when(F.col("type") == "c", (F.col("event_id") % 6).cast("string")).when(F.col("type") == "v", (F.col("event_id") % 5 + 1).cast("string")).when(F.col("type").isin("text", "ft", "s", "sp"), one_of(SAID))
+    value = value.when(F.col("type") == "mt", one_of(TITLES)).when(F.col("type") == "cl", one_of(LABELS)).when(F.col("type") == "unknown", one_of(UNKNOWN))
     heads = events.where("user_id % 10 <> 0").select(F.col("user_id").cast("string").alias("path")).distinct().select("path", F.lit(0).alias("idx"), F.lit("id").alias("type"), F.lit("GEN").alias("value"))
     return heads.unionByName(rows.select("path", "idx", "type", value.alias("value")))
 
@@ -389,16 +390,17 @@ def _in(families: str, *more: str) -> str:
 
 PAR, BOTH, SEC, CARRY = _in("paragraph"), _in("paragraph poetry"), _in("section"), _in("special crossref poetry intro footnote acrostic blank", "m").replace("type", "prev_type", 1)
 TOKEN_STATE_SQL = f"""
-e AS (SELECT user_id::VARCHAR AS path, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS idx, ({DEALT!r})[(event_id * 7 % {len(DEALT)} + 1)::INT] AS type, event_id, ({SAID!r})[(event_id % {len(SAID)} + 1)::INT] AS said FROM events),
+e AS (SELECT user_id::VARCHAR AS path, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS idx, ({DEALT!r})[(event_id * 7 % {len(DEALT)} + 1)::INT] AS type, event_id, {", ".join(f"({x!r})[(event_id % {len(x)} + 1)::INT] AS {n}" for x, n in ((SAID, "said"), (TITLES, "title"), (LABELS, "named"), (UNKNOWN, "odd")))} FROM events),
 t AS (SELECT DISTINCT user_id::VARCHAR AS path, 0 AS idx, 'id' AS type, 'GEN' AS value FROM events WHERE user_id % 10 <> 0 UNION ALL
-  SELECT path, idx, type, CASE WHEN type = 'c' THEN (event_id % 6)::VARCHAR WHEN type = 'v' THEN (event_id % 5 + 1)::VARCHAR WHEN type IN ('text', 'ft', 's', 'sp') THEN said END FROM e),
+  SELECT path, idx, type, CASE WHEN type = 'c' THEN (event_id % 6)::VARCHAR WHEN type = 'v' THEN (event_id % 5 + 1)::VARCHAR WHEN type IN ('text', 'ft', 's', 'sp') THEN said WHEN type = 'mt' THEN title WHEN type = 'cl' THEN named WHEN type = 'unknown' THEN odd END FROM e),
 a AS (SELECT *, last_value(CASE WHEN type = 'id' THEN value END IGNORE NULLS) OVER u AS book, last_value(CASE WHEN type = 'c' THEN value::INT WHEN type = 'id' THEN 0 END IGNORE NULLS) OVER u AS chapter,
   last_value(CASE WHEN type = 'v' THEN value::INT WHEN type IN ('c', 'id') THEN 0 END IGNORE NULLS) OVER u AS verse, last_value(CASE WHEN type = 'c' THEN value::INT WHEN type = 'id' THEN 0 END IGNORE NULLS) OVER b AS prev_chapter,
-  coalesce(last_value(CASE WHEN type IN ('f', 'fe', 'rq') THEN 'OTHER' WHEN {PAR} OR type = 'd' THEN 'PP' WHEN {_in("poetry")} THEN 'QQ' WHEN {SEC} THEN 'S' WHEN type = 'b' THEN 'B' WHEN type = 'c' THEN 'C' WHEN type IN ('v', 'text') THEN 'OTHER' END IGNORE NULLS) OVER b, 'OTHER') AS prev,
+  coalesce(last_value(CASE WHEN type IN ('f', 'fe', 'rq') THEN 'OTHER' WHEN {PAR} OR type = 'd' THEN 'PP' WHEN {_in("poetry")} THEN 'QQ' WHEN {SEC} THEN 'S' WHEN type = 'b' THEN 'B' WHEN type = 'c' THEN 'C' WHEN type IN ('v', 'text', 'mt') THEN 'OTHER' END IGNORE NULLS) OVER b, 'OTHER') AS prev,
   lag(type) OVER (PARTITION BY path ORDER BY idx) AS prev_type, coalesce(sum((type IN ('f', 'rq'))::INT - (type IN ('f*', 'rq*'))::INT) OVER b, 0) AS note, coalesce(sum((type = 'fe')::INT - (type = 'fe*')::INT) OVER b, 0) AS endnote,
   coalesce(last_value(CASE WHEN type = 'c' THEN true WHEN {_in("paragraph poetry descriptive", "id")} THEN false END IGNORE NULLS) OVER b, false) AS need_p,
   coalesce(last_value(CASE WHEN type = 'qa' THEN true WHEN {BOTH} AND type <> 'nb' OR type IN ('v', 'id') THEN false END IGNORE NULLS) OVER b, false) AS need_q,
   coalesce(last_value(CASE WHEN {_in("paragraph poetry descriptive", "v", "f", "f*", "fe", "fe*", "rq", "rq*", "text", "qa")} THEN true WHEN type IN ('c', 'id') THEN false END IGNORE NULLS) OVER b, false) AS okay
+, coalesce(bool_or(type = 'mt' AND value = 'ALPHA') OVER b, false) AS shouted, CASE WHEN type = 'cl' THEN trim(regexp_replace(value, '\\p{{Nd}}+', '', 'g')) END AS label
   FROM t WINDOW u AS (PARTITION BY path ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY path ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 s AS (SELECT *, note > 0 OR endnote > 0 AS inside, coalesce(last_value(CASE WHEN type = 'text' AND NOT (note > 0 OR endnote > 0) THEN regexp_matches(value, '[.?!][^\\p{{L}}\\p{{N}}_]*$') WHEN {PAR} AND type <> 'nb' OR type = 'id' THEN true END IGNORE NULLS) OVER (PARTITION BY path ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS ended,
   CASE WHEN chapter > 0 THEN CASE WHEN verse > 0 THEN concat_ws('', book, ' ', chapter, ':', verse) ELSE concat_ws(' ', book, chapter) END ELSE coalesce(book, '') || ' header/intro' END AS ref, coalesce(prev_chapter, 0) AS was, substr(value, 1, 1) <> upper(substr(value, 1, 1)) AS small,
@@ -408,20 +410,21 @@ TOKEN_CHECKS = {
     "18": "type = 'f' AND note <> 0", "19": "type = 'fe' AND endnote <> 0", "20": "type = 'fe'", "21": "type = 'ft' AND NOT inside", "29.5": f"{SEC} AND prev = 'S'", "33": "type = 'v' AND prev = 'B'", "35": "type = 'v' AND book IS NULL", "36": "type = 'v' AND coalesce(chapter, 0) = 0", "37": "type = 'v' AND value = '1' AND need_p",
     "38": "type = 'v' AND need_q", "38.5": "type = 'v' AND prev = 'S'", "44": "type = 'text' AND NOT inside AND ended AND small AND prev = 'PP'", "44.1": "type = 'text' AND NOT inside AND ended AND small AND prev <> 'PP'", "54": f"type = 'text' AND NOT okay AND NOT coalesce({CARRY}, false)", "54.1": "type = 'text' AND okay AND verse = 0 AND chapter > 0",
     "62.1": "type = 'c' AND book IS NULL", "24": f"{_in('paragraph poetry descriptive')} AND prev IN ('QQ', 'PP')", "27": f"({SEC} AND type <> 's5' OR type = 'd') AND prev = 'PP'", "28": f"({SEC} AND type <> 's5' OR type = 'd') AND prev = 'QQ'", "29": f"({SEC} AND type <> 's5' OR type = 'd') AND prev = 'B'",
+    "30": "type = 'mt' AND value <> 'Gämma'", "31": "type = 'mt' AND value = 'ALPHA' AND NOT shouted", "31.1": "type = 'mt' AND starts_with(value, 'Ii')", "32": "type = 'mt' AND prev = 'B'", "42": "label <> 'Chapter'", "65": "type = 'unknown' AND value = 'p'", "66": "type = 'unknown' AND value = 'v'", "67": "type = 'unknown' AND value = 'zz'",
     "25": "type = 'p' AND prev_type = 'v'", "25.1": "type = 'nb' AND prev <> 'C'", "26": f"{PAR} AND NOT ended AND verse > 0", "26.1": f"{PAR} AND NOT ended AND verse = 0",
 }
 
 
 @query(f"WITH {TOKEN_STATE_SQL} SELECT * FROM (SELECT path, ref, idx, unnest([{', '.join(f'CASE WHEN {c} THEN {n}::DOUBLE END' for n, c in TOKEN_CHECKS.items())}]) AS error_id FROM s) WHERE error_id IS NOT NULL")
 def token_order_issues(spark, sf_dir):
-    found = checks.token_issues(tk.with_context(dealt_tokens(spark, sf_dir)), dims.books(spark), options=checks.Options(numbers=False))
+    found = checks.token_issues(tk.with_context(dealt_tokens(spark, sf_dir)), dims.books(spark), options=checks.Options(numbers=False, standard_titles=("Chapter",)))
     return found.select("path", "ref", "idx", F.col("error_id").cast("double").alias("error_id"))
 
 
 @query(f"""
 WITH {TOKEN_STATE_SQL}, g AS (SELECT path, max(book) AS book, max(chapter) AS top, arg_max(chapter, idx) AS last, count(*) FILTER (type = 'f') AS f1, count(*) FILTER (type = 'f*') AS f2, count(*) FILTER (type = 'fe') AS e1, count(*) FILTER (type = 'fe*') AS e2,
-  count(*) FILTER ({BOTH} AND type <> 'nb') AS n_p, count(*) FILTER ({_in("poetry")}) AS n_q, bool_or(type = 'c' AND value = '1') AS one FROM s GROUP BY path)
-SELECT * FROM (SELECT path, book AS ref, unnest([CASE WHEN one THEN 5.0 END, CASE WHEN f1 <> f2 THEN 9.0 END, CASE WHEN e1 <> e2 THEN 10.0 END, CASE WHEN book IS NULL OR coalesce(top, 0) = 0 THEN 11.0 END, CASE WHEN book = 'GEN' AND last <> 50 THEN 12.0 END, CASE WHEN top > 0 AND n_p / top <= 2.5 AND n_q / top <= 15 THEN 73.5 END, 81.0])::DOUBLE AS error_id FROM g) WHERE error_id IS NOT NULL""")
+  count(*) FILTER ({BOTH} AND type <> 'nb') AS n_p, count(*) FILTER ({_in("poetry")}) AS n_q, bool_or(type = 'c' AND value = '1') AS one, coalesce(bool_or(type = 'mt' AND value <> CASE WHEN book = 'GEN' THEN 'Genesis' ELSE '' END), false) AS titled, count(DISTINCT label) AS labels, count(label) AS n_labels FROM s GROUP BY path)
+SELECT * FROM (SELECT path, book AS ref, unnest([CASE WHEN one AND NOT titled THEN 5.0 END, CASE WHEN labels > 1 THEN 6.0 END, CASE WHEN n_labels > 1 AND n_labels < last THEN 7.0 END, CASE WHEN f1 <> f2 THEN 9.0 END, CASE WHEN e1 <> e2 THEN 10.0 END, CASE WHEN book IS NULL OR coalesce(top, 0) = 0 THEN 11.0 END, CASE WHEN book = 'GEN' AND last <> 50 THEN 12.0 END, CASE WHEN top > 0 AND n_p / top <= 2.5 AND n_q / top <= 15 THEN 73.5 END, 81.0])::DOUBLE AS error_id FROM g) WHERE error_id IS NOT NULL""")
 def whole_book_issues(spark, sf_dir):
     found = checks.book_issues(tk.with_context(dealt_tokens(spark, sf_dir)), dims.books(spark)).where("error_id <> 23")  # see dup_ids
     return found.select("path", "ref", F.col("error_id").cast("double").alias("error_id"))
@@ -511,10 +514,10 @@ _MARKED_SQL = _replaced_sql("'\\c 1 \\v 2 ' || text", [(a, b.replace("\n", "' ||
 WITH d AS (SELECT doc_id, replace({_MARKED_SQL}, chr(92) || chr(92), chr(92)) AS c FROM documents)
 SELECT doc_id, md5(regexp_replace(c, '\n\\s5 *?\n', chr(10), 'g')) AS s5, md5(regexp_replace(c, '(?s)\n(\\[pqm][i1-4]? *)\n+(\\s[1-5]? .*?)\n', chr(10) || '\2' || chr(10) || '\1' || chr(10), 'g')) AS moved, md5(regexp_replace(c, '\\[pqm][i1-9]? *\n*(\\[^v])', '\1', 'g')) AS useless,
   md5(regexp_replace(c, '\\c([0-9])', chr(92) || chr(92) || 'c \1', 'g')) AS chapters, md5(regexp_replace(c, '(?s)^(.*?)(\\[cv] +[0-9]+)', '\1' || chr(92) || chr(92) || 's5' || chr(10) || '\2')) AS chunk, md5(regexp_replace(c, '^(\s*\\[cv] *[0-9\-]*\s*)+', '')) AS bare, md5(regexp_replace(c, '(Head) x', '\1', 'g')) AS edited,
-  md5(replace(replace(replace(c, 'III ', '3 '), 'II ', '2 '), 'I ', '1 ')) AS arabic FROM d""")
+  md5(replace(replace(replace(c, 'III ', '3 '), 'II ', '2 '), 'I ', '1 ')) AS arabic, md5('\c 1' || chr(10) || '\cl Chapter One' || chr(10) || '\p' || chr(10) || regexp_replace(c, '^\\c 1\s+', '')) AS labelled FROM d""")
 def marks_tidied(spark, sf_dir):
     c = replaced(F.concat(F.lit("\\c 1 \\v 2 "), "text"), MARKED).alias("c")
-    steps = {"s5": cl.remove_s5, "moved": cl.move_paragraph_marks, "useless": cl.remove_paragraph_marks, "chapters": cl.fix_chapter_marks, "chunk": cl.mark_chunk, "bare": cl.strip_initial_marks, "edited": lambda x: cl.stream_edit(x, "(Head) x", "$1"), "arabic": tx.roman_to_arabic}
+    steps = {"s5": cl.remove_s5, "moved": cl.move_paragraph_marks, "useless": cl.remove_paragraph_marks, "chapters": cl.fix_chapter_marks, "chunk": cl.mark_chunk, "bare": cl.strip_initial_marks, "edited": lambda x: cl.stream_edit(x, "(Head) x", "$1"), "arabic": tx.roman_to_arabic, "labelled": lambda x: cl.augment_chapter(x, F.lit("Chapter One"))}
     return table(spark, sf_dir, "documents").select("doc_id", c).select("doc_id", *(F.md5(f(F.col("c"))).alias(k) for k, f in steps.items()))
 
 
