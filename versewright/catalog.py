@@ -372,12 +372,14 @@ SAID, TITLES, LABELS, UNKNOWN = ["Alpha beta.", "gamma delta", "Epsilon", "zeta?
 
 def dealt_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as the tokens (path, idx, type, value) of one book for each user; every tenth book has no id."""
-    events = table(spark, sf_dir, "events").select("user_id", "event_id")
-    kind = F.element_at(F.array(*map(F.lit, DEALT)), (F.col("event_id") * 7 % len(DEALT) + 1).cast("int"))
-    one_of = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % len(values) + 1).cast("int"))
+    draw = F.conv(F.substring(F.md5(F.col("event_id").cast("string")), 1, 7), 16, 10).cast("long")  # the same in both engines
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", draw.alias("draw"))
+    kind = F.element_at(F.array(*map(F.lit, DEALT)), (F.col("draw") % len(DEALT) + 1).cast("int"))
+    rest = F.floor(F.col("draw") / len(DEALT))
+    one_of = lambda values: F.element_at(F.array(*map(F.lit, values)), (rest % len(values) + 1).cast("int"))
     place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    rows = events.select(F.col("user_id").cast("string").alias("path"), place.alias("idx"), kind.alias("type"), "event_id")
-    value = F.when(F.col("type") == "c", (F.col("event_id") % 6).cast("string")).when(F.col("type") == "v", (F.col("event_id") % 5 + 1).cast("string")).when(F.col("type").isin("text", "ft", "s", "sp"), one_of(SAID))
+    rows = events.select(F.col("user_id").cast("string").alias("path"), place.alias("idx"), kind.alias("type"), "draw")
+    value = F.when(F.col("type") == "c", (rest % 6).cast("string")).when(F.col("type") == "v", (rest % 5 + 1).cast("string")).when(F.col("type").isin("text", "ft", "s", "sp"), one_of(SAID))
     value = value.when(F.col("type") == "mt", one_of(TITLES)).when(F.col("type") == "cl", one_of(LABELS)).when(F.col("type") == "unknown", one_of(UNKNOWN))
     heads = events.where("user_id % 10 <> 0").select(F.col("user_id").cast("string").alias("path")).distinct().select("path", F.lit(0).alias("idx"), F.lit("id").alias("type"), F.lit("GEN").alias("value"))
     return heads.unionByName(rows.select("path", "idx", "type", value.alias("value")))
@@ -390,9 +392,9 @@ def _in(families: str, *more: str) -> str:
 
 PAR, BOTH, SEC, CARRY = _in("paragraph"), _in("paragraph poetry"), _in("section"), _in("special crossref poetry intro footnote acrostic blank", "m").replace("type", "prev_type", 1)
 TOKEN_STATE_SQL = f"""
-e AS (SELECT user_id::VARCHAR AS path, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS idx, ({DEALT!r})[(event_id * 7 % {len(DEALT)} + 1)::INT] AS type, event_id, {", ".join(f"({x!r})[(event_id % {len(x)} + 1)::INT] AS {n}" for x, n in ((SAID, "said"), (TITLES, "title"), (LABELS, "named"), (UNKNOWN, "odd")))} FROM events),
+e AS (SELECT user_id::VARCHAR AS path, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS idx, ({DEALT!r})[(draw % {len(DEALT)} + 1)::INT] AS type, rest, {", ".join(f"({x!r})[(rest % {len(x)} + 1)::INT] AS {n}" for x, n in ((SAID, "said"), (TITLES, "title"), (LABELS, "named"), (UNKNOWN, "odd")))} FROM (SELECT *, draw // {len(DEALT)} AS rest FROM (SELECT *, ('0x' || md5(event_id::VARCHAR)[1:7])::BIGINT AS draw FROM events))),
 t AS (SELECT DISTINCT user_id::VARCHAR AS path, 0 AS idx, 'id' AS type, 'GEN' AS value FROM events WHERE user_id % 10 <> 0 UNION ALL
-  SELECT path, idx, type, CASE WHEN type = 'c' THEN (event_id % 6)::VARCHAR WHEN type = 'v' THEN (event_id % 5 + 1)::VARCHAR WHEN type IN ('text', 'ft', 's', 'sp') THEN said WHEN type = 'mt' THEN title WHEN type = 'cl' THEN named WHEN type = 'unknown' THEN odd END FROM e),
+  SELECT path, idx, type, CASE WHEN type = 'c' THEN (rest % 6)::VARCHAR WHEN type = 'v' THEN (rest % 5 + 1)::VARCHAR WHEN type IN ('text', 'ft', 's', 'sp') THEN said WHEN type = 'mt' THEN title WHEN type = 'cl' THEN named WHEN type = 'unknown' THEN odd END FROM e),
 a AS (SELECT *, last_value(CASE WHEN type = 'id' THEN value END IGNORE NULLS) OVER u AS book, last_value(CASE WHEN type = 'c' THEN value::INT WHEN type = 'id' THEN 0 END IGNORE NULLS) OVER u AS chapter,
   last_value(CASE WHEN type = 'v' THEN value::INT WHEN type IN ('c', 'id') THEN 0 END IGNORE NULLS) OVER u AS verse, last_value(CASE WHEN type = 'c' THEN value::INT WHEN type = 'id' THEN 0 END IGNORE NULLS) OVER b AS prev_chapter,
   coalesce(last_value(CASE WHEN type IN ('f', 'fe', 'rq') THEN 'OTHER' WHEN {PAR} OR type = 'd' THEN 'PP' WHEN {_in("poetry")} THEN 'QQ' WHEN {SEC} THEN 'S' WHEN type = 'b' THEN 'B' WHEN type = 'c' THEN 'C' WHEN type IN ('v', 'text', 'mt') THEN 'OTHER' END IGNORE NULLS) OVER b, 'OTHER') AS prev,
