@@ -4,10 +4,13 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 import __spark_entry__
 from versewright import catalog
 from versewright.functions import dims
-from versewright.plans import pipeline
+from versewright.operators import checks, transforms
+from versewright.plans import config, pipeline
 from versewright.streaming import files
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -68,3 +71,17 @@ def test_long_headings_count(spark, tmp_path):
     lines = ["THE BEGINNING" + " " * 120, "it was a small line, of prose."]
     spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert sorted(r["idx"] for r in catalog.headings(spark, str(tmp_path)).collect()) == [0]
+
+
+def test_settings_from_ini_files(spark, tmp_path):
+    (tmp_path / "tools.ini").write_text("[verify]\nnumbers = no\nsummary_only = 44, 26\nversion: 3\nstandard_titles = Chapter,Pasal 100%\n[cleanup]\nlabel = Pasal\nsections = off\n")
+    text = config.read(spark, str(tmp_path / "tools.ini"))
+    got = config.settings(checks.Options, text, "verify")
+    assert got == checks.Options(numbers=False, summary_only=frozenset({"44", "26"}), version=3, standard_titles=("Chapter", "Pasal 100%"))
+    assert config.settings(transforms.Cleaner, text, "cleanup") == transforms.Cleaner(label="Pasal", sections=False)
+    assert config.settings(transforms.Cleaner, text, "other") == transforms.Cleaner()
+    for one in (got, transforms.Cleaner(), checks.Options()):
+        assert config.settings(type(one), config.written(one, "x"), "x") == one
+    for bad in ("[verify]\nnumbrs = no", "[verify]\nnumbers = maybe"):
+        with pytest.raises(ValueError, match="numb|maybe"):
+            config.settings(checks.Options, bad, "verify")
