@@ -11,6 +11,7 @@ from versewright import catalog
 from versewright.functions import dims
 from versewright.operators import checks, transforms
 from versewright.plans import config, pipeline
+from versewright.sources import files as sources
 from versewright.streaming import files
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -85,3 +86,14 @@ def test_settings_from_ini_files(spark, tmp_path):
     for bad in ("[verify]\nnumbrs = no", "[verify]\nnumbers = maybe"):
         with pytest.raises(ValueError, match="numb|maybe"):
             config.settings(checks.Options, bad, "verify")
+
+
+def test_rewriting_with_the_originals_kept(spark, tmp_path):
+    rows = [("/in/1", "01-GEN.usfm", "\\id GEN\n\\c 1\n\\p\n\\v 1 one,two.\n"), ("/in/2", "02-EXO.usfm", "\\id EXO\n\\c 1\n\\p\n\\v 1 One, two.\n"), ("/in/3", "08-RUT.usfm", "\\id RUT\n\\c 1\n\\p\n\\v 1 a(b).\n")]
+    books = spark.createDataFrame(rows, "path string, name string, content string")
+    done = pipeline.rewrite(books, pipeline.cleanup(sections=False), str(tmp_path / "out"))
+    assert sorted(r["name"] for r in done.collect()) == ["01-GEN.usfm", "08-RUT.usfm"]
+    read = lambda kind: {r["path"].split("file_name=")[1].split("/")[0]: r["content"] for r in sources.usfm(spark, str(tmp_path / "out" / kind), suffix=".txt").collect()}
+    assert read("original") == {n: c for _, n, c in rows if n != "02-EXO.usfm"}
+    assert read("changed") == {"01-GEN.usfm": "\\id GEN\n\\c 1\n\\p\n\\v 1 One, two.\n", "08-RUT.usfm": "\\id RUT\n\\c 1\n\\p\n\\v 1 A (b).\n"}
+    assert pipeline.rewrite(books, pipeline.cleanup(sections=False), str(tmp_path / "one"), most=1).count() == 1

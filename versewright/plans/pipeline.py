@@ -6,9 +6,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import checks, transforms
 from ..operators import tokens as tk
+from ..sinks import reports
 
 Step = Callable[[DataFrame], DataFrame]
 # What usually follows what. Containers are only made of verified books.
@@ -30,6 +32,19 @@ class Pipeline:
         return Pipeline((*self.steps, (name, step)))
 
 
+def rewrite(books: DataFrame, step: Step, out: str, most: int | None = None) -> DataFrame:
+    """Write the books (path, name, content) that a step changes below ``out``, in ``changed``, and in ``original`` as they were.
+
+    At most so many, first by path, if that is asked for. Returns (path, name) of those; the input stays as it is, and
+    original holds what brings them back (see transforms.revert).
+    """
+    changed = transforms.changed_only(books, step(books), most).select("path", "content")
+    names = books.select("path", F.col("name").alias("file_name"))
+    reports.write_books(changed.join(names, "path"), f"{out}/changed")
+    reports.write_books(transforms.revert(changed, books).select("path", "content").join(names, "path"), f"{out}/original")
+    return changed.join(names, "path").select("path", F.col("file_name").alias("name"))
+
+
 def next_step(name: str) -> str | None:
     return NEXT.get(name)
 

@@ -69,8 +69,8 @@ def write_lines(lines: DataFrame, path: str, column: str = "line", one_file: boo
 
 
 def write_books(books: DataFrame, path: str) -> None:
-    """(file_name, content) as text files in a folder a book; inputs are never overwritten."""
-    books.select(F.col("content").alias("value"), "file_name").write.mode("overwrite").partitionBy("file_name").text(path)
+    """(file_name, content) as text files in a folder a book; inputs are never overwritten. A book's last line feed is the file's."""
+    books.select(F.regexp_replace("content", r"\n\z", "").alias("value"), "file_name").write.mode("overwrite").partitionBy("file_name").text(path)
 
 
 def usx_chunks(context: DataFrame) -> DataFrame:
