@@ -88,7 +88,13 @@ def first_words(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.first_word("text").alias("word"))
 
 
-@query()
+# A sentence starts at the first word, and at the first one after each mark that no quotation or dash follows directly.
+_AFTER_MARK = r"([.।]|[?!፡።]+)[^\p{L}\p{N}_]*[\p{L}\p{N}_]"
+
+
+@query(rf"""
+WITH t AS (SELECT doc_id, regexp_replace(text, '^[^\p{{L}}\p{{N}}_]+', '') AS t FROM documents), u AS (SELECT doc_id, t, regexp_replace(t, '[?!፡።]+[«“‘\-—–]', '-', 'g') AS u FROM t)
+SELECT doc_id, CASE WHEN t IS NULL THEN NULL WHEN t = '' THEN 0 ELSE 1 + len(regexp_extract_all(u, '{_AFTER_MARK}')) END AS n, CASE WHEN t IS NULL THEN NULL WHEN t = '' THEN 0 ELSE 1 + len(regexp_extract_all(u, '{_AFTER_MARK}')) END AS starts FROM u""")
 def sentence_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", rules.column(rules.sentence_count, "int")("text").alias("n"), F.size(rules.column(rules.sentence_starts, "array<int>")("text")).alias("starts"))
 
@@ -582,6 +588,18 @@ def unparseable_files(spark, sf_dir):
     return checks.parse_problems(files).select("path", "msg")
 
 
+
+@query(f"""
+WITH d AS (SELECT doc_id, text, list_distinct({SQL_SPLIT.format('text')}) AS ws FROM documents), p AS (SELECT a.doc_id, a.ws AS x, b.ws AS y FROM d a JOIN d b ON b.doc_id = a.doc_id - a.doc_id % 2)
+SELECT doc_id::VARCHAR AS path, 'DOC ' || doc_id AS ref, 'Verse may be untranslated (based on words in common): DOC ' || doc_id AS msg FROM p WHERE len(list_filter(list_intersect(x, y), lambda w: length(w) > 2 AND lower(w) = w AND upper(w) <> w)) / nullif(len(list_distinct(list_concat(x, y))), 0)::DOUBLE > 0.4""")
+def untranslated_issues(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ref = F.concat(F.lit("DOC "), F.col("doc_id").cast("string"))
+    verses = docs.select(F.col("doc_id").cast("string").alias("path"), ref.alias("ref"), F.lit(0).alias("idx"), "text", F.lit(99).alias("length"), F.lit(False).alias("is_ascii"))
+    pairs = docs.select(ref.alias("ref"), (F.col("doc_id") - F.col("doc_id") % 2).alias("other")).join(docs.select(F.col("doc_id").alias("other"), F.col("text").alias("source_text")), "other")
+    return checks.verse_issues(verses, pairs.select("ref", "source_text")).where("error_id = 3.5").select("path", "ref", "msg")
+
+
 # rows only: state machines, and functions that SQL lacks
 
 
