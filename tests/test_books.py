@@ -261,6 +261,19 @@ def test_sinks(spark):
     assert [r["line"] for r in reports.word_lines(spark.createDataFrame([("b", 1, "R"), ("'A", 2, None)], "word string, n long, ref string")).collect()] == ["'A\t2", "b\t1\tR"]
 
 
+def test_whole_containers(spark):
+    c = context(spark, "\\id RUT\n\\h Rüt\n\\c 1\n\\p\n\\v 1 One.\n")
+    templates = spark.createDataFrame([(b, f, t) for b in ("RUT", "GEN") for f, t in (("package.json", '{"language": {"slug": "en", "x": 1}, "resource": {"status": {"level": "3"}}}'), ("LICENSE.md", "free"), ("content/toc.yml", "- x"), ("content/01/01.usx", "no"))], "book string, file string, content string")
+    about = reports.Container("xx", 20260101, "Exish", "rtl", "reg", "Regular", "2026-01-01", "CC", "2", "https://example.org/{book}.json")
+    files = {(r["folder"], r["file"]): r["content"] for r in reports.container_files(c, dims.books(spark), templates, about).collect()}
+    assert {f for _, f in files} == {"content/01/01.usx", "content/01/title.usx", "content/front/title.usx", "package.json", "LICENSE.md", "content/toc.yml"} and {d for d, _ in files} == {"xx_rut_reg"}
+    assert files["xx_rut_reg", "LICENSE.md"] == "free" and "One." in files["xx_rut_reg", "content/01/01.usx"]
+    p = json.loads(files["xx_rut_reg", "package.json"])
+    assert p["language"] == {"slug": "xx", "name": "Exish", "direction": "rtl", "x": 1} and p["modified_at"] == 20260101
+    assert p["project"] == {"slug": "rut", "name": "Rüt", "sort": 8, "chunks_url": "https://example.org/rut.json", "category_slug": "bible-ot", "categories": ["bible-ot"]}
+    assert p["resource"] == {"slug": "reg", "name": "Regular", "status": {"level": "3", "pub_date": "2026-01-01", "license": "CC", "version": "2"}}
+
+
 GOOD = {
     "dublin_core": {"conformsto": "rc0.2", "contributor": ["Some One"], "creator": "Some", "description": "d", "format": "text/usfm", "identifier": "ulb", "issued": "2026-01-01", "modified": "2026-01-02", "language": {"direction": "ltr", "identifier": "xx", "title": "Bähasa"},
                     "publisher": "Pub", "relation": [], "rights": "CC BY-SA 4.0", "source": [{"language": "en", "identifier": "ulb", "version": "1"}], "subject": "Bible", "title": "Some Bible", "type": "bundle", "version": "1"},

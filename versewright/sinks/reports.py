@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from dataclasses import dataclass
 from html import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -108,17 +112,63 @@ def _escaped(c):
     return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
-def package_json(template: str, language: str, book: str, title: str, day: int) -> str:
-    """A container's package file from a template: language, book, title and date (yyyymmdd) in place of the template's."""
-    import json
-
-    p = json.loads(template)
-    p.setdefault("language", {}).update({"slug": language})
-    p.setdefault("project", {}).update({"slug": book.lower(), "name": title})
+@dataclass(frozen=True)
+class Container:
+    """What is said of all containers of a translation. chunks_url: where chunk lists are, with {book} for the book's id."""
+
+    language: str
+    day: int
+    language_name: str | None = None
+    direction: str | None = None
+    bible: str = "bible"
+    bible_name: str | None = None
+    pub_date: str | None = None
+    license: str | None = None
+    version: str | None = None
+    chunks_url: str | None = None
+
+
+def package_json(template: str, language: str, book: str, title: str, day: int, sort: int | None = None, about: Container | None = None) -> str:
+    """A container's package file from a template: language, book, title and date (yyyymmdd) in place of the template's, and what else is known."""
+    p, about = json.loads(template), about or Container(language, day)
+    testament = None if sort is None else "bible-ot" if sort < 40 else "bible-nt"
+    new = {
+        "language": {"slug": language, "name": about.language_name, "direction": about.direction},
+        "project": {"slug": book.lower(), "name": title, "sort": sort, "chunks_url": about.chunks_url and about.chunks_url.format(book=book.lower()), "category_slug": testament, "categories": testament and [testament]},
+        "resource": {"slug": about.bible if sort is not None else None, "name": about.bible_name},
+    }
+    status = {"pub_date": about.pub_date, "license": about.license, "version": about.version}
+    for part, values in [*new.items(), ("status", status)]:
+        known = {k: v for k, v in values.items() if v is not None}
+        if known:
+            (p.setdefault("resource", {}) if part == "status" else p).setdefault(part, {}).update(known)
     p["modified_at"] = day
     return json.dumps(p, ensure_ascii=False, indent=2, sort_keys=True)
 
 
+# What a container takes over from the one of another language.
+TAKEN = ("LICENSE.md", "content/config.yml", "content/toc.yml")
+
+
+def container_files(context: DataFrame, books: DataFrame, templates: DataFrame, about: Container) -> DataFrame:
+    """(folder, file, content): the containers of books: chunk files and titles, package.json, and what the templates give as it is.
+
+    templates: files (book, file, content) of containers of another language; books without a package.json there have none.
+    """
+    chunks = usx_chunks(context)
+    folder = F.concat(F.lit(f"{about.language}_"), F.lower("book"), F.lit(f"_{about.bible}")).alias("folder")
+    titles = chunks.where("file = 'front/title.usx'").select("book", F.col("content").alias("title"))
+    known = templates.join(chunks.select("book").distinct(), "book", "left_semi")
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for contents, ids, names, sorts in batches:
+            yield pd.Series([package_json(c, about.language, b, t, about.day, int(n), about) for c, b, t, n in zip(contents, ids, names, sorts, strict=True)], dtype=object)
+
+    named = known.where("file = 'package.json'").join(titles, "book", "left").join(F.broadcast(books.select(F.col("id").alias("book"), "sort")), "book")  # 70 rows
+    package = named.select(folder, "file", F.pandas_udf(run, "string")("content", "book", F.coalesce("title", F.lit("")), "sort").alias("content"))
+    return chunks.select(folder, F.concat(F.lit("content/"), "file").alias("file"), "content").unionByName(known.where(F.col("file").isin(*TAKEN)).select(folder, "file", "content")).unionByName(package)
+
+
 def settings_xml(text: str, suffix: str) -> str:
     """Naming attributes of a settings file set to the usual form, the rest as it is."""
     import re
