@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from .functions import cleanup as cl
 from .functions import dims, rules
 from .functions import text as tx
-from .operators import checks, transforms
+from .operators import checks, manifests, transforms
 from .operators import tokens as tk
 from .sinks import reports
 from .sources import files as fl
@@ -600,6 +600,46 @@ def untranslated_issues(spark, sf_dir):
     return checks.verse_issues(verses, pairs.select("ref", "source_text")).where("error_id = 3.5").select("path", "ref", "msg")
 
 
+
+@query("""
+WITH c AS (SELECT c_custkey AS k, n_name AS t, c_custkey || '-Book.usfm' AS f, '/f/' || c_custkey AS d FROM customer JOIN nation ON n_nationkey = c_nationkey),
+i AS (SELECT CASE k % 4 WHEN 2 THEN 'Invalid path: ' || f ELSE 'Case mismatch in file name. Use ' || f || ', as in manifest file.' END AS msg, d || '/manifest.yaml' AS path FROM c WHERE k % 4 IN (1, 2) UNION ALL SELECT 'project:title ' || t || ' does not match any of the titles in ' || f || '.', d || '/manifest.yaml' FROM c WHERE k % 2 = 1
+  UNION ALL SELECT 'Extraneous or misnamed file', d || '/x.tmp' FROM c WHERE k % 4 = 3 UNION ALL SELECT 'LICENSE file is missing', d || '/manifest.yaml' FROM c WHERE k % 3 <> 0 UNION ALL SELECT 'No README file is found', d || '/manifest.yaml' FROM c WHERE k % 5 <> 0)
+SELECT path, msg FROM i""")
+def manifest_file_issues(spark, sf_dir):
+    k, book = F.col("c_custkey"), F.concat(F.col("c_custkey").cast("string"), F.lit("-Book.usfm"))
+    rows = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))  # 25 rows
+    rows = rows.select("c_custkey", "n_name", F.concat(F.lit("/f/"), k.cast("string")).alias("d"), book.alias("f"))
+    project = F.struct(F.col("n_name").alias("title"), k.cast("string").alias("identifier"), F.concat(F.lit("./"), "f").alias("path"))
+    listed = rows.select(F.concat("d", F.lit("/manifest.yaml")).alias("path"), F.to_json(F.struct(F.array(project).alias("projects"))).alias("json"))
+    there = F.array(F.when(k % 4 != 2, F.when(k % 4 == 1, F.lower("f")).otherwise(F.col("f"))), F.when(k % 4 == 3, F.lit("x.tmp")), F.when(k % 3 == 0, F.lit("License.md")), F.when(k % 5 == 0, F.lit("README.md")))
+    files = rows.select("d", F.explode(F.filter(there, lambda n: n.isNotNull())).alias("n")).select(F.concat_ws("/", "d", "n").alias("path"))
+    titles = rows.select(F.concat_ws("/", "d", "f").alias("path"), F.array(F.lit("Other"), F.when(k % 2 == 0, F.col("n_name")).otherwise("x")).alias("titles"))
+    return manifests.file_issues(listed, files, titles)
+
+
+@query(f"""
+WITH l AS (SELECT DISTINCT lower(({[r[0] for r in dims.book_rows()]!r})[(l_partkey % 66 + 1)::INT]) || CASE WHEN l_partkey % 66 = 20 THEN 'X' ELSE '' END AS book, (l_suppkey % 12 + 1)::VARCHAR AS chapter, CASE WHEN l_linenumber = 7 THEN 'intro.md' WHEN l_linenumber = 6 THEN 'notes.md' ELSE '0' || l_linenumber || '.md' END AS name FROM lineitem),
+f AS (SELECT *, '/t/' || book || '/' || chapter || '/' || name AS path FROM l), b AS (SELECT * FROM (VALUES {', '.join(f"('{r[0].lower()}', {r[2]})" for r in dims.book_rows())}) AS b(id, chapters)),
+n AS (SELECT book, count(DISTINCT chapter) AS n, min(path) AS path FROM f GROUP BY book)
+SELECT path, 'Invalid file name: ' || name AS msg FROM f WHERE name = 'notes.md' OR name <> 'intro.md' AND book = 'psa' UNION ALL SELECT path, CASE WHEN chapters IS NULL THEN 'Invalid(?) file or folder: ' || book ELSE 'Missing chapters in: ' || book END FROM n LEFT JOIN b ON id = lower(book) WHERE chapters IS NULL OR n < chapters""")
+def chapter_file_issues(spark, sf_dir):
+    k = (F.col("l_partkey") % 66).cast("int")
+    book = F.concat(F.lower(F.element_at(F.array(*[F.lit(r[0]) for r in dims.book_rows()]), k + 1)), F.when(k == 20, "X").otherwise(""))
+    name = F.when(F.col("l_linenumber") == 7, "intro.md").when(F.col("l_linenumber") == 6, "notes.md").otherwise(F.concat(F.lit("0"), F.col("l_linenumber").cast("string"), F.lit(".md")))
+    files = table(spark, sf_dir, "lineitem").select(F.concat_ws("/", F.lit("/t"), book, (F.col("l_suppkey") % 12 + 1).cast("string"), name).alias("path")).distinct()
+    return manifests.chapter_files(files, dims.books(spark), "tn")
+
+
+@query("""
+WITH f AS (SELECT DISTINCT '/a/' || l_orderkey AS article, (['01.md', 'title.md', 'sub-title.md', 'x.md'])[(l_partkey % 4 + 1)::INT] AS name FROM lineitem), g AS (SELECT article, list(name) AS names FROM f GROUP BY article),
+m AS (SELECT article, unnest(list_filter(['01.md', 'title.md', 'sub-title.md'], lambda w: NOT list_contains(names, w))) AS name FROM g WHERE len(list_intersect(names, ['01.md', 'title.md', 'sub-title.md'])) > 0)
+SELECT article, 'Missing file: ' || name AS msg FROM m""")
+def article_file_issues(spark, sf_dir):
+    name = F.element_at(F.array(*map(F.lit, ("01.md", "title.md", "sub-title.md", "x.md"))), (F.col("l_partkey") % 4 + 1).cast("int"))
+    return manifests.article_files(table(spark, sf_dir, "lineitem").select(F.concat_ws("/", F.lit("/a"), F.col("l_orderkey").cast("string"), name).alias("path")))
+
+
 # rows only: state machines, and functions that SQL lacks
 
 
