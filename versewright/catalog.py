@@ -640,6 +640,37 @@ def article_file_issues(spark, sf_dir):
     return manifests.article_files(table(spark, sf_dir, "lineitem").select(F.concat_ws("/", F.lit("/a"), F.col("l_orderkey").cast("string"), name).alias("path")))
 
 
+
+# Fixed values of the query: a manifest without faults, changes that make one, and what is to be said of each.
+MANIFEST = (
+    '{"dublin_core":{"conformsto":"rc0.2","contributor":["Some One"],"creator":"Some","description":"d","format":"text/usfm","identifier":"ulb","issued":"2026-01-01","modified":"2026-01-02","language":{"direction":"ltr","identifier":"xx","title":"Bähasa"},"publisher":"Pub","relation":[],"rights":"CC BY-SA 4.0",'
+    '"source":[{"language":"en","identifier":"ulb","version":"1"}],"subject":"Bible","title":"Some Bible","type":"bundle","version":"1"},"checking":{"checking_entity":["Some"],"checking_level":"3"},"projects":[{"title":"Rüt","versification":"ufw","identifier":"rut","sort":8,"path":"./08-RUT.usfm","categories":["bible-ot"]}]}'
+)
+SAMUEL = ',{"title":"1 Sämuel","versification":"ufw","identifier":"1sa","sort":9,"path":"./09-1SA.usfm","categories":["bible-ot"]},{"title":"2 Sämwel","versification":"ufw","identifier":"2sa","sort":10,"path":"./10-2SA.usfm","categories":["bible-ot"]}]'
+FAULTS = [
+    ("", "", []), ('"rc0.2"', '"rc9"', ["Invalid value for conformsto: rc9"]), ('"CC BY-SA 4.0"', '"free"', ["Invalid value for rights: free"]), ('["Some One"]', "[]", ["Missing contributors!"]), ('["Some One"]', '["ab"]', ["Invalid contributor name: ab"]), ('"creator":"Some"', '"creator":"S"', ["Invalid value for creator: S"]),
+    ('"creator":"Some"', '"creator":7', ["Value must be a string: creator: 7"]), ('"2026-01-01"', '"2026-1-1"', ["Invalid date: 2026-1-1", "Dates wrong - issued: 2026-1-1, modified: 2026-01-02"]), ('"2026-01-02"', '"2026-01-05"', ["Modified date is not today: 2026-01-05"]), ('"text/usfm"', '"text/markdown"', ["Invalid format: text/markdown"]),
+    ('"ltr"', '"up"', ["Incorrect language direction: up"]), ('"identifier":"xx"', '"identifier":"yy"', ["Language identifier (yy) does not match first part of directory name: xx_ulb"]), ('"Bähasa"', '"Bahasa"', ["Possible error: remember to localize language title: Bahasa"]), ('"relation":[]', '"relation":["xx/tn","xx/tn"]', ["There are duplicates in the relations list"]),
+    ('"relation":[]', '"relation":["yy/zz","xx","xx/a/b"]', ["Possible error: non-matching language code for relation element: yy/zz", "Invalid project code in relation element: yy/zz", "Invalid value for relation element: xx", "Invalid format for relation element: xx/a/b"]),
+    ('{"language":"en","identifier":"ulb","version":"1"}', "", ["Invalid source spec: should be an array of records of three fields."]), ('"language":"en"', '"language":"English"', ["Use a language code in source:language, not 'English'"]), ('"language":"en"', '"language":"xx"', ["Possible error: source:language matches target language"]),
+    ('"subject":"Bible"', '"subject":"Book"', ["Invalid subject: Book"]), ('"Some Bible"', '"Easy Bible"', ["Title contradicts project type: Easy Bible"]), ('"bundle"', '"help"', ["Invalid type: help"]), ('"checking_level":"3"', '"checking_level":"2"', ["Invalid value for checking_level: 2"]), ('"checking_entity":["Some"]', '"checking_entity":[]', ["Missing checking_entity."]),
+    ('"sort":8', '"sort":9', ["Incorrect project:sort: 9"]), ('"ufw"', '"x"', ["Invalid project:versification: x. Should be 'ufw'"]), ('["bible-ot"]', '["ot"]', ["Invalid project:categories: ['ot']"]), ('"Rüt"', '"Rut."', ["ASCII project:title: Rut.", "project:title has punctuation: Rut."]), ("08-RUT", "08-rut", ["Incorrect case in project:path: ./08-rut.usfm. Use ./08-RUT.usfm"]),
+    (',"version":"1"},"checking"', '},"checking"', ["Missing field: dublin_core:version"]), ('"checking":{', '"extra":1,"checking":{', ["Extra field: :extra"]), ('["bible-ot"]}]', '["bible-ot"]}' + SAMUEL, ["Inconsistent book names (Sämuel for 1SA vs. Sämwel for 2SA)"]),
+]
+
+
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+@query(f"""
+WITH f AS (SELECT * FROM (VALUES {', '.join(f'({k}, {_sql_text(m)})' for k, (_, _, said) in enumerate(FAULTS) for m in [*said, f'Possible error: number of projects listed: {3 if k == len(FAULTS) - 1 else 1}'])}) AS f(k, msg))
+SELECT '/f/xx_ulb/' || c_custkey || '.json' AS path, msg FROM customer JOIN f ON k = c_custkey % {len(FAULTS)}""")
+def manifest_issues(spark, sf_dir):
+    made = F.element_at(F.array(*[F.lit(MANIFEST.replace(old, new) if old else MANIFEST) for old, new, _ in FAULTS]), (F.col("c_custkey") % len(FAULTS) + 1).cast("int"))
+    return manifests.verify(table(spark, sf_dir, "customer").select(F.concat(F.lit("/f/xx_ulb/"), F.col("c_custkey").cast("string"), F.lit(".json")).alias("path"), made.alias("json")), "2026-01-02")
+
+
 # rows only: state machines, and functions that SQL lacks
 
 
