@@ -103,7 +103,9 @@ def open_shared(path: str) -> tuple[arrow_fs.FileSystem, str]:
     return arrow_fs.LocalFileSystem(), path
 
 
+#: What a record's head says, and where its payload stands: in rows of its own (chunk numbers), or beside the head (WHOLE).
 HEAD = "key string, url string, sha string, n long, revisit boolean, target string"
+ALONE, WHOLE = -1, -2
 
 
 def record_head(key: str | None, url: str | None, sha: str, n: int, revisit: bool, target: str | None, date: str) -> bytes:
@@ -118,57 +120,70 @@ def record_head(key: str | None, url: str | None, sha: str, n: int, revisit: boo
     return header([*fields, ("Content-Type", "text/html"), ("Content-Length", str(0 if revisit else n))])
 
 
-def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, date: str = "1970-01-01T00:00:00Z", size: int = CHUNK) -> DataFrame:
-    """Write a record per row into gzip archives in a shared folder; returns (path, records, bytes), one row an archive.
-
-    Of the rows with equal payloads of at least ``least`` bytes one with the largest id is the response and all others
-    revisit it, those that repeat its id too. A null id comes before all others and is written as no key (a revisit of
-    one refers to no key), a null url as an empty one, a null payload as an empty one. An empty table gives no archive.
-    """
-    spark = df.sparkSession
-    table = common.materialize(chunks(df.select(df[id_col].alias("id"), df[url_col].alias("url"), df[payload_col].alias("payload")), "id", "payload", "url", size=size), "chunks")
-    whole = table.where("last").select("record", "id", "url", F.col("digest").alias("sha"), F.col("so_far").alias("n"))
-    groups = common.materialize(whole.where(F.col("n") >= least).groupBy("sha", "n").agg(F.max(F.struct("id", "record")).alias("top"), F.count("*").alias("k")).where("k > 1").select("sha", "n", "top"), "equal")
-    revisit = F.coalesce(F.col("record") != F.col("top.record"), F.lit(False))
-    heads = whole.join(common.small(groups), ["sha", "n"], "left").select("record", F.lit(-1).cast("long").alias("chunk"), F.col("id").cast("string").alias("key"), "url", "sha", "n", revisit.alias("revisit"), F.when(revisit, F.col("top.id").cast("string")).alias("target"))
-    nothing = T.StructType.fromDDL(HEAD).fields
-    rows = heads.withColumn("chunk_bytes", F.lit(None).cast("binary")).unionByName(table.select("record", "chunk", *(F.lit(None).cast(f.dataType).alias(f.name) for f in nothing), "chunk_bytes"))
-    total = whole.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    dealt = rows.repartition(max(common.parts(spark), -(-total // ARCHIVE)), "record").sortWithinPartitions("record", "chunk")
+def archive(rows: DataFrame, folder: str, prefix: str, date: str) -> DataFrame:
+    """(path, records, bytes): an archive for each partition of rows (chunk, the head's columns, chunk_bytes), heads before their chunks."""
 
     def run(batches):
         task = TaskContext.get()
         shared, root = open_shared(folder)
-        shared.create_dir(root, recursive=True)
-        name = f"{root}/part-{task.partitionId():06d}.warc.gz"
+        name = f"{root}/{prefix}-{task.partitionId():06d}.warc.gz"
         temporary = f"{name}.{task.taskAttemptId()}.tmp"
-        records, member = 0, None
-        with shared.open_output_stream(temporary, compression=None) as out:
-            for batch in batches:
-                chunk, payload = batch.column(1), batch.column(8)
-                head = list(zip(*(batch.column(k).to_pylist() for k in range(2, 8)), strict=True))
-                for i, k in enumerate(chunk.to_pylist()):
-                    if k < 0:
-                        if member:
-                            out.write(member.compress(END) + member.flush())
-                        member, skip = zlib.compressobj(6, zlib.DEFLATED, 31), head[i][4]  # a gzip member for each record
-                        out.write(member.compress(record_head(*head[i], date)))
-                        records += 1
-                    elif not skip:
-                        out.write(member.compress(payload[i].as_buffer()))
-            if member:
-                out.write(member.compress(END) + member.flush())
-            total = out.tell()
+        out, records, member, skip = None, 0, None, False
+        for batch in batches:
+            if out is None and batch.num_rows:
+                shared.create_dir(root, recursive=True)
+                out = shared.open_output_stream(temporary, compression=None)
+            payload = batch.column(7)
+            heads = zip(*(batch.column(k).to_pylist() for k in range(1, 7)), strict=True)
+            for i, (chunk, head) in enumerate(zip(batch.column(0).to_pylist(), heads, strict=True)):
+                if chunk < 0:
+                    if member:
+                        out.write(member.compress(END) + member.flush())
+                    member, skip = zlib.compressobj(6, zlib.DEFLATED, 31), head[4]  # a gzip member for each record
+                    out.write(member.compress(record_head(*head, date)))
+                    records += 1
+                if chunk != ALONE and not skip:
+                    out.write(member.compress(payload[i].as_buffer()))
+        if out is None:
+            return
+        out.write(member.compress(END) + member.flush())
+        total = out.tell()
+        out.close()
         if shared.get_file_info(name).type != arrow_fs.FileType.NotFound:
             shared.delete_file(name)
         shared.move(temporary, name)
         yield pa.RecordBatch.from_pydict({"path": [name], "records": [records], "bytes": [total]})
 
-    columns = ["record", "chunk", *(f.name for f in nothing), "chunk_bytes"]
-    archives = common.materialize(dealt.select(columns).mapInArrow(run, "path string, records long, bytes long"), "archives")
+    columns = ["chunk", *(f.name for f in T.StructType.fromDDL(HEAD).fields), "chunk_bytes"]
+    return rows.select(columns).mapInArrow(run, "path string, records long, bytes long")
+
+
+def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, date: str = "1970-01-01T00:00:00Z", size: int = CHUNK) -> DataFrame:
+    """Write a record per row into gzip archives in a shared folder; returns (path, records, bytes), one row an archive.
+
+    Of the rows with equal payloads of at least ``least`` bytes one with the largest id is the response and all others
+    revisit it, those that repeat its id too. A null id comes before all others and is written as no key (a revisit of
+    one refers to no key), a null url as an empty one, a null payload as an empty one. An empty table gives no archive.
+
+    Records of one chunk, almost all there are, go to archives where they stand. Those of more meet their heads, which
+    state the digest of the whole, by a shuffle.
+    """
+    spark = df.sparkSession
+    table = common.materialize(chunks(df.select(df[id_col].alias("id"), df[url_col].alias("url"), df[payload_col].alias("payload")), "id", "payload", "url", size=size), "chunks")
+    ends = table.where("last").select("record", "id", "url", F.col("digest").alias("sha"), F.col("so_far").alias("n"), "chunk", "chunk_bytes")
+    groups = common.materialize(ends.where(F.col("n") >= least).groupBy("sha", "n").agg(F.max(F.struct("id", "record")).alias("top"), F.count("*").alias("k")).where("k > 1").select("sha", "n", "top"), "equal")
+    revisit = F.coalesce(F.col("record") != F.col("top.record"), F.lit(False))
+    heads = ends.join(common.small(groups), ["sha", "n"], "left").withColumns({"key": F.col("id").cast("string"), "revisit": revisit, "target": F.when(revisit, F.col("top.id").cast("string"))})
+    one = heads.where("chunk = 0").withColumn("chunk", F.lit(WHOLE).cast("long"))
+    long = heads.where("chunk > 0").withColumns({"chunk": F.lit(ALONE).cast("long"), "chunk_bytes": F.lit(None).cast("binary")}).drop("id", "top")
+    parts = table.where("chunk > 0 or not last").select("record", "chunk", "chunk_bytes").unionByName(long, allowMissingColumns=True)
+    total = table.where("chunk > 0 or not last").agg(F.coalesce(F.sum(F.octet_length("chunk_bytes")), F.lit(0))).first()[0]
+    dealt = parts.repartition(max(common.parts(spark), -(-total // ARCHIVE)), "record").sortWithinPartitions("record", "chunk")
+    made = archive(one, folder, "part", date)
+    archives = common.materialize(made.unionByName(archive(dealt, folder, "long", date)) if total else made, "archives")
     common.discard(table, groups)
     common.free_shuffles(spark)
-    return archives.where("records > 0")
+    return archives
 
 
 class Stream:
