@@ -694,13 +694,28 @@ def books_cleaned(spark, sf_dir):
     return transforms.clean_books(marked(spark, sf_dir)).select("path", F.md5("content").alias("digest"), "changed")
 
 
-@query()
+# Quotes open after commas and close after full stops and at the text's end; the first one opens without a sign of it.
+@query(rf"""
+WITH q AS (SELECT doc_id, replace(translate(coalesce(text, ''), '"' || chr(39), ''), ', ', ', "') AS t FROM documents), o AS (SELECT doc_id, replace(regexp_replace(t, ', "([\p{{L}}\p{{N}}_])', ', “\1', 'g'), '. ', '.” ') AS t FROM q)
+SELECT doc_id, md5('"' || t || CASE WHEN regexp_matches(t, '[.!?\p{{L}}\p{{N}}_]$') OR regexp_matches(t, '“[^“‘’”\n\\]+[^\s“‘’”\n\\]$') THEN '”' ELSE '"' END || chr(10)) AS digest FROM o""")
 def quotes_promoted(spark, sf_dir):
-    quoted = F.concat(F.lit('"'), F.coalesce("text", F.lit("")), F.lit('"\n'))
+    quoted = F.concat(F.lit('"'), replaced(F.translate(F.coalesce("text", F.lit("")), "\"'", ""), [(", ", ', "'), (". ", '." ')]), F.lit('"\n'))
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(rules.column(rules.promote_quotes)(quoted)).alias("digest"))
 
 
-@query()
+# The letters that the texts' languages start words with.
+LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
+
+
+def _capitals_sql(column: str) -> str:
+    """A capital for each letter that starts the text's first word, or the first one after a mark that no quotation or dash follows directly."""
+    start = r"(^[^\p{L}\p{N}_]*|[.।][^\p{L}\p{N}_]*|[?!፡።](?:[^\p{L}\p{N}_«“‘\-—–][^\p{L}\p{N}_]*)?)"
+    for letter in LETTERS:
+        column = f"regexp_replace({column}, '{start}{letter}', '\\1{letter.upper()}', 'g')"
+    return column
+
+
+@query(f"SELECT doc_id, md5({_capitals_sql('lower(text)')}) AS digest FROM documents")
 def capitalized(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(rules.column(rules.capitalize)(F.lower("text"))).alias("digest"))
 
