@@ -725,10 +725,13 @@ def headings(spark, sf_dir):
     return doc_lines(spark, sf_dir).where(rules.column(rules.is_heading, "boolean")("line"))
 
 
-@query()
+@query(f"SELECT *, true AS changed FROM ({ORACLE_SQL['books_rewritten']})")
 def paragraphs_by_model(spark, sf_dir):
-    context = tk.with_context(tk.tokens(marked(spark, sf_dir)))
-    return transforms.mark_paragraphs(context, transforms.paragraph_model(context)).select("path", F.md5("content").alias("digest"), "changed")
+    """Books that lost their paragraph marks get them back from a model of all books."""
+    books = marked(spark, sf_dir)
+    bare = books.withColumn("content", F.replace(F.col("content"), F.lit("\n\\p\n"), F.lit("\n")))
+    model = transforms.paragraph_model(tk.with_context(tk.tokens(books)))
+    return transforms.mark_paragraphs(tk.with_context(tk.tokens(bare)), model).select("path", F.md5("content").alias("digest"), "changed")
 
 
 SQL_TRIMMED = "ltrim(line, ' ' || chr(9) || chr(13))"
