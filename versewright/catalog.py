@@ -233,11 +233,11 @@ def longest_name_match(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT o_custkey, list_sort(list(DISTINCT o_orderkey)) AS st FROM orders GROUP BY 1), m AS (SELECT o_custkey % 40 + 1 AS ch, list(DISTINCT o_orderkey) AS ot FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1),
-x AS (SELECT o_custkey, st, list_filter(coalesce(ot, []), lambda v: len(list_filter(range(1, len(st)), lambda i: st[i + 1] - st[i] > 8 AND v > st[i] AND v < st[i + 1])) > 0) AS inside FROM s LEFT JOIN m ON ch = o_custkey % 40 + 1)
+WITH s AS (SELECT o_custkey, list_sort(list(DISTINCT o_orderkey)) AS st FROM orders GROUP BY 1), m AS (SELECT o_custkey % 400 + 1 AS ch, list(DISTINCT o_orderkey) AS ot FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1),
+x AS (SELECT o_custkey, st, list_filter(coalesce(ot, []), lambda v: len(list_filter(range(1, len(st)), lambda i: st[i + 1] - st[i] > 8 AND v > st[i] AND v < st[i + 1])) > 0) AS inside FROM s LEFT JOIN m ON ch = o_custkey % 400 + 1)
 SELECT o_custkey::VARCHAR AS path, len(list_distinct(list_concat(st, inside))) AS n, md5(array_to_string(list_sort(list_distinct(list_concat(st, inside))), ',')) AS starts FROM x""")
 def chunk_range_join(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("path"), F.lit("GEN").alias("book"), (F.col("o_custkey") % 40 + 1).cast("int").alias("chapter"), F.col("o_orderkey").cast("int").alias("v"), "o_orderpriority")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("path"), F.lit("GEN").alias("book"), (F.col("o_custkey") % 400 + 1).cast("int").alias("chapter"), F.col("o_orderkey").cast("int").alias("v"), "o_orderpriority")
     starts = orders.groupBy("path", "book", "chapter").agg(F.array_sort(F.collect_set("v")).alias("starts"))
     model = orders.where("o_orderpriority = '1-URGENT'").groupBy("book", "chapter").agg(F.collect_set("v").alias("starts"))
     settled = transforms.settle_chunks(starts, model)
