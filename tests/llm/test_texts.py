@@ -187,6 +187,21 @@ def test_query_of_repeats_on_the_whole_table(spark):
     assert got == dict(zip(table["doc_id"], digest_repeats([(t or "").encode() for t in table["text"]], 400), strict=True))
 
 
+def test_query_of_repeats_returns_what_is_left_as_text(spark, tmp_path):
+    rng = random.Random(12)
+    passage = prose(rng, 150)
+    texts = [f"{prose(rng, 30)} {passage} {prose(rng, 30)}" for _ in range(4)] + [prose(rng, 90), "é" * 150 + "x" + "é" * 260, "é" * 260, "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.QUERIES["op7_suffix_dedup"](spark, str(tmp_path)).collect()}
+    want = brute.without_repeats([(t or "").encode() for t in texts], 400)
+    for k, (left, gone, runs) in enumerate(want):
+        assert got[k]["text"] == left.decode("utf-8", "ignore"), k
+        # the length is that of the input, whatever was removed
+        assert (got[k]["n_bytes"], got[k]["n_removed"], got[k]["n_spans"]) == (len((texts[k] or "").encode()), gone, runs), k
+    assert all(passage not in got[k]["text"] and got[k]["n_removed"] >= len(passage.encode()) for k in range(4)) and got[4]["text"] == texts[4]
+    assert got[5]["n_removed"] and got[6]["n_removed"]
+
+
 def test_query_of_near_copies_on_the_whole_table(spark):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.QUERIES["op9_ngram_jaccard"](spark, SF).collect()}
     table = pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text"]).to_pydict()
